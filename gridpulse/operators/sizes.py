@@ -1,0 +1,35 @@
+"""Size checks that decide between a plain window and its split form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.timeparts import bucket_start
+
+ROWS_PER_TASK = 2_000_000
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group. Counts are combined on the map side; one number returns."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
+def chunk_seconds(
+    df: DataFrame, series: list[str], epoch: str, max_rows: int = ROWS_PER_TASK
+) -> int | None:
+    """Width of time chunks that hold at most ``max_rows`` rows of a series, or None if every
+    series is that small as a whole.
+
+    Starts at a day and narrows to what the densest chunk asks for, down to one second.
+    """
+    if largest_group(df, series) <= max_rows:
+        return None
+    width = 86400
+    while True:
+        chunked = df.select(*series, bucket_start(df[epoch], width).alias("_chunk"))
+        densest = largest_group(chunked, [*series, "_chunk"])
+        if densest <= max_rows or width == 1:
+            return width
+        width = max(1, min(width // 2, width * max_rows // densest))
