@@ -26,15 +26,20 @@ def max_by_epoch(spark, sf_dir):
 
 
 @catalog.query(
-    """select epoch - epoch % 3600 as epoch, max(temperature) as temperature,
-              round(avg(temperature), 6) as mean
-       from temperatures group by 1""",
+    "select epoch - epoch % 3600 as epoch, max(temperature) as temperature from temperatures group by 1",
     TEMPERATURES,
 )
 def temperature_by_epoch(spark, sf_dir):
-    rows = tables.hourly(tables.temperatures(spark, sf_dir))
-    mean = agg.single_temperature(rows, "avg").withColumnRenamed("temperature", "mean")
-    return tidy(agg.single_temperature(rows).join(mean, "epoch"))
+    return agg.single_temperature(tables.hourly(tables.temperatures(spark, sf_dir)))
+
+
+@catalog.query(
+    """select epoch - epoch % 3600 as epoch, round(avg(temperature), 6) as temperature
+       from temperatures group by 1""",
+    TEMPERATURES,
+)
+def temperature_mean_by_epoch(spark, sf_dir):
+    return tidy(agg.single_temperature(tables.hourly(tables.temperatures(spark, sf_dir)), "avg"))
 
 
 @catalog.query(
@@ -242,15 +247,13 @@ rolled as (
     from coarse)"""
 
 
-def _rolled(spark, sf_dir):
-    return buckets.rollup(tables.metrics(spark, sf_dir), 600, HOUR)
 
 
 @catalog.query(
     "select name, slot, known, round(value, 6) as value from rolled", FLUSHED, METRICS, FINE
 )
 def rollup_rules(spark, sf_dir):
-    return tidy(_rolled(spark, sf_dir))
+    return tidy(buckets.rollup(tables.metrics(spark, sf_dir), 600, HOUR))
 
 
 @catalog.query(
@@ -262,9 +265,16 @@ def rollup_rules(spark, sf_dir):
     FLUSHED, METRICS, FINE,
 )
 def retention_filter(spark, sf_dir):
-    now = tables.events(spark, sf_dir).agg(F.max(tables.epoch_of("ts"))).scalar()
-    coarse = _rolled(spark, sf_dir).select("name", F.col("slot").alias("epoch"), "value")
-    tiers = {"fine": (tables.metrics(spark, sf_dir), DAY), "coarse": (coarse, 7 * DAY)}
+    rows = tables.events(spark, sf_dir)
+    now = tables.epoch_of(rows.agg(F.max("ts")).scalar())
+
+    def points(seconds):
+        # Also cut at the scan; a second is added for the fraction of the newest time.
+        return tables.as_metrics(buckets.since(rows, "ts", seconds + 1))
+
+    rolled = buckets.rollup(points(7 * DAY), 600, HOUR)
+    coarse = rolled.select("name", F.col("slot").alias("epoch"), "value")
+    tiers = {"fine": (points(DAY), DAY), "coarse": (coarse, 7 * DAY)}
     return tidy(buckets.retain(tiers, "epoch", now))
 
 

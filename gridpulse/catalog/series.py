@@ -54,7 +54,7 @@ def derivative_chunked(spark, sf_dir):
     COUNTERS,
 )
 def irate_1m(spark, sf_dir):
-    rate = series.instant_rate(tables.counters(spark, sf_dir), "counter", 2 * HOUR, ["event_type"])
+    rate = series.instant_rate(tables.counters(spark, sf_dir), "counter", 2 * HOUR, ["event_type"], max_rows=None)
     return tidy(rate.select("event_type", "epoch", "rate"))
 
 
@@ -83,8 +83,8 @@ def fill_null(spark, sf_dir):
     every = tables.hourly(
         tables.events(spark, sf_dir).select(tables.epoch_of("ts").alias("epoch"))
     )
-    bounds = every.agg(F.min("epoch").alias("lo"), F.max("epoch").alias("hi"))
-    return gaps.fill_null(hours, HOUR, [], bounds)
+    ends = every.agg(F.struct(F.min("epoch").alias("lo"), F.max("epoch").alias("hi"))).scalar()
+    return gaps.fill_null(hours, HOUR, [], (ends.getField("lo"), ends.getField("hi")))
 
 
 @catalog.query("select event_type, bucket, value from type_hours", TYPE_HOURS)
@@ -135,7 +135,7 @@ def fill_linear(spark, sf_dir):
 def step_change(spark, sf_dir):
     rows = tables.hourly(tables.readings(spark, sf_dir))
     hours = buckets.bucket_max(rows, "voltage", HOUR).withColumnRenamed("bucket", "epoch")
-    steps = series.step_changes(hours.withColumn("all", F.lit(0)), "voltage", 100.0, ["all"], ["epoch"])
+    steps = series.step_changes(hours.withColumn("all", F.lit(0)), "voltage", 100.0, ["all"], ["epoch"], max_rows=None)
     return tidy(steps.select("epoch", "voltage", "step"))
 
 
@@ -147,7 +147,7 @@ def step_change(spark, sf_dir):
 )
 def cadence_break(spark, sf_dir):
     hours = hour_temperatures(spark, sf_dir).withColumn("all", F.lit(0))
-    return series.cadence_breaks(hours, HOUR, ["all"]).select("epoch", "gap")
+    return series.cadence_breaks(hours, HOUR, ["all"], max_rows=None).select("epoch", "gap")
 
 
 @catalog.query(

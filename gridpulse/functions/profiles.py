@@ -41,8 +41,9 @@ CLASS_COEFFICIENTS = [
     (9, 1000, 113.0),
 ]
 
-BUSINESS_CLASSES = (0, 1, 2)
-INDUSTRY_CLASSES = (3, 4)
+# Kind of each class number.
+CLASS_KINDS = ["business"] * 3 + ["industry"] * 2 + ["consumer"] * 5
+
 DEFAULT_MODULUS = 1000
 DEFAULT_BASE = 113.0
 BIAS_WEIGHT = 0.4
@@ -52,7 +53,8 @@ def string_hash(text: Column) -> Column:
     """Signed 32-bit polynomial hash of base 31, the usual JVM string hash."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
     word = F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c) % 2**32)
-    return F.when(word >= 2**31, word - 2**32).otherwise(word)
+    # Two shifts carry the sign over, where a comparison would compute the word twice.
+    return F.shiftright(F.shiftleft(word, 32), 32)
 
 
 def class_number(point_hash: Column) -> Column:
@@ -60,11 +62,7 @@ def class_number(point_hash: Column) -> Column:
 
 
 def class_of(number: Column) -> Column:
-    return (
-        F.when(number.isin(*BUSINESS_CLASSES), "business")
-        .when(number.isin(*INDUSTRY_CLASSES), "industry")
-        .otherwise("consumer")
-    )
+    return F.get(F.array(*[F.lit(kind) for kind in CLASS_KINDS]), number.cast("int"))
 
 
 def usage_class(point: Column) -> Column:
@@ -96,7 +94,8 @@ def with_curve(
 ) -> DataFrame:
     """Add ``bias`` and ``expected`` of the class curve at the reading's hour.
 
-    The joined table is fixed at 48 rows, which is why it may always be broadcast.
+    The joined table is fixed at 48 rows, which is why it may always be broadcast. The left
+    join keeps readings without a class and spares a null check that hashes every key again.
     """
     hour = local_hour(epoch, utc_offset_hours)
     keyed = df.withColumns(
@@ -110,6 +109,7 @@ def with_curve(
     joined = keyed.join(
         F.broadcast(knot_segments(df.sparkSession, kind)),
         ["usage_class", "weekend", "segment"],
+        "left",
     )
     curve = F.col("y0") + (F.col("y1") - F.col("y0")) * F.col("knot_offset") / KNOT_HOURS
     bias = F.lit(0.0) if noise is None else profile_bias(F.col("curve_range"), noise)
@@ -142,7 +142,7 @@ def with_linear_profile(df: DataFrame, point: Column, hour: Column, noise: Colum
     """Add the point's hash and the per-class closed forms; the joined table has ten rows."""
     hashed = df.withColumn("point_hash", string_hash(point))
     classed = hashed.withColumn("class_number", class_number(F.col("point_hash")))
-    joined = classed.join(F.broadcast(class_coefficients(df.sparkSession)), "class_number")
+    joined = classed.join(F.broadcast(class_coefficients(df.sparkSession)), "class_number", "left")
     return joined.withColumns(
         {
             "class_demand": default_demand(F.col("point_hash"), noise, F.col("demand_modulus")),

@@ -25,8 +25,7 @@ def bucket_start(epoch: Column, seconds: int) -> Column:
 
 
 def local_date(epoch: Column, utc_offset_hours: int = 0) -> Column:
-    local = shifted(epoch, utc_offset_hours)
-    return F.date_from_unix_date((bucket_start(local, DAY) / DAY).cast("int"))
+    return F.date_from_unix_date(F.floor(shifted(epoch, utc_offset_hours) / DAY).cast("int"))
 
 
 def local_hour(epoch: Column, utc_offset_hours: int = 0) -> Column:

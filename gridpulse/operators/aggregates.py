@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .upserts import last_value
+
 OFF_LIMIT = 120.0
 OFF_LIMIT_COUNT = 2
 
@@ -62,7 +64,7 @@ def total_count(df: DataFrame) -> DataFrame:
 def tag_summary(df: DataFrame, tag: str, value: str, order: list[str]) -> DataFrame:
     """Current, smallest and largest value per tag."""
     return df.groupBy(tag).agg(
-        F.max_by(value, F.struct(*order)).alias("current"),
+        last_value(value, order).alias("current"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )

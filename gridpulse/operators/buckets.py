@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import bucket_start
+from .upserts import last_value
 
 
 def bucketed(
@@ -27,7 +28,7 @@ def bucket_mean(df, value, seconds, series=()):
 
 
 def bucket_last(df, value, seconds, order, series=()):
-    return bucketed(df, seconds, {value: F.max_by(value, F.struct(*order))}, series)
+    return bucketed(df, seconds, {value: last_value(value, order)}, series)
 
 
 def bucket_count(df, seconds, series=()):
@@ -92,9 +93,7 @@ def rollup(
     A fine slot holds its last point. A coarse slot is null unless enough of its fine slots
     are known. Names are matched once per coarse slot, not once per point.
     """
-    fine = bucketed(
-        df, fine_seconds, {"value": F.max_by("value", F.struct(*order))}, ("name",)
-    )
+    fine = bucketed(df, fine_seconds, {"value": last_value("value", list(order))}, ("name",))
     coarse = fine.groupBy("name", bucket_start(F.col("bucket"), coarse_seconds).alias("slot")).agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),

@@ -15,24 +15,35 @@ def fill_null(
     df: DataFrame,
     seconds: int,
     series: list[str],
-    bounds: DataFrame | None = None,
+    bounds: tuple[int | Column, int | Column] | None = None,
     bucket: str = "bucket",
 ) -> DataFrame:
     """Every bucket of every series, null where nothing was seen.
 
-    ``bounds`` is a one-row frame ``(lo, hi)`` of the requested range, by default the range
-    of the data. Buckets are generated on the executors.
+    ``bounds`` are the first and last bucket of the requested range, by default those of the
+    data. Each row spreads over the empty buckets up to the next row of its series, so the
+    frame is read and shuffled once and a window over the same series needs no further shuffle.
     """
     if bounds is None:
-        bounds = df.agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    buckets = F.explode(F.sequence(lo, hi, F.lit(seconds).cast("bigint"))).alias(bucket)
-    if series:
-        grid = df.select(*series).distinct().select(*series, buckets)
-    else:
-        grid = df.sparkSession.range(1).select(buckets)
-    return grid.join(df, [*series, bucket], "left")
+        ends = df.agg(F.struct(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))).scalar()
+        bounds = ends.getField("lo"), ends.getField("hi")
+    lo, hi = [b if isinstance(b, Column) else F.lit(b) for b in bounds]
+    here, ordered = F.col(bucket), _past(series, bucket)
+    first = F.when(F.lag(bucket).over(ordered).isNull(), lo).otherwise(here)
+    last = F.coalesce(F.lead(bucket).over(ordered) - seconds, hi)
+    spread = (
+        df.filter(here.between(lo, hi))
+        .withColumns({"_first": first, "_last": last})
+        .withColumn("_at", F.explode(F.sequence("_first", "_last", F.lit(seconds).cast("bigint"))))
+    )
+    return spread.select(
+        *[
+            F.col("_at").alias(c) if c == bucket
+            else F.col(c) if c in series
+            else F.when(here == F.col("_at"), F.col(c)).alias(c)
+            for c in df.columns
+        ]
+    )
 
 
 def _past(series: list[str], bucket: Column | str) -> Window:

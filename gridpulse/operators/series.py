@@ -16,13 +16,15 @@ def with_previous(
     order: list[str],
     columns: list[str],
     epoch: str = "epoch",
-    max_rows: int = ROWS_PER_TASK,
+    max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``prev_<c>``: the column in the previous row of the same series.
 
     A series too long for one task is cut into time chunks, see :func:`_chunked_previous`.
+    ``max_rows=None`` skips the size check for frames with one row per bucket, whose series
+    are only as long as the time range.
     """
-    width = chunk_seconds(df, series, epoch, max_rows)
+    width = None if max_rows is None else chunk_seconds(df, series, epoch, max_rows)
     if width is not None:
         return _chunked_previous(df, series, order, columns, epoch, width)
     before = Window.partitionBy(*series).orderBy(*order)
@@ -39,7 +41,7 @@ def _chunked_previous(
         "_repeat", F.lit(False)
     )
     ends = rows.groupBy(*series, "_chunk").agg(
-        F.max_by(F.struct(*needed), F.struct(*order)).alias("_end")
+        F.max(F.struct(*needed)).alias("_end")
     )
     chunks = Window.partitionBy(*series).orderBy("_chunk")
     repeats = (
@@ -64,7 +66,7 @@ def derivative(
     order: list[str],
     ticks_per_second: int = 1,
     epoch: str = "epoch",
-    max_rows: int = ROWS_PER_TASK,
+    max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Change per second since the previous row; may be negative, the first row has none."""
     paired = with_previous(df, series, order, [value, time], epoch, max_rows)
@@ -83,7 +85,7 @@ def instant_rate(
     range_seconds: int,
     series: list[str],
     time: str = "epoch",
-    max_rows: int = ROWS_PER_TASK,
+    max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per-second rate of the last two samples within ``range_seconds``.
 
@@ -102,7 +104,7 @@ def instant_rate(
 
 def step_changes(
     df: DataFrame, value: str, limit: float, series: list[str], order: list[str],
-    epoch: str = "epoch", max_rows: int = ROWS_PER_TASK,
+    epoch: str = "epoch", max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows that differ from their predecessor by ``limit`` or more."""
     paired = with_previous(df, series, order, [value], epoch, max_rows)
@@ -112,7 +114,7 @@ def step_changes(
 
 def cadence_breaks(
     df: DataFrame, cadence: int, series: list[str], time: str = "epoch",
-    max_rows: int = ROWS_PER_TASK,
+    max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows that do not follow their predecessor by exactly ``cadence``."""
     paired = with_previous(df, series, [time], [time], time, max_rows)

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last written row of every key; ``order`` must be unique within a key."""
-    rest = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    last = F.max(F.struct(*order, *rest))
+    merged = df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+    return merged.select(*df.columns)
+
+
+def last_value(value: str, order: list[str]) -> Column:
+    """Aggregate for the value of the last written row.
+
+    One number to order by keeps the aggregate in fixed-width hash buffers; more than one
+    are compared as a struct.
+    """
+    if len(order) == 1:
+        return F.max_by(value, order[0])
+    return F.max(F.struct(*order, value)).getField(value)
 
 
 def newest_rows(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
@@ -37,7 +49,7 @@ def upsert_epochs(df: DataFrame, value: str, order: list[str], merge: str = "max
     if merge == "max":
         kept = F.max(value)
     elif merge == "overwrite":
-        kept = F.max_by(value, F.struct(*order))
+        kept = last_value(value, order)
     else:
         raise ValueError(f"unknown merge {merge!r}")
     return df.groupBy("epoch").agg(kept.alias(value))

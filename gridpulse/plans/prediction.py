@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import time
 from collections.abc import Callable
 
@@ -31,6 +32,8 @@ THRESHOLD = 116.0
 TRAIN_SHARE = 0.6
 REFRESH_INTERVALS = 4
 
+ROWS_PER_PARTITION = 20_000
+
 FEATURES = ["hour_sin", "hour_cos", "day_of_week", "temperature"]
 
 
@@ -179,11 +182,16 @@ class ModelStore:
 
 
 def train_once(store: ModelStore, rows: DataFrame, **settings) -> tuple[int, int]:
-    """One training pass: fit, save as a new version, report (version, rows)."""
+    """One training pass: fit, save as a new version, report (version, rows).
+
+    The solver passes over the rows more than a hundred times, so they are kept, in no more
+    partitions than their number is worth.
+    """
     rows = rows.persist()
     try:
-        version = store.save(train(rows, **settings))
-        return version, rows.count()
+        n = rows.count()
+        sized = rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
+        return store.save(train(sized, **settings)), n
     finally:
         rows.unpersist()
 

@@ -118,11 +118,10 @@ def wide_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLUSH_SECONDS = 300
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_metrics(events_df: DataFrame) -> DataFrame:
     """Flushed statistics of each event type: one point per flush and statistic."""
     flushed = (
-        events(spark, sf_dir)
-        .groupBy("event_type", bucket_start(epoch_of("ts"), FLUSH_SECONDS).alias("epoch"))
+        events_df.groupBy("event_type", bucket_start(epoch_of("ts"), FLUSH_SECONDS).alias("epoch"))
         .agg(
             F.count("*").cast("double").alias("n"),
             F.min("value").alias("lo"),
@@ -139,6 +138,10 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_metrics(events(spark, sf_dir))
+
+
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter per event type, read every hour and reset at midnight.
 
