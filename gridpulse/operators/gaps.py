@@ -24,16 +24,17 @@ def fill_null(
     data. Each row spreads over the empty buckets up to the next row of its series, so the
     frame is read and shuffled once and a window over the same series needs no further shuffle.
     """
+    here, ordered = F.col(bucket), _past(series, bucket)
     if bounds is None:
         ends = df.agg(F.struct(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))).scalar()
-        bounds = ends.getField("lo"), ends.getField("hi")
-    lo, hi = [b if isinstance(b, Column) else F.lit(b) for b in bounds]
-    here, ordered = F.col(bucket), _past(series, bucket)
+        lo, hi = ends.getField("lo"), ends.getField("hi")
+    else:
+        lo, hi = [b if isinstance(b, Column) else F.lit(b) for b in bounds]
+        df = df.filter(here.between(lo, hi))
     first = F.when(F.lag(bucket).over(ordered).isNull(), lo).otherwise(here)
     last = F.coalesce(F.lead(bucket).over(ordered) - seconds, hi)
     spread = (
-        df.filter(here.between(lo, hi))
-        .withColumns({"_first": first, "_last": last})
+        df.withColumns({"_first": first, "_last": last})
         .withColumn("_at", F.explode(F.sequence("_first", "_last", F.lit(seconds).cast("bigint"))))
     )
     return spread.select(
