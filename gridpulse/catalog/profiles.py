@@ -163,6 +163,17 @@ def hour_temperatures(spark, sf_dir):
     )
 
 
+@catalog.query(
+    """select epoch, temperature, forecast from (
+           select *, lag(temperature, 12) over (order by epoch) as forecast from hour_temperature)
+       where forecast is not null""",
+    TEMPERATURES, HOUR_TEMPERATURE,
+)
+def forecast_lag(spark, sf_dir):
+    hours = hour_temperatures(spark, sf_dir).withColumn("all", F.lit(0))
+    return series.lag_forecast(hours, "temperature", ["all"]).drop("all")
+
+
 @catalog.query(
     """select a.epoch, a.temperature as actual, f.temperature as forecast
        from hour_temperature a join hour_temperature f on a.epoch = f.epoch + 43200""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import payloads, subjects, timeparts
+from ..functions import casts, payloads, subjects, timeparts
 from ..plans import prediction
 from ..sinks import reports
 from ..sources import messages as streams
@@ -248,11 +248,11 @@ def prediction_json(spark, sf_dir):
 )
 def narrow_types(spark, sf_dir):
     narrow = {
-        "line": F.col("line").try_cast("tinyint"),
-        "point_byte": F.col("usage_point").try_cast("tinyint"),
-        "id_short": F.col("event_id").try_cast("smallint"),
-        "epoch_int": F.col("epoch").try_cast("int"),
-        "millis_int": (F.col("epoch") * 1000).try_cast("int"),
+        "line": casts.narrow(F.col("line"), "tinyint"),
+        "point_byte": casts.narrow(F.col("usage_point"), "tinyint"),
+        "id_short": casts.narrow(F.col("event_id"), "smallint"),
+        "epoch_int": casts.narrow(F.col("epoch"), "int"),
+        "millis_int": casts.narrow(F.col("epoch") * 1000, "int"),
     }
     shown = [F.coalesce(c, F.lit(-1)).alias(name) for name, c in narrow.items()]
     return tidy(tables.readings(spark, sf_dir).select("event_id", *shown))

@@ -81,10 +81,15 @@ RULES = [
 ]
 
 
+# Seconds per point and seconds kept of the fine and the coarse tier.
+FINE_TIER = (10, 3600)
+COARSE_TIER = (60, 86400)
+
+
 def rollup(
     df: DataFrame,
-    fine_seconds: int,
-    coarse_seconds: int,
+    fine_seconds: int = FINE_TIER[0],
+    coarse_seconds: int = COARSE_TIER[0],
     rules: list[Rule] = RULES,
     order: tuple[str, ...] = ("epoch",),
 ) -> DataFrame:
@@ -116,3 +121,17 @@ def retain(tiers: dict[str, tuple[DataFrame, int]], time: str, now: Column) -> D
         part = df.filter(F.col(time) >= now - seconds).withColumn("tier", F.lit(tier))
         kept = part if kept is None else kept.unionByName(part)
     return kept
+
+
+def stored_tiers(
+    df: DataFrame,
+    now: Column,
+    fine: tuple[int, int] = FINE_TIER,
+    coarse: tuple[int, int] = COARSE_TIER,
+    rules: list[Rule] = RULES,
+) -> DataFrame:
+    """What the metric store keeps of ``(name, epoch, value)`` points at time ``now``."""
+    points = bucketed(df, fine[0], {"value": last_value("value", ["epoch"])}, ("name",))
+    rolled = rollup(df, fine[0], coarse[0], rules).withColumnRenamed("slot", "bucket")
+    tiers = {"fine": (points, fine[1]), "coarse": (rolled.drop("known"), coarse[1])}
+    return retain(tiers, "bucket", now)

@@ -122,6 +122,19 @@ def cadence_breaks(
     return paired.withColumn("gap", gap).filter(F.col("gap") != cadence)
 
 
+def lag_forecast(
+    df: DataFrame, value: str, series: list[str], time: str = "epoch", steps: int = 12
+) -> DataFrame:
+    """Pair each row with the forecast of ``steps`` rows before, whatever the time between.
+
+    Takes one row per (series, time), as :func:`align_forecast` does.
+    """
+    ordered = Window.partitionBy(*series).orderBy(time)
+    return df.withColumn("forecast", F.lag(value, steps).over(ordered)).filter(
+        F.col("forecast").isNotNull()
+    )
+
+
 def align_forecast(
     forecast: DataFrame, actual: DataFrame, value: str, horizon: int = 12 * 3600
 ) -> DataFrame:

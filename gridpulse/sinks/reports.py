@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,21 @@ def text_report(df: DataFrame, value: str, subject: Column) -> DataFrame:
     return df.select(subject.alias("subject"), F.col(value).cast("string").alias("message"))
 
 
+def key_values(
+    df: DataFrame, subject: Column, encoder: Callable[..., Column], *fields: Column
+) -> DataFrame:
+    """Binary messages under their subject; ``encoder`` is any vectorised function of the fields."""
+    return df.select(subject.alias("subject"), encoder(*fields).alias("payload"))
+
+
 def binary_values(df: DataFrame, value: str, subject: Column) -> DataFrame:
     """12-byte messages of epoch and single-precision value."""
-    body = encode_long_float(F.col("epoch"), F.col(value).cast("float"))
-    return df.select(subject.alias("subject"), body.alias("payload"))
+    return key_values(df, subject, encode_long_float, F.col("epoch"), F.col(value).cast("float"))
 
 
 def binary_counts(df: DataFrame, count: str, subject: Column) -> DataFrame:
     """12-byte messages of epoch and 32-bit count."""
-    body = encode_long_int(F.col("epoch"), F.col(count).cast("int"))
-    return df.select(subject.alias("subject"), body.alias("payload"))
+    return key_values(df, subject, encode_long_int, F.col("epoch"), F.col(count).cast("int"))
 
 
 def publish_files(messages: DataFrame, path: str, batch_id: int) -> None:

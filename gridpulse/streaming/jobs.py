@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import raw_types
 from ..functions.subjects import alert_subject, append_token, report_subject
 from ..functions.timeparts import calendar_parts, local_date
 from ..operators import aggregates as agg
@@ -32,8 +33,9 @@ def reduce_each_batch(path: str, reduce: Callable[[DataFrame], DataFrame]) -> Ba
 
 def raw_rows(readings: DataFrame, utc_offset_hours: int = 0) -> DataFrame:
     """Readings with the calendar parts that make up the raw table's key."""
+    ids = {name: F.col(name) for name in ("line", "transformer", "usage_point")}
     return readings.select(
-        "line", "transformer", "usage_point",
+        *raw_types(ids),
         *calendar_parts(F.col("epoch"), utc_offset_hours),
         local_date(F.col("epoch"), utc_offset_hours).alias("date"),
         "voltage", "ts", "event_id",

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gridpulse.functions import casts
 from gridpulse.operators import aggregates as agg
 from gridpulse.operators import buckets, gaps, percentiles, series, sizes, upserts
 from gridpulse.sources import metrics
@@ -224,3 +225,21 @@ def test_counter_text(spark):
     assert metrics.counts_as_json(lines).first()[0] == '{"0":17,"1":250}'
     status = [("\t\tLocal write count: 12",), ("\t\tLocal read count: 99",), ("\t\tLocal write count: 30",)]
     assert metrics.write_counts(spark.createDataFrame(status, "t string"), "t").first()[0] == 42
+
+
+def test_stored_tiers(spark, rows):
+    df = spark.createDataFrame([("a.sum", t, 1.0) for t in range(0, 200, 5)], "name string, epoch bigint, value double")
+    got = buckets.stored_tiers(df, F.lit(200), (10, 30), (60, 140))
+    assert rows(got, "tier", "bucket", "value") == sorted(
+        [("fine", t, 1.0) for t in (170, 180, 190)]
+        + [("coarse", 60, 6.0), ("coarse", 120, 6.0), ("coarse", 180, 2.0)], key=repr)
+
+
+def test_lag_forecast(spark, rows):
+    df = spark.createDataFrame([(1, t * 900, float(t)) for t in range(14)], "s int, epoch bigint, t double")
+    assert rows(series.lag_forecast(df, "t", ["s"]), "t", "forecast") == [(12.0, 0.0), (13.0, 1.0)]
+
+
+def test_narrowing_gives_null_where_it_does_not_fit(spark):
+    df = spark.createDataFrame([(v,) for v in (-129, -128, 127, 128, 2**40, None)], "v bigint").coalesce(1)
+    assert [r[0] for r in df.select(casts.narrow(F.col("v"), "tinyint")).collect()] == [None, -128, 127, None, None, None]
