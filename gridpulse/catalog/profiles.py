@@ -170,8 +170,7 @@ def hour_temperatures(spark, sf_dir):
     TEMPERATURES, HOUR_TEMPERATURE,
 )
 def forecast_lag(spark, sf_dir):
-    hours = hour_temperatures(spark, sf_dir).withColumn("all", F.lit(0))
-    return series.lag_forecast(hours, "temperature", ["all"]).drop("all")
+    return series.lag_forecast(hour_temperatures(spark, sf_dir), "temperature", [])
 
 
 @catalog.query(

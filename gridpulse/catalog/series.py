@@ -135,7 +135,7 @@ def fill_linear(spark, sf_dir):
 def step_change(spark, sf_dir):
     rows = tables.hourly(tables.readings(spark, sf_dir))
     hours = buckets.bucket_max(rows, "voltage", HOUR).withColumnRenamed("bucket", "epoch")
-    steps = series.step_changes(hours.withColumn("all", F.lit(0)), "voltage", 100.0, ["all"], ["epoch"], max_rows=None)
+    steps = series.step_changes(hours, "voltage", 100.0, [], ["epoch"], max_rows=None)
     return tidy(steps.select("epoch", "voltage", "step"))
 
 
@@ -146,8 +146,8 @@ def step_change(spark, sf_dir):
     TEMPERATURES, HOUR_TEMPERATURE,
 )
 def cadence_break(spark, sf_dir):
-    hours = hour_temperatures(spark, sf_dir).withColumn("all", F.lit(0))
-    return series.cadence_breaks(hours, HOUR, ["all"], max_rows=None).select("epoch", "gap")
+    hours = hour_temperatures(spark, sf_dir)
+    return series.cadence_breaks(hours, HOUR, [], max_rows=None).select("epoch", "gap")
 
 
 @catalog.query(

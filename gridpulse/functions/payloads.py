@@ -22,41 +22,38 @@ _LONG_BYTES = 8
 _WORD_BYTES = 4
 
 
-def _whole(payload: Column, end: int, value: Column) -> Column:
-    """``value``, or null when the payload stops before byte ``end``."""
-    return F.when(F.octet_length(payload) >= end, value)
+def _number(payload: Column, start: int, size: int, base: int) -> Column:
+    """Integer in ``size`` bytes, or null when the payload stops before them."""
+    whole = F.octet_length(payload) >= start + size - 1
+    digits = F.hex(F.when(whole, F.substring(payload, start, size)))
+    return F.conv(digits, 16, base).cast("bigint")
 
 
 def decode_long(payload: Column, start: int = 1) -> Column:
     """Signed 64-bit integer at byte ``start`` (from 1)."""
-    raw = F.conv(F.hex(F.substring(payload, start, _LONG_BYTES)), 16, -10)
-    return _whole(payload, start + _LONG_BYTES - 1, raw.cast("bigint"))
-
-
-def _word(payload: Column, start: int) -> Column:
-    raw = F.conv(F.hex(F.substring(payload, start, _WORD_BYTES)), 16, 10)
-    return _whole(payload, start + _WORD_BYTES - 1, raw.cast("bigint"))
+    return _number(payload, start, _LONG_BYTES, -10)
 
 
 def decode_int(payload: Column, start: int = 9) -> Column:
     """Signed 32-bit integer at byte ``start``."""
-    word = _word(payload, start)
-    return F.when(word >= 2**31, word - 2**32).otherwise(word).cast("int")
+    word = _number(payload, start, _WORD_BYTES, 10)
+    return F.shiftright(F.shiftleft(word, 32), 32).cast("int")
 
 
 def decode_float(payload: Column, start: int = 9) -> Column:
-    """IEEE single-precision number at byte ``start``, special values included."""
-    word = _word(payload, start)
-    sign = F.when(word >= 2**31, -1.0).otherwise(1.0)
+    """IEEE single-precision number at byte ``start``, special values included.
+
+    Plain arithmetic without branches around the word, so that Spark computes the word once.
+    The largest exponent overflows to infinity in the final cast.
+    """
+    word = _number(payload, start, _WORD_BYTES, 10)
     exponent = F.shiftright(word, 23).bitwiseAND(255)
     fraction = word.bitwiseAND(2**23 - 1)
-    magnitude = (
-        F.when((exponent == 255) & (fraction == 0), float("inf"))
-        .when(exponent == 255, float("nan"))
-        .when(exponent == 0, fraction * F.lit(2.0**-149))
-        .otherwise((fraction + 2**23) * F.pow(F.lit(2.0), exponent - 150))
-    )
-    return F.when(word.isNotNull(), (sign * magnitude).cast("float"))
+    sign = 1.0 - 2.0 * F.shiftright(word, 31)
+    mantissa = F.least(exponent, F.lit(1)) * 2**23 + fraction
+    power = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(1)) - 150)
+    not_a_number = (exponent == 255) & (fraction > 0)
+    return (sign * mantissa * power + F.when(not_a_number, float("nan")).otherwise(-0.0)).cast("float")
 
 
 def decode_reading(payload: Column) -> list[Column]:
@@ -69,11 +66,17 @@ def _rows(payload: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(payload, pa.ChunkedArray):
         payload = payload.combine_chunks()
     offsets = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset:][: len(payload) + 1]
-    usable = (np.diff(offsets) >= width) & np.asarray(payload.is_valid())
+    lengths = np.diff(offsets)
+    usable = (lengths >= width) & np.asarray(payload.is_valid())
+    if not usable.any():
+        return np.zeros((len(payload), width), np.uint8), ~usable
+    data = np.frombuffer(payload.buffers()[2], np.uint8)
+    if usable.all() and (lengths == lengths[0]).all():
+        # Messages of one layout lie back to back, so a view will do.
+        body = data[offsets[0]: offsets[-1]].reshape(len(payload), lengths[0])
+        return np.ascontiguousarray(body[:, :width]), ~usable
     matrix = np.zeros((len(payload), width), np.uint8)
-    if usable.any():
-        data = np.frombuffer(payload.buffers()[2], np.uint8)
-        matrix[usable] = data[offsets[:-1][usable, None] + np.arange(width)]
+    matrix[usable] = data[offsets[:-1][usable, None] + np.arange(width)]
     return matrix, ~usable
 
 

@@ -10,6 +10,11 @@ from ..functions.timeparts import bucket_start
 from .sizes import ROWS_PER_TASK, chunk_seconds
 
 
+def _along(series: list[str]) -> Window:
+    """Window over each series, or over the whole frame as one series."""
+    return Window.partitionBy(*(series or [F.lit(0)]))
+
+
 def with_previous(
     df: DataFrame,
     series: list[str],
@@ -27,7 +32,7 @@ def with_previous(
     width = None if max_rows is None else chunk_seconds(df, series, epoch, max_rows)
     if width is not None:
         return _chunked_previous(df, series, order, columns, epoch, width)
-    before = Window.partitionBy(*series).orderBy(*order)
+    before = _along(series).orderBy(*order)
     return df.withColumns({f"prev_{c}": F.lag(c).over(before) for c in columns})
 
 
@@ -43,7 +48,7 @@ def _chunked_previous(
     ends = rows.groupBy(*series, "_chunk").agg(
         F.max(F.struct(*needed)).alias("_end")
     )
-    chunks = Window.partitionBy(*series).orderBy("_chunk")
+    chunks = _along(series).orderBy("_chunk")
     repeats = (
         ends.withColumn("_next", F.lead("_chunk").over(chunks))
         .filter(F.col("_next").isNotNull())
@@ -129,7 +134,7 @@ def lag_forecast(
 
     Takes one row per (series, time), as :func:`align_forecast` does.
     """
-    ordered = Window.partitionBy(*series).orderBy(time)
+    ordered = _along(series).orderBy(time)
     return df.withColumn("forecast", F.lag(value, steps).over(ordered)).filter(
         F.col("forecast").isNotNull()
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import bucket_start
 
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 1_000_000
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:

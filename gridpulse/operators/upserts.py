@@ -29,9 +29,23 @@ def last_value(value: str, order: list[str]) -> Column:
 def newest_rows(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
     """The ``n`` newest rows per key, newest first.
 
-    Spark trims every key to ``n`` rows before the shuffle, so a hot key ships little.
+    Spark trims every key to ``n`` rows before the shuffle, so a hot key ships little. It does
+    so up to a configured ``n``; beyond, each input partition's share of a key is trimmed
+    first, which bounds what one task sees of a key by the size of a partition.
     """
-    recent = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    newest_first = [F.col(c).desc() for c in order]
+    trimmed_by_spark = int(
+        df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    )
+    if n > trimmed_by_spark:
+        shares = Window.partitionBy(*keys, "_share").orderBy(*newest_first)
+        df = (
+            df.withColumn("_share", F.spark_partition_id())
+            .withColumn("_rank", F.row_number().over(shares))
+            .filter(F.col("_rank") <= n)
+            .drop("_share", "_rank")
+        )
+    recent = Window.partitionBy(*keys).orderBy(*newest_first)
     return df.withColumn("recency", F.row_number().over(recent)).filter(F.col("recency") <= n)
 
 

@@ -19,14 +19,23 @@ BATCH = "batch_id"
 
 
 def overwrite(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
-    """Replace an aggregate table."""
+    """Replace an aggregate table.
+
+    Rows of a partitioned table are gathered by partition first, otherwise every task would
+    leave a file in every folder. Adaptive execution splits a partition too large for a task.
+    """
+    if partitions:
+        df = df.hint("rebalance", *partitions)
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
     """Write a batch's rows, replacing whatever an earlier try of the same batch left."""
-    target = f"{path}/{BATCH}={batch_id}"
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(target)
+    overwrite(df, f"{path}/{BATCH}={batch_id}", partitions)
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

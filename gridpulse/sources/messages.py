@@ -36,10 +36,16 @@ def message_topic(spark: SparkSession, servers: str, topics: str, **options: str
     )
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    """A stored table read as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+FILES_PER_BATCH = 1000
+
+
+def table_stream(
+    spark: SparkSession, sf_dir: str, name: str, schema: str, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
+    """A stored table, one file or a folder of them, read as a stream."""
+    # A glob that matches just this name: a file source takes no plain file as its path.
+    path = f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet"
+    return message_files(spark, path, schema, files_per_batch)
 
 
 def keyed(

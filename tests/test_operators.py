@@ -56,6 +56,15 @@ def test_newest_rows_and_limit(spark, rows):
     assert [r.t for r in upserts.limit_rows(df, ["t"], 3).collect()] == [0, 1, 2]
 
 
+def test_newest_rows_beyond_sparks_own_trimming(spark, rows):
+    df = spark.range(0, 3000, 1, 6).select(F.when(F.col("id") % 3 > 0, 1).otherwise(0).alias("k"), F.col("id").alias("t"))
+    got = upserts.newest_rows(df, ["k"], ["t"], 1001)
+    assert got.columns == ["k", "t", "recency"]
+    want = [(0, t, i + 1) for i, t in enumerate(sorted((t for t in range(3000) if t % 3 == 0), reverse=True))]
+    want += [(1, t, i + 1) for i, t in enumerate(sorted((t for t in range(3000) if t % 3), reverse=True)) if i < 1001]
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_epoch_upsert_modes(spark, rows):
     df = spark.createDataFrame([(1, 1, 9.0), (1, 2, 5.0)], "epoch int, batch_id int, v double")
     assert rows(upserts.upsert_epochs(df, "v", ["batch_id"])) == [(1, 9.0)]
@@ -127,6 +136,13 @@ def test_chunked_series_see_every_predecessor(spark, rows):
     assert sizes.chunk_seconds(df, ["s"], "epoch") is None
 
 
+def test_whole_frame_as_one_series(spark, rows):
+    df = _walk(spark, 500)
+    plain = series.with_previous(df, [], ["epoch", "id"], ["v"], max_rows=None)
+    split = series.with_previous(df, [], ["epoch", "id"], ["v"], max_rows=3)
+    assert rows(split.select(plain.columns)) == rows(plain)
+
+
 def test_chunks_hold_no_more_than_asked(spark):
     df = spark.range(10_000).select(F.lit(0).alias("s"), F.floor(F.col("id") / 10).alias("epoch"))
     width = sizes.chunk_seconds(df, ["s"], "epoch", 500)
