@@ -21,7 +21,7 @@ def _ticking(rows):
     return rows.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-DERIVATIVE = """select event_id, round((voltage - prev_v) / ((epoch_us(ts) - epoch_us(prev_ts)) / 1000000.0), 6) as derivative
+DERIVATIVE = """select event_id, round((voltage - prev_v) / nullif((epoch_us(ts) - epoch_us(prev_ts)) / 1000000.0, 0), 6) as derivative
     from (select *, lag(voltage) over w as prev_v, lag(ts) over w as prev_ts
           from readings window w as (partition by {by} order by ts, event_id))
     where prev_ts is not null"""

@@ -6,8 +6,11 @@ JVM. The wide layout and the encoders move whole Arrow batches through numpy.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,9 @@ WIDE_FIELDS = [
     "val7", "val8", "val9", "val10", "val11", "val12",
 ]
 
+# The codecs travel with the query, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _LONG_BYTES = 8
 _WORD_BYTES = 4
 

@@ -23,19 +23,26 @@ def bucketed(
     return df.groupBy(*series, bucket).agg(*[c.alias(name) for name, c in aggregates.items()])
 
 
-def bucket_mean(df, value, seconds, series=()):
+def bucket_mean(
+    df: DataFrame, value: str, seconds: int, series: tuple[str, ...] = ()
+) -> DataFrame:
     return bucketed(df, seconds, {value: F.avg(value)}, series)
 
 
-def bucket_last(df, value, seconds, order, series=()):
+def bucket_last(
+    df: DataFrame, value: str, seconds: int, order: list[str], series: tuple[str, ...] = ()
+) -> DataFrame:
+    """Value of the last row per bucket."""
     return bucketed(df, seconds, {value: last_value(value, order)}, series)
 
 
-def bucket_count(df, seconds, series=()):
+def bucket_count(df: DataFrame, seconds: int, series: tuple[str, ...] = ()) -> DataFrame:
     return bucketed(df, seconds, {"n": F.count("*")}, series)
 
 
-def bucket_max(df, value, seconds, series=()):
+def bucket_max(
+    df: DataFrame, value: str, seconds: int, series: tuple[str, ...] = ()
+) -> DataFrame:
     return bucketed(df, seconds, {value: F.max(value)}, series)
 
 

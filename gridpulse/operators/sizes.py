@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeparts import bucket_start
+from ..functions.timeparts import DAY, bucket_start
 
 ROWS_PER_TASK = 1_000_000
 
@@ -22,14 +22,26 @@ def chunk_seconds(
     """Width of time chunks that hold at most ``max_rows`` rows of a series, or None if every
     series is that small as a whole.
 
-    Starts at a day and narrows to what the densest chunk asks for, down to one second.
+    One pass over the series and time columns settles both unless a day is too much for a
+    task. Then the width narrows to what the densest chunk asks for, down to one second.
     """
-    if largest_group(df, series) <= max_rows:
+    longest, densest = _longest_and_densest(df, series, epoch, DAY)
+    if longest <= max_rows:
         return None
-    width = 86400
-    while True:
-        chunked = df.select(*series, bucket_start(df[epoch], width).alias("_chunk"))
-        densest = largest_group(chunked, [*series, "_chunk"])
-        if densest <= max_rows or width == 1:
-            return width
+    width = DAY
+    while densest > max_rows and width > 1:
         width = max(1, min(width // 2, width * max_rows // densest))
+        _, densest = _longest_and_densest(df, series, epoch, width)
+    return width
+
+
+def _longest_and_densest(
+    df: DataFrame, series: list[str], epoch: str, width: int
+) -> tuple[int, int]:
+    """Rows of the longest series and of the densest chunk of ``width`` seconds."""
+    chunks = df.groupBy(*series, bucket_start(F.col(epoch), width).alias("_chunk")).agg(
+        F.count("*").alias("n")
+    )
+    lengths = chunks.groupBy(*series).agg(F.sum("n").alias("total"), F.max("n").alias("peak"))
+    longest, densest = lengths.agg(F.max("total"), F.max("peak")).first()
+    return longest or 0, densest or 0
