@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..plans import prediction
@@ -18,10 +19,10 @@ catalog = Catalog()
 LIMIT = 120.0
 
 TRAINING = f"""training as (
-    select epoch, case when voltage > 120 then 1 else 0 end as label, voltage, hour,
+    select epoch, case when voltage > 120 then 1::bigint else 0 end as label, voltage, hour,
            50 * sin({ANGLE}) as hour_sin, 50 * cos({ANGLE}) as hour_cos, day_of_week, temperature
     from (select epoch, voltage, temperature, epoch % 86400 // 3600 as hour,
-                 case when dayofweek(make_timestamp(epoch * 1000000)) in (0, 6) then 50 else 0 end as day_of_week
+                 case when dayofweek(make_timestamp(epoch * 1000000)) in (0, 6) then 50::bigint else 0 end as day_of_week
           from hour_max join hour_temperature using (epoch)))"""
 
 VIEWS = (READINGS, TEMPERATURES, HOUR_MAX, HOUR_TEMPERATURE, TRAINING)
@@ -42,6 +43,21 @@ def feature_join(spark, sf_dir):
     return tidy(_training(spark, sf_dir))
 
 
+@catalog.query(
+    """select epoch, label, round(hour_sin, 6) as hour_sin, round(hour_cos, 6) as hour_cos,
+              cast(day_of_week as double) as day_of_week, temperature from training""",
+    *VIEWS,
+)
+def feature_vector(spark, sf_dir):
+    """The assembled vector, taken apart again."""
+    parts = vector_to_array("features")
+    return tidy(
+        prediction.assemble(_training(spark, sf_dir)).select(
+            "epoch", "label", *[parts[i].alias(name) for i, name in enumerate(prediction.FEATURES)]
+        )
+    )
+
+
 @catalog.query(
     """select event_id, event_id % 10 < 6 as is_train from events"""
 )
@@ -76,7 +92,7 @@ def _store(spark, sf_dir) -> prediction.ModelStore:
     return _models[key]
 
 
-@catalog.query("select 1 as version, count(*) as n, sum(label)::bigint as positives from training", *VIEWS)
+@catalog.query("select 1::bigint as version, count(*) as n, sum(label)::bigint as positives from training", *VIEWS)
 def train_once(spark, sf_dir):
     store = _store(spark, sf_dir)
     rows = _training(spark, sf_dir)
@@ -102,6 +118,21 @@ def holdout_accuracy(spark, sf_dir):
     return tidy(prediction.holdout_accuracy(_training(spark, sf_dir), split="hash"))
 
 
+@catalog.query(
+    """select epoch, '{"timestamp":' || (epoch * 1000) || ',"temperature":' || cast(temperature as varchar)
+              || ',"alert":120.0}' as message
+       from training where hour_cos < 0""",
+    *VIEWS,
+)
+def positive_by_rule(spark, sf_dir):
+    """The filter and message of positive predictions, on predictions SQL can make too."""
+    ruled = _training(spark, sf_dir).withColumn(
+        "prediction", (F.col("hour_cos") < 0).cast("double")
+    )
+    message = prediction.reports.prediction_json(F.col("epoch"), F.col("temperature"), LIMIT)
+    return prediction.positive_predictions(ruled).select("epoch", message.alias("message"))
+
+
 @catalog.query()
 def score_positive(spark, sf_dir):
     scored = prediction.score(_store(spark, sf_dir).load(1), _training(spark, sf_dir))
@@ -122,7 +153,7 @@ def stream_score(spark, sf_dir):
     return spark.read.schema("epoch bigint, message string").parquet(f"{root}/batch_id=*")
 
 
-@catalog.query("select 1 as first_version, 2 as second_version, count(*) as scored from training", *VIEWS)
+@catalog.query("select 1::bigint as first_version, 2::bigint as second_version, count(*) as scored from training", *VIEWS)
 def model_refresh(spark, sf_dir):
     """A scorer that picks up a newer version and scores every row with it."""
     trained = _store(spark, sf_dir).load(1)

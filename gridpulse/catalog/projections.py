@@ -103,7 +103,7 @@ def payload_decode_wide(spark, sf_dir):
 
 
 @catalog.query(
-    """select event_id, 12 as n_bytes, epoch, round(cast(cast(value as float) as double), 6) as value
+    """select event_id, 12::bigint as n_bytes, epoch, round(cast(cast(value as float) as double), 6) as value
        from messages""",
     MESSAGE_SUBJECTS,
 )
@@ -210,7 +210,7 @@ def hour_features(spark, sf_dir):
 
 
 @catalog.query(
-    """select event_id, case when dayofweek(ts) in (0, 6) then 50 else 0 end as weekend from readings""",
+    """select event_id, case when dayofweek(ts) in (0, 6) then 50::bigint else 0 end as weekend from readings""",
     READINGS,
 )
 def weekend_flag(spark, sf_dir):
@@ -219,7 +219,7 @@ def weekend_flag(spark, sf_dir):
 
 
 @catalog.query(
-    """select event_id, case when voltage > 116 then 1 else 0 end as label from readings""", READINGS
+    """select event_id, case when voltage > 116 then 1::bigint else 0 end as label from readings""", READINGS
 )
 def threshold_label(spark, sf_dir):
     rows = tables.readings(spark, sf_dir)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.payloads import decode_wide_reading
 from ..functions.timeparts import HOUR_SECONDS
 from ..session import scratch
 from ..sinks import tables as stored
 from ..sources import messages, tables
 from ..streaming import jobs, runner
-from .base import READINGS, TEMPERATURES, Catalog, tidy
+from .base import READINGS, TEMPERATURES, TIME_PARTS, Catalog, tidy
 
 catalog = Catalog()
 
@@ -54,7 +55,7 @@ def stream_unkeyed_source(spark, sf_dir):
 
 
 @catalog.query(
-    """select 0 as batch_id, subject, max(epoch) as epoch, max(voltage) as voltage
+    """select 0::bigint as batch_id, subject, max(epoch) as epoch, max(voltage) as voltage
        from readings group by subject""",
     READINGS,
 )
@@ -130,6 +131,34 @@ def stream_multi_sink(spark, sf_dir):
     return tidy(parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]))
 
 
+@catalog.query(
+    f"""select line, transformer, usage_point, {TIME_PARTS}, epoch,
+               round(cast(cast(voltage as float) as double), 6) as voltage,
+               round(cast(cast(voltage + 11 as float) as double), 6) as val12, slot_count
+        from (select *, row_number() over (partition by usage_point, date_trunc('minute', ts)
+                                           order by epoch desc, voltage desc) as recency,
+                     count(*) over () as slot_count
+              from readings)
+        where recency = 1""",
+    READINGS,
+)
+def stream_raw_bridge(spark, sf_dir):
+    """Wide binary messages to the wide raw table, with the number counted for the slot."""
+    root = scratch(spark, "bridge")
+    decoded = messages.point_readings(
+        tables.as_wide_messages(_events(spark, sf_dir)), "raw.voltage.data.>", decode_wide_reading
+    )
+    _drain(spark, decoded, jobs.store_messages(root, "1"))
+    raw = stored.read_upserts(spark, f"{root}/raw", jobs.POINT_KEY, ["epoch"])
+    counted = stored.read_counters(spark, f"{root}/counts", ["slot"])
+    return tidy(
+        raw.select(
+            *jobs.POINT_KEY, "day_of_week", "epoch", "voltage", "val12",
+            counted.filter(F.col("slot") == "1").select("n").scalar().alias("slot_count"),
+        )
+    )
+
+
 @catalog.query(
     """select 'max' as output, subject, cast(cast(max(voltage) as float) as varchar) as message
        from readings group by subject

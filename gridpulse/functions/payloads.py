@@ -102,6 +102,12 @@ def decode_wide(payload: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(fields, ["epoch", *WIDE_FIELDS])
 
 
+def decode_wide_reading(payload: Column) -> list[Column]:
+    """The decoder hook for 56-byte voltage messages."""
+    fields = decode_wide(payload)
+    return [fields.getField(name).alias(name) for name in ("epoch", *WIDE_FIELDS)]
+
+
 def _packed(columns: list[pa.Array], types: list[str]) -> pa.Array:
     """One fixed-width record per row; null where any input is null."""
     layout = np.dtype([(f"f{i}", t) for i, t in enumerate(types)])

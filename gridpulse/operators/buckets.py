@@ -105,6 +105,8 @@ def rollup(
     A fine slot holds its last point. A coarse slot is null unless enough of its fine slots
     are known. Names are matched once per coarse slot, not once per point.
     """
+    if coarse_seconds % fine_seconds:
+        raise ValueError("a coarse slot must hold a whole number of fine slots")
     fine = bucketed(df, fine_seconds, {"value": last_value("value", list(order))}, ("name",))
     coarse = fine.groupBy("name", bucket_start(F.col("bucket"), coarse_seconds).alias("slot")).agg(
         F.min("value").alias("min"),

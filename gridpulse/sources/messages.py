@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.payloads import decode_reading
-from ..functions.subjects import subject_matches
+from ..functions.subjects import subject_matches, subject_tokens
 
 MESSAGE_SCHEMA = "subject string, payload binary"
 
@@ -56,6 +56,13 @@ def keyed(
     return chosen.select(*keep, "subject", *decoder(F.col("payload")))
 
 
+def point_readings(
+    messages: DataFrame, pattern: str, decoder: Decoder = decode_reading, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Decoded messages with line, transformer and usage_point taken from the subject."""
+    return keyed(messages, pattern, decoder, keep).select("*", *subject_tokens(F.col("subject")))
+
+
 def unkeyed(
     messages: DataFrame, pattern: str, decoder: Decoder = decode_reading, keep: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -105,16 +105,20 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_messages(events(spark, sf_dir))
 
 
-def wide_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_wide_messages(events_df: DataFrame) -> DataFrame:
     """Readings as 56-byte messages: demand and val3..val12 step up from the voltage."""
     fields = F.struct(
         *[(F.col("voltage") + i).cast("float").alias(f) for i, f in enumerate(WIDE_FIELDS)]
     )
-    return readings(spark, sf_dir).select(
+    return as_readings(events_df).select(
         "event_id", "subject", encode_wide(F.col("epoch"), fields).alias("payload")
     )
 
 
+def wide_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_wide_messages(events(spark, sf_dir))
+
+
 FLUSH_SECONDS = 300
 
 

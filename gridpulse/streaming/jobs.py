@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import raw_types
+from ..functions.payloads import WIDE_FIELDS
 from ..functions.subjects import alert_subject, append_token, report_subject
 from ..functions.timeparts import calendar_parts, local_date
 from ..operators import aggregates as agg
@@ -31,14 +32,26 @@ def reduce_each_batch(path: str, reduce: Callable[[DataFrame], DataFrame]) -> Ba
     return on_batch
 
 
-def raw_rows(readings: DataFrame, utc_offset_hours: int = 0) -> DataFrame:
-    """Readings with the calendar parts that make up the raw table's key."""
+WRITE_ORDER = ("ts", "event_id")
+
+
+def raw_rows(
+    readings: DataFrame,
+    utc_offset_hours: int = 0,
+    values: tuple[str, ...] = ("voltage",),
+    order: tuple[str, ...] = WRITE_ORDER,
+) -> DataFrame:
+    """Readings with the calendar parts that make up the raw table's key.
+
+    ``order`` names the columns that tell which of two rows was written last.
+    """
     ids = {name: F.col(name) for name in ("line", "transformer", "usage_point")}
     return readings.select(
         *raw_types(ids),
         *calendar_parts(F.col("epoch"), utc_offset_hours),
         local_date(F.col("epoch"), utc_offset_hours).alias("date"),
-        "voltage", "ts", "event_id",
+        *values,
+        *order,
     )
 
 
@@ -56,7 +69,7 @@ def store_readings(root: str, subject: str = "extract", log_level: str = "") ->
             raw = raw_rows(batch)
             reports.show_stage(raw, "RAW_DATA", log_level)
             tables.upsert_batch(
-                raw, f"{root}/raw", batch_id, POINT_KEY, ["ts", "event_id"], F.col("date")
+                raw, f"{root}/raw", batch_id, POINT_KEY, list(WRITE_ORDER), F.col("date")
             )
             tables.increment_batch(batch, f"{root}/counts", batch_id, ["line"])
             tables.write_batch(agg.max_by_epoch(batch, "voltage"), f"{root}/max", batch_id)
@@ -72,6 +85,29 @@ def store_readings(root: str, subject: str = "extract", log_level: str = "") ->
     return on_batch
 
 
+def store_messages(
+    root: str,
+    slot: str,
+    values: tuple[str, ...] = tuple(WIDE_FIELDS),
+    order: tuple[str, ...] = ("epoch",),
+) -> BatchHandler:
+    """The raw bridge: every decoded message to the raw table, and counts per writer slot."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            raw = raw_rows(batch, values=values, order=order)
+            tables.upsert_batch(
+                raw, f"{root}/raw", batch_id, POINT_KEY, list(order), F.col("date")
+            )
+            slotted = batch.withColumn("slot", F.lit(slot))
+            tables.increment_batch(slotted, f"{root}/counts", batch_id, ["slot"])
+        finally:
+            batch.unpersist()
+
+    return on_batch
+
+
 def store_temperatures(root: str, subject: str = "extract", how: str = "max") -> BatchHandler:
     """One temperature per epoch, stored and reported."""
 

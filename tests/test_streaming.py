@@ -148,3 +148,25 @@ def test_interval_trigger(spark, landed):
     finally:
         query.stop()
     assert sum(seen) == 400
+
+
+def test_raw_bridge_stores_wide_messages_and_counts_its_slot(spark, rows):
+    landed, root = session.scratch(spark, "messages"), session.scratch(spark, "bridge")
+    fields = F.struct(*[(F.col("voltage") + i).cast("float").alias(f) for i, f in enumerate(payloads.WIDE_FIELDS)])
+    wide = _readings(spark).select("subject", payloads.encode_wide("epoch", fields).alias("payload"))
+    wide.repartition(3).write.parquet(landed)
+    decoded = messages.point_readings(
+        messages.message_files(spark, landed, files_per_batch=1), "raw.voltage.data.>", payloads.decode_wide_reading)
+    _drain(spark, decoded, jobs.store_messages(root, "3"))
+    assert rows(tables.read_counters(spark, f"{root}/counts", ["slot"])) == [("3", 400)]
+    raw = tables.read_upserts(spark, f"{root}/raw", jobs.POINT_KEY, ["epoch"])
+    assert raw.count() == _readings(spark).select("subject", F.floor(F.col("epoch") / 60)).distinct().count()
+    assert raw.filter(F.col("val12") != F.col("voltage") + 11).count() == 0
+    assert dict(raw.dtypes)["line"] == "tinyint" and dict(raw.dtypes)["year"] == "smallint"
+
+
+def test_a_wide_message_is_decoded_once(spark):
+    df = spark.createDataFrame([("a.1.2.3", bytearray(56))], "subject string, payload binary")
+    decoded = messages.point_readings(df, "a.>", payloads.decode_wide_reading)
+    plan = decoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("decode_wide(") == 1
