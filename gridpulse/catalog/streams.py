@@ -115,7 +115,7 @@ def stream_multi_sink(spark, sf_dir):
     raw = stored.read_upserts(spark, f"{root}/raw", jobs.POINT_KEY, ["ts", "event_id"])
     counts = stored.read_counters(spark, f"{root}/counts", ["line"])
     maxima = stored.read_folded(spark, f"{root}/max", ["epoch"], "voltage")
-    report = spark.read.parquet(f"{root}/report")
+    report = spark.read.parquet(f"{root}/max_report")
     outputs = [
         ("raw", raw, F.col("voltage")),
         ("counts", counts, F.col("n")),
@@ -173,10 +173,10 @@ def stream_alert_job(spark, sf_dir):
     decoded = messages.keyed(tables.as_messages(_events(spark, sf_dir)), "raw.voltage.data.>")
     _drain(spark, decoded, jobs.publish_alerts(root))
     texts = [
-        spark.read.parquet(f"{root}/{name}_text").select(
+        spark.read.parquet(f"{root}/{folder}").select(
             F.lit(name).alias("output"), "subject", "message"
         )
-        for name in ("max", "alert")
+        for name, folder in (("max", "subject_max_text"), ("alert", "alert_text"))
     ]
     return texts[0].unionAll(texts[1])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import calendar_parts
@@ -19,9 +19,9 @@ def average_voltage(readings: DataFrame, keys: list[str] = DAY_KEYS) -> DataFram
     return average_by(dated, keys, "voltage")
 
 
-def run(spark: SparkSession, raw_path: str, target: str) -> DataFrame:
-    """Read the raw table as a SQL view, average it and replace the result table."""
-    spark.read.parquet(raw_path).createOrReplaceTempView("raw_data")
-    raw = spark.sql("select * from raw_data")
-    overwrite(average_by(raw, DAY_KEYS, "voltage"), target)
+def run(raw: DataFrame, target: str) -> DataFrame:
+    """Register the raw table as a SQL view, average it and replace the result table."""
+    spark = raw.sparkSession
+    raw.createOrReplaceTempView("raw_data")
+    overwrite(average_by(spark.sql("select * from raw_data"), DAY_KEYS, "voltage"), target)
     return spark.read.parquet(target)

@@ -55,7 +55,12 @@ def raw_rows(
     )
 
 
-def store_readings(root: str, subject: str = "extract", log_level: str = "") -> BatchHandler:
+def store_readings(
+    root: str,
+    subject: str = "extract",
+    log_level: str = "",
+    order: tuple[str, ...] = WRITE_ORDER,
+) -> BatchHandler:
     """One input, four outputs: raw rows, counts per line, maxima per epoch and their report.
 
     The batch is kept while the outputs are written, so its source is read and decoded once;
@@ -66,10 +71,10 @@ def store_readings(root: str, subject: str = "extract", log_level: str = "") ->
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            raw = raw_rows(batch)
+            raw = raw_rows(batch, order=order)
             reports.show_stage(raw, "RAW_DATA", log_level)
             tables.upsert_batch(
-                raw, f"{root}/raw", batch_id, POINT_KEY, list(WRITE_ORDER), F.col("date")
+                raw, f"{root}/raw", batch_id, POINT_KEY, list(order), F.col("date")
             )
             tables.increment_batch(batch, f"{root}/counts", batch_id, ["line"])
             tables.write_batch(agg.max_by_epoch(batch, "voltage"), f"{root}/max", batch_id)
@@ -78,7 +83,7 @@ def store_readings(root: str, subject: str = "extract", log_level: str = "") ->
             out = append_token(F.lit(subject), "voltage.max")
             report = reports.json_report(maxima, "voltage", out)
             reports.show_stage(report, "MAX_REPORT", log_level)
-            reports.publish_files(report, f"{root}/report", batch_id)
+            reports.publish_files(report, f"{root}/max_report", batch_id)
         finally:
             batch.unpersist()
 
@@ -116,7 +121,7 @@ def store_temperatures(root: str, subject: str = "extract", how: str = "max") ->
         single = tables.read_batch(batch.sparkSession, f"{root}/temperature", batch_id)
         out = append_token(F.lit(subject), "temperature.max")
         reports.publish_files(
-            reports.json_report(single, "temperature", out), f"{root}/report", batch_id
+            reports.json_report(single, "temperature", out), f"{root}/temperature_report", batch_id
         )
 
     return on_batch
@@ -140,8 +145,8 @@ def publish_alerts(
             reports.show_stage(maxima, "MAX", log_level)
             reports.show_stage(alerts, "ALERTS", log_level)
             outputs = {
-                "max": reports.binary_values(maxima, value, subject),
-                "max_text": reports.text_report(maxima, value, report_subject(subject)),
+                "subject_max": reports.binary_values(maxima, value, subject),
+                "subject_max_text": reports.text_report(maxima, value, report_subject(subject)),
                 "alert": reports.binary_counts(alerts, "n", alert_subject(subject)),
                 "alert_text": reports.text_report(
                     alerts, "n", report_subject(alert_subject(subject))

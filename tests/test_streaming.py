@@ -68,7 +68,7 @@ def test_all_outputs_equal_the_batch_result(spark, landed, rows):
     assert rows(tables.read_counters(spark, f"{root}/counts", ["line"])) == [(1, 400)]
     maxima = tables.read_folded(spark, f"{root}/max", ["epoch"], "voltage")
     assert rows(maxima) == rows(agg.max_by_epoch(batch, "voltage"))
-    report = spark.read.parquet(f"{root}/report")
+    report = spark.read.parquet(f"{root}/max_report")
     assert {r.subject for r in report.select("subject").distinct().collect()} == {"extract.voltage.max"}
 
 
@@ -118,12 +118,12 @@ def test_binary_alert_job(spark, rows):
     df.select("subject", payloads.encode_long_float("epoch", F.col("voltage").cast("float")).alias("payload")).coalesce(1).write.parquet(landed)
     decoded = messages.keyed(messages.message_files(spark, landed), "raw.voltage.data.>")
     _drain(spark, decoded, jobs.publish_alerts(root))
-    maxima = spark.read.parquet(f"{root}/max").select("subject", *payloads.decode_reading(F.col("payload")))
+    maxima = spark.read.parquet(f"{root}/subject_max").select("subject", *payloads.decode_reading(F.col("payload")))
     assert rows(maxima) == rows(agg.max_by_subject(df, "voltage"))
     alerts = spark.read.parquet(f"{root}/alert").select(
         "subject", payloads.decode_long(F.col("payload")), payloads.decode_int(F.col("payload")))
     assert rows(alerts) == rows(agg.alerts(df, "voltage"))
-    text = spark.read.parquet(f"{root}/max_text")
+    text = spark.read.parquet(f"{root}/subject_max_text")
     assert rows(text, "message") == [("139.0",)] * 7
 
 
@@ -133,7 +133,7 @@ def test_temperature_job(spark, rows):
     stream = messages.message_files(spark, landed, "epoch bigint, temperature double")
     _drain(spark, stream, jobs.store_temperatures(root))
     assert rows(tables.read_folded(spark, f"{root}/temperature", ["epoch"], "temperature")) == [(5, 2.5), (6, -1.0)]
-    assert rows(spark.read.parquet(f"{root}/report"), "subject", "message") == [
+    assert rows(spark.read.parquet(f"{root}/temperature_report"), "subject", "message") == [
         ("extract.temperature.max", '{"epoch":5,"temperature":2.5}'),
         ("extract.temperature.max", '{"epoch":6,"temperature":-1.0}')]
 

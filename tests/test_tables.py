@@ -52,9 +52,9 @@ def test_batch_job_replaces_its_result(spark, path, rows):
     )
     target = session.scratch(spark, "daily")
     tables.overwrite(raw, path)
-    averages.run(spark, path, target)
+    averages.run(spark.read.parquet(path), target)
     tables.overwrite(raw.limit(0).unionAll(raw.withColumn("voltage", F.lit(1.0))), path)
-    assert rows(averages.run(spark, path, target)) == [(1, 2, 2016, 12, 24, 1.0)]
+    assert rows(averages.run(spark.read.parquet(path), target)) == [(1, 2, 2016, 12, 24, 1.0)]
 
 
 def test_reports(spark, rows, capsys):
