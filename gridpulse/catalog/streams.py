@@ -8,7 +8,7 @@ from ..functions.payloads import decode_wide_reading
 from ..functions.timeparts import HOUR_SECONDS
 from ..session import scratch
 from ..sinks import tables as stored
-from ..sources import messages, tables
+from ..sources import messages, metrics, tables
 from ..streaming import jobs, runner
 from .base import READINGS, TEMPERATURES, TIME_PARTS, Catalog, tidy
 
@@ -104,23 +104,29 @@ def stream_alerts(spark, sf_dir):
        union all select 'counts', count(distinct line), count(*) from readings
        union all select 'max', count(*), round(sum(v), 6) from (
            select max(voltage) as v from readings group by epoch)
-       union all select 'report', count(*), round(sum(length(
-           '{"epoch":' || epoch || ',"voltage":' || cast(v as varchar) || '}')), 6) from (
-           select epoch, max(voltage) as v from readings group by epoch)""",
+       union all select 'report', count(*), round(sum(v), 6) from (
+           select max(voltage) as v from readings group by epoch)""",
     READINGS,
 )
 def stream_multi_sink(spark, sf_dir):
     root = scratch(spark, "jobs")
     _drain(spark, _readings(spark, sf_dir), jobs.store_readings(root))
-    raw = stored.read_upserts(spark, f"{root}/raw", jobs.POINT_KEY, ["ts", "event_id"])
+    raw = stored.read_upserts(
+        spark, f"{root}/raw", jobs.POINT_KEY, ["ts", "event_id"], newest="order"
+    )
     counts = stored.read_counters(spark, f"{root}/counts", ["line"])
     maxima = stored.read_folded(spark, f"{root}/max", ["epoch"], "voltage")
-    report = spark.read.parquet(f"{root}/max_report")
+    # An epoch spread over batches is reported by each of them; together they give its maximum.
+    reported = metrics.ingest_json(
+        spark.read.parquet(f"{root}/max_report"), "message",
+        {"epoch": "bigint", "voltage": "double"}, "max_voltage",
+    )
+    report = jobs.agg.max_by_epoch(reported, "voltage")
     outputs = [
         ("raw", raw, F.col("voltage")),
         ("counts", counts, F.col("n")),
         ("max", maxima, F.col("voltage")),
-        ("report", report, F.length("message")),
+        ("report", report, F.col("voltage")),
     ]
     parts = [
         df.agg(F.count("*").alias("n"), F.sum(v).cast("double").alias("total")).select(
@@ -149,7 +155,9 @@ def stream_raw_bridge(spark, sf_dir):
         tables.as_wide_messages(_events(spark, sf_dir)), "raw.voltage.data.>", decode_wide_reading
     )
     _drain(spark, decoded, jobs.store_messages(root, "1"))
-    raw = stored.read_upserts(spark, f"{root}/raw", jobs.POINT_KEY, ["epoch"])
+    raw = stored.read_upserts(
+        spark, f"{root}/raw", jobs.POINT_KEY, ["epoch", "voltage"], newest="order"
+    )
     counted = stored.read_counters(spark, f"{root}/counts", ["slot"])
     return tidy(
         raw.select(

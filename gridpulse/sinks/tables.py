@@ -64,15 +64,20 @@ def read_upserts(
     keys: list[str],
     order: list[str],
     where: Column | None = None,
+    newest: str = "batch",
 ) -> DataFrame:
     """Current rows of a table written by :func:`upsert_batch`.
 
-    ``where`` is applied before the merge, so a condition on ``day_partition`` prunes files.
+    With ``newest="batch"`` a later batch overwrites an earlier one, as writes to a store do.
+    With ``"order"`` the greatest ``order`` wins whichever batch brought it, so the result does
+    not depend on how the input was cut into batches. ``where`` is applied before the merge, so
+    a condition on ``day_partition`` prunes files.
     """
     rows = read_batches(spark, path)
     if where is not None:
         rows = rows.filter(where)
-    return latest_by_key(rows, keys, [BATCH, *order]).drop(BATCH, "day_partition")
+    by = {"batch": [BATCH, *order], "order": [*order, BATCH]}[newest]
+    return latest_by_key(rows, keys, by).drop(BATCH, "day_partition")
 
 
 def read_folded(

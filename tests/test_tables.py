@@ -25,6 +25,8 @@ def test_upserts_merge_and_survive_a_replay(spark, path, rows):
     for batch_id, df in ((0, first), (0, first), (1, second), (1, second)):
         tables.upsert_batch(df, path, batch_id, KEYS, ORDER, day)
     assert rows(tables.read_upserts(spark, path, KEYS, ORDER), "k", "v") == [("a", 7.0), ("b", 5.0), ("c", 8.0)]
+    by_time = tables.read_upserts(spark, path, KEYS, ORDER, newest="order")
+    assert rows(by_time, "k", "v") == [("a", 2.0), ("b", 5.0), ("c", 8.0)]
     late = F.col("day_partition") > "1970-01-01"
     assert rows(tables.read_upserts(spark, path, KEYS, ORDER, late), "k", "v") == [("c", 8.0)]
 

@@ -40,25 +40,30 @@ def rows_of(rows, names):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+def difference(connection, columns, got, sql):
+    """What differs between collected rows and the answer of the SQL; None if nothing does."""
+    if sql is None:
+        return None if got else "no rows"
+    answer = connection.execute(sql)
+    names = [d[0] for d in answer.description]
+    want = answer.fetchall()
+    if sorted(names) != sorted(columns):
+        return f"columns {sorted(columns)} but {sorted(names)}"
+    if len(got) != len(want):
+        return f"{len(got)} rows but {len(want)}"
+    for mine, theirs in zip(rows_of(got, columns), rows_of(want, names)):
+        if mine != theirs:
+            return f"{mine} but {theirs}"
+    return None
+
+
 def compare(spark, connection, query, sf_dir):
-    """(seconds, rows, problem) of one query; the problem is None where both agree."""
+    """(seconds, rows, problem) of one query."""
     begin = time.time()
     frame = query.run(spark, sf_dir)
     got = frame.collect()
     seconds = time.time() - begin
-    if query.sql is None:
-        return seconds, len(got), None if got else "no rows"
-    answer = connection.execute(query.sql)
-    names = [d[0] for d in answer.description]
-    want = answer.fetchall()
-    if sorted(names) != sorted(frame.columns):
-        return seconds, len(got), f"columns {sorted(frame.columns)} but {sorted(names)}"
-    if len(got) != len(want):
-        return seconds, len(got), f"{len(got)} rows but {len(want)}"
-    for mine, theirs in zip(rows_of(got, frame.columns), rows_of(want, names)):
-        if mine != theirs:
-            return seconds, len(got), f"{mine} but {theirs}"
-    return seconds, len(got), None
+    return seconds, len(got), difference(connection, frame.columns, got, query.sql)
 
 
 def connect(sf_dir):
