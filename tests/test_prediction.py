@@ -52,8 +52,8 @@ def test_training_rows(spark):
 
 
 def test_holdout_accuracy_on_a_small_sample_is_the_published_one(training):
-    """The published 0.9643 is 27 of 28, or a small multiple: a hold-out of a few hundred rows
-    at most. Its data is not published; twenty days of the simulated curve stand in."""
+    """The published 0.9643 equals 27 of 28, which points to a small hold-out. Its data is not
+    public; twenty days of the simulated curve stand in."""
     days = training.filter(F.col("epoch") < START + 20 * 86400)
     row = prediction.holdout_accuracy(days, prediction.EARLIER_LAYERS, 100).first()
     assert 100 < row.n < 300
