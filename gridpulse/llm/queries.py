@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridpulse.catalog.base import Catalog
-from gridpulse.llm import decontamination, exact, mixture
+from gridpulse.llm import decontamination, exact, forest, mixture
 
 catalog = Catalog()
 
@@ -72,3 +72,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query()
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
+
+
+@catalog.query()
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
