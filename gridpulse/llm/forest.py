@@ -27,13 +27,13 @@ from gridpulse.llm.work import cut
 
 SHINGLE = 2
 PERCENT = 80
-ORDERS = 20
-STRIDE = 4
+ORDERS = 32
+STRIDE = 3
 SLOTS = ORDERS * STRIDE
 #: Slots of 16 bits that an order sorts by.
 DEPTH = 8
-REACH = 32
-AGREE = 45
+REACH = 64
+AGREE = 55
 
 _random = np.random.default_rng(20)
 _FLIP = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64)

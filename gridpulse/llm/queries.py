@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridpulse.catalog.base import Catalog
-from gridpulse.llm import decontamination, exact, forest, mixture
+from gridpulse.llm import decontamination, exact, forest, mixture, quality, toxicity
 
 catalog = Catalog()
 
@@ -77,3 +77,13 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query()
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@catalog.query()
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@catalog.query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
