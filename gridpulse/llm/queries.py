@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridpulse.catalog.base import Catalog
-from gridpulse.llm import decontamination, exact, forest, mixture, quality, toxicity
+from gridpulse.llm import chunks, decontamination, exact, forest, language, mixture, quality, toxicity
 
 catalog = Catalog()
 
@@ -87,3 +87,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query()
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@catalog.query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@catalog.query()
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"))
+
+
+@catalog.query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(table(spark, sf_dir, "documents"))

@@ -119,7 +119,11 @@ def words(column: pa.Array, alphabet: Alphabet, size: int = BLOCK_BYTES) -> Iter
 
 
 def split(first: int, data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words:
-    inside = alphabet.inside[data]
+    return runs(first, data, offsets, alphabet.inside[data], alphabet.value)
+
+
+def runs(first: int, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, value: np.ndarray) -> Words:
+    """Maximal runs of bytes marked as ``inside``, hashed by the ``value`` of each byte."""
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     opens, closes = inside.copy(), inside.copy()
@@ -128,7 +132,7 @@ def split(first: int, data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet)
         closes[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(alphabet.value[data] * powers(BASE, len(data)), out=sums[1:])
+    np.cumsum(value[data] * powers(BASE, len(data)), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
     hashes = mix(hashes ^ (ends - starts).astype(np.uint64))
     return Words(first, len(offsets) - 1, data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets))
