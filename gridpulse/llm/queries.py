@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridpulse.catalog.base import Catalog
-from gridpulse.llm import chunks, decontamination, exact, forest, language, mixture, quality, toxicity
+from gridpulse.llm import archives, backoff, chunks, decontamination, exact, forest, language, mixture, quality, toxicity
 
 catalog = Catalog()
 
@@ -102,3 +103,56 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query()
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
+
+
+@catalog.query(
+    r"""
+with p as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+    from pages),
+f as (
+    select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first
+    from p)
+select page_id, payload_bytes, payload_digest,
+       case when page_id <> first then 'revisit' else 'response' end as record_type,
+       case when page_id <> first then first end as refers_to
+from f"""
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@catalog.query()
+def capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages")).drop("archive", "offset", "position")
+
+
+@catalog.query(
+    rf"""
+with d as (
+    select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+pairs as (
+    select doc_id, unnest(list_zip(list_concat(['<s>'], w[:-2]), w)) as p, unnest(w) as second
+    from d where len(w) > 0),
+duo as (select doc_id, p[1] as first, second from pairs),
+counts as (select first, second, count(*) as n from duo group by 1, 2),
+singles as (
+    select first, count(*) as n
+    from (select first from duo union all select w[-1] from d where len(w) > 0) group by 1),
+sums as (
+    select b.doc_id, count(*) as n_words, sum(ln(c.n / s.n)) as logs
+    from duo b join counts c using (first, second) join singles s using (first) group by 1)
+select d.doc_id, coalesce(n_words, 0) as n_words, round(coalesce(logs, 0), 4) as log_score
+from d left join sums using (doc_id)"""
+)
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+@catalog.query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
