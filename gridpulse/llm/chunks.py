@@ -216,11 +216,15 @@ def report(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns, repeated chunks cut out of the text; ``n_chars``, if there, counts what remains."""
+    """The rows with all their columns, repeated chunks cut out of the text.
+
+    A row that loses all its words is a copy and goes; ``n_chars``, if there, counts what remains.
+    """
     new = {text: F.col("cleaned")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         length = F.char_length("cleaned").cast(kind)
         new["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("row.n_chars"))
     columns = [new.get(n, F.col(f"row.`{n}`")).alias(n) for n in documents.columns]
-    return cleaned(documents, id, text).select(*columns)
+    left = (F.col("n_removed") == 0) | F.col("cleaned").rlike(r"[^\x00-\x20]")
+    return cleaned(documents, id, text).filter(left).select(*columns)

@@ -139,7 +139,7 @@ def _total(n: int) -> Column:
 
 
 def fused(rows: DataFrame, shares: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """Adds lang, probability and accepted to ``rows`` (declared, host, logs, own, ...).
+    """Adds lang_found, probability and accepted to ``rows``, whose declared, host, logs and own go.
 
     ``shares`` are the rows that the priors are summed from. One row per host is joined; Spark
     broadcasts those only below its own threshold.
@@ -152,7 +152,6 @@ def fused(rows: DataFrame, shares: DataFrame, languages: tuple[str, ...] = LANGU
     prior = [(w + 1.0 / n) / (all_rows + 1.0) for w in whole]
     labels = [*languages, "other", ""]
     says = {d: [(totals.get(d, [0.0] * n)[i] + 0.5) / (whole[i] + 0.5 * len(labels)) for i in range(n)] for d in labels}
-    table = F.create_map(*[x for d in labels for x in (F.lit(d), F.array(*[F.lit(float(v)) for v in says[d]]))])
     by_host = shares.filter("host is not null").groupBy("host").agg(_total(n).alias("own"))
     by_host = by_host.withColumn("suffix", address_suffix(F.col("host")))
     by_suffix = by_host.filter("suffix is not null").groupBy("suffix").agg(_total(n).alias("of_suffix"))
@@ -160,27 +159,44 @@ def fused(rows: DataFrame, shares: DataFrame, languages: tuple[str, ...] = LANGU
         F.col("host").alias("of"), F.col("own").alias("of_host"), "of_suffix"
     )
 
-    def smoothed(counts: str, i: int, parent: Column) -> Column:
-        """The share of a language among a parent's rows without this one; the grandparent's if there are none."""
-        rest = [F.greatest(F.col(counts)[k] - F.col("own")[k], F.lit(0.0)) for k in range(n)]
-        total = sum(rest[1:], rest[0])
-        share = (rest[i] + STRENGTH * parent) / (total + STRENGTH)
-        return F.when(F.col(counts).isNull(), parent).otherwise(share)
-
-    joined = rows.join(hosts, F.col("host") == F.col("of"), "left").withColumn("says", table[known])
-    for i in range(n):
-        joined = joined.withColumn(f"prior_{i}", smoothed("of_host", i, smoothed("of_suffix", i, F.lit(prior[i]))))
-    for i in range(n):
-        joined = joined.withColumn(f"prior_{i}", F.col("logs")[i] + F.log(F.col("says")[i]) + F.log(F.col(f"prior_{i}")))
-    names = [*languages, UNKNOWN]
-    best = F.greatest(*[F.col(f"prior_{i}") for i in range(n)])
-    total = sum((F.exp(F.col(f"prior_{i}") - F.col("best")) for i in range(1, n)), F.exp(F.col("prior_0") - F.col("best")))
-    first = F.coalesce(*[F.when(F.col(f"prior_{i}") == F.col("best"), F.lit(names[i])) for i in range(n)])
-    done = joined.withColumn("best", best).withColumns({"lang_found": first, "probability": 1.0 / total})
-    seen = F.exists("logs", lambda x: x != 0.0)
-    accepted = seen & (F.col("lang_found") != UNKNOWN) & (F.col("probability") >= ACCEPT)
-    extra = ["of", "of_host", "of_suffix", "says", "best", *[f"prior_{i}" for i in range(n)]]
-    return done.withColumn("accepted", accepted).drop(*extra)
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(prior), {d: np.log(says[d]) for d in labels}))
+    inputs = ("declared", "host", "logs", "own")
+    kept = [f for f in rows.schema.fields if f.name not in inputs]
+    names = np.array([*languages, UNKNOWN])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prior, says = shared.value
+        for batch in batches:
+            own, logs = _table(batch.column("own"), n), _table(batch.column("logs"), n)
+            parent = np.tile(prior, (len(batch), 1))
+            for column in ("of_suffix", "of_host"):  # each level smooths towards the one above
+                rest = np.maximum(_table(batch.column(column), n) - own, 0.0)
+                parent = (rest + STRENGTH * parent) / (rest.sum(axis=1, keepdims=True) + STRENGTH)
+            said = np.array([says[d] for d in batch.column("known").to_pylist()]).reshape(len(batch), n)
+            total = logs + said + np.log(parent)
+            best = total.argmax(axis=1)
+            share = np.exp(total - total.max(axis=1, keepdims=True))
+            probability = 1.0 / share.sum(axis=1)
+            accepted = logs.any(axis=1) & (best < n - 1) & (probability >= ACCEPT)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name) for f in kept], pa.array(names[best].tolist(), pa.string()), pa.array(probability), pa.array(accepted)],
+                names=[*[f.name for f in kept], "lang_found", "probability", "accepted"],
+            )
+
+    found = [
+        T.StructField("lang_found", T.StringType()),
+        T.StructField("probability", T.DoubleType()),
+        T.StructField("accepted", T.BooleanType()),
+    ]
+    joined = rows.withColumn("known", known).join(hosts, F.col("host") == F.col("of"), "left").drop("of", "declared", "host")
+    return joined.mapInArrow(run, T.StructType([*kept, *found]))
+
+
+def _table(column: pa.Array, n: int) -> np.ndarray:
+    """A column of lists of ``n`` numbers; a null list is all zero, which leaves a prior to its parent."""
+    out = np.zeros((len(column), n))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy().reshape(-1, n)
+    return out
 
 
 def identify(
