@@ -62,16 +62,19 @@ def chunks(column: pa.Array) -> Iterator[Chunks]:
         n = len(lines.starts)
         last = np.zeros(n, bool)
         if n:
-            last[lines.bounds[1:][np.diff(lines.bounds) > 0] - 1] = True
-            last[:1] |= lines.hashes[:1] % np.uint64(EVERY) == 0
-            last[WINDOW - 1 :] |= tokens.windows(lines.hashes, WINDOW) % np.uint64(EVERY) == 0
+            # a window that would reach into the text before shrinks to the lines of its own text
+            last[WINDOW - 1 :] = tokens.windows(lines.hashes, WINDOW) % np.uint64(EVERY) == 0
+            full = np.diff(lines.bounds) > 0
+            opens = lines.bounds[:-1][full]
+            last[opens] = lines.hashes[opens] % np.uint64(EVERY) == 0
+            last[lines.bounds[1:][full] - 1] = True
         stops = np.flatnonzero(last) + 1
         starts = np.concatenate([np.zeros(1, np.int64), stops[:-1]]) if n else stops
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(lines.hashes * tokens.powers(tokens.BASE, n), out=sums[1:])
         hashes = tokens.mix((sums[stops] - sums[starts]) * tokens.powers(tokens.INVERSE, n + 1)[starts])
-        opens = np.concatenate([[0], np.cumsum(~blank & np.concatenate([[True], blank[:-1]]) if len(data) else [0])])
-        words = opens[lines.ends[stops - 1]] - opens[lines.starts[starts]] if n else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(~blank & np.concatenate([[True], blank[:-1]]) if len(data) else [0])])
+        words = before[lines.ends[stops - 1]] - before[lines.starts[starts]] if n else np.zeros(0, np.int64)
         yield Chunks(lines, starts, stops, hashes, words, np.searchsorted(starts, lines.bounds))
 
 

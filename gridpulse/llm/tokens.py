@@ -27,7 +27,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         row = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
         row[0] = 1
         known = np.multiply.accumulate(row)
-        if n <= BLOCK_BYTES + 1:
+        if n <= 2 * BLOCK_BYTES + 1:
             _powers[int(base)] = known
     return known[:n]
 
