@@ -8,8 +8,11 @@ crowded one only a long shared prefix does. Each order is range-partitioned on t
 no region has to fit one task; rows at the partition edges are compared in a second, small pass.
 
 Neighbours whose signatures agree on enough slots are candidates, and candidates are confirmed on
-the texts. The threshold on slots lies over five standard deviations below what a pair at the wanted
-similarity shows.
+the texts. The threshold on slots lies four standard deviations below what a pair at the wanted
+similarity shows. In a group of many copies almost all neighbours are candidates, and most of them
+say nothing new. So a first round takes the few nearest of each class; the classes that had more are
+searched again with a larger number, now only for candidates outside their component, until none is
+left over. Candidates thus grow with the classes, not with the square of a group.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from gridpulse.llm.work import cut
 
 SHINGLE = 2
 PERCENT = 80
-ORDERS = 32
-STRIDE = 3
+ORDERS = 24
+STRIDE = 4
 SLOTS = ORDERS * STRIDE
 #: Slots of 16 bits that an order sorts by.
 DEPTH = 8
 REACH = 64
-AGREE = 55
+AGREE = 61
+#: Candidates that each class takes in an order, by round; in the last round none is left over.
+ROUNDS = (4, REACH)
 
 _random = np.random.default_rng(20)
 _FLIP = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -95,7 +100,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def orders(classes: DataFrame) -> DataFrame:
-    """Every class once per order: (place, path, node, marks, n)."""
+    """Every class once per order: (place, path, marks, n, root, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,58 +112,67 @@ def orders(classes: DataFrame) -> DataFrame:
                     [
                         pa.array(np.full(len(slots), k, np.int32)),
                         pa.array([row.tobytes() for row in path], pa.binary()),
-                        batch.column("node"),
                         marks,
                         batch.column("n_shingles"),
+                        batch.column("root"),
+                        batch.column("node"),
                     ],
-                    names=["place", "path", "node", "marks", "n"],
+                    names=["place", "path", "marks", "n", "root", "node"],
                 )
 
-    return classes.select("node", "slots", "n_shingles").mapInArrow(
-        run, "place int, path binary, node binary, marks binary, n bigint"
-    )
+    return classes.select("node", "slots", "n_shingles", "root").mapInArrow(run, f"{_LAID}, node binary")
 
 
-_FOUND = "a binary, b binary, place int, path binary, marks binary, n bigint"
+_LAID = "place int, path binary, marks binary, n bigint, root bigint"
 
 
-def _pairs(table: pa.Table, fresh: int, percent: int) -> pa.RecordBatch:
-    """Candidate pairs among neighbours of a sorted run; the second of a pair is at ``fresh`` or later."""
-    place = table["place"].to_numpy()
+def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among neighbours of a sorted run: (first, second, whether left over), the second at
+    ``fresh`` or later. Of each second the nearest ``most`` are taken."""
+    place, root, n = (table[c].to_numpy() for c in ("place", "root", "n"))
     path = _matrix(table["path"].combine_chunks(), 2 * DEPTH)
     marks = _matrix(table["marks"].combine_chunks(), SLOTS)
-    n = table["n"].to_numpy()
-    left, right = [], []
+    taken = np.zeros(len(n), np.int64)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     for reach in range(1, min(REACH, len(n) - 1) + 1):
         second = np.arange(max(reach, fresh), len(n))
         first = second - reach
         near = (place[first] == place[second]) & (path[first, :2] == path[second, :2]).all(axis=1)
-        near &= 100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second])
+        near &= (root[first] != root[second]) & (100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second]))
         first, second = first[near], second[near]
         near = (marks[first] == marks[second]).sum(axis=1) >= AGREE
-        left.append(first[near])
-        right.append(second[near])
-    first = np.concatenate(left) if left else np.zeros(0, np.int64)
-    second = np.concatenate(right) if right else np.zeros(0, np.int64)
+        first, second = first[near], second[near]
+        out.append((first, second, taken[second] >= most))
+        taken[second] += 1
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _found(table: pa.Table, fresh: int, percent: int, most: int) -> pa.RecordBatch:
+    """Candidates as (a, b), and classes with candidates left over as (a, null), each once."""
+    first, second, over = _pairs(table, fresh, percent, most)
     nodes = table["node"].combine_chunks()
-    return pa.RecordBatch.from_arrays([nodes.take(pa.array(first)), nodes.take(pa.array(second))], names=["a", "b"])
+    rest = np.unique(np.concatenate([first[over], second[over]]))
+    a = pa.concat_arrays([nodes.take(pa.array(first[~over])), nodes.take(pa.array(rest))])
+    b = pa.concat_arrays([nodes.take(pa.array(second[~over])), pa.nulls(len(rest), nodes.type)])
+    return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+
+_EDGE = pa.schema([("place", pa.int32()), ("path", pa.binary()), ("marks", pa.binary()), ("n", pa.int64()), ("root", pa.int64())])
 
 
-def _report(pairs: pa.RecordBatch | None, edges: pa.Table | None) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "place", "path", "marks", "n"]
-    types = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-    if pairs is not None and len(pairs):
-        empty = [pa.nulls(len(pairs), t) for t in types[2:]]
-        yield pa.RecordBatch.from_arrays([pairs["a"], pairs["b"], *empty], names=names)
+def _report(found: pa.RecordBatch | None, edges: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b", *_EDGE.names]
+    if found is not None and len(found):
+        yield pa.RecordBatch.from_arrays([found["a"], found["b"], *[pa.nulls(len(found), t) for t in _EDGE.types]], names=names)
     if edges is not None and len(edges):
-        edges = edges.combine_chunks()
-        columns = [edges["node"], pa.nulls(len(edges), pa.binary()), *[edges[c] for c in names[2:]]]
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        edges = edges.combine_chunks().to_batches()[0]
+        columns = [edges["node"], pa.nulls(len(edges), pa.binary()), *[edges[c] for c in _EDGE.names]]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (a, b) of classes that are neighbours in some order and look alike."""
+def candidates(classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b) of classes that are neighbours in some order, look alike and differ in root; (a, null)
+    of classes that have more such neighbours than were taken."""
     laid = orders(classes).repartitionByRange("place", "path", "node").sortWithinPartitions("place", "path", "node")
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,25 +185,25 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             seen += len(table)
             fresh = 0 if held is None else len(held)
             table = table if held is None else pa.concat_tables([held, table])
-            yield from _report(_pairs(table, fresh, percent), None)
+            yield from _report(_found(table, fresh, percent, most), None)
             held = table.slice(max(0, len(table) - REACH))
         if held is not None:
             yield from _report(None, held)
 
     def across(table: pa.Table) -> pa.Table:
         table = table.rename_columns({"a": "node"}).sort_by([("path", "ascending"), ("node", "ascending")])
-        return pa.Table.from_batches([_pairs(table, 0, percent)])
+        return pa.Table.from_batches([_found(table, 0, percent, most)])
 
-    found = cut(laid.mapInArrow(along, _FOUND))
-    edges = found.filter("b is null").drop("b").groupBy("place").applyInArrow(across, "a binary, b binary")
-    pairs = found.filter("b is not null").select("a", "b").unionAll(edges).filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = cut(laid.mapInArrow(along, f"a binary, b binary, {_LAID}"))
+    edges = found.filter("place is not null").drop("b").groupBy("place").applyInArrow(across, "a binary, b binary")
+    pairs = found.filter("place is null").select("a", "b").unionAll(edges).filter("b is null or a <> b")
+    least = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b"))
+    return pairs.select(least.alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
 
 
-def links(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """Candidate pairs whose full sets are similar enough."""
-    pairs = cut(candidates(classes, percent))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    wanted = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = wanted.join(classes.select("node", "least"), "node")
     texts = sketches(documents, size, with_text=True).join(wanted, "node").filter(
         F.col("doc_id").eqNullSafe(F.col("least"))
@@ -210,6 +224,23 @@ def links(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, size
     return both.select("a", "b", "one", "two").mapInArrow(confirm, "a binary, b binary")
 
 
+def rooted(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(node, root) of the classes that some link joins."""
+    open_classes, links, roots = classes.withColumn("root", F.xxhash64("node")), None, None
+    for most in ROUNDS:
+        found = cut(candidates(open_classes, percent, most))
+        new = cut(confirmed(found.filter("b is not null"), documents, classes, percent, size))
+        links = new if links is None else links.unionAll(new)
+        roots = cut(components(links))
+        rest = found.filter("b is null").select(F.col("a").alias("node"))
+        if rest.isEmpty():
+            break
+        label = F.xxhash64(F.coalesce(F.col("to"), F.col("node")))
+        names = roots.select(F.col("node").alias("of"), F.col("root").alias("to"))
+        open_classes = classes.join(rest, "node", "left_semi").join(names, F.col("node") == F.col("of"), "left").withColumn("root", label)
+    return roots
+
+
 def near_duplicates(
     documents: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
@@ -227,7 +258,7 @@ def near_duplicates(
         .groupBy("node")
         .agg(F.min("doc_id").alias("least"), F.first("slots").alias("slots"), F.first("n_shingles").alias("n_shingles"))
     )
-    roots = cut(components(links(slim, classes, percent, size)))
+    roots = rooted(slim, classes, percent, size)
     named = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "root").select("node", "component_id")
