@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,8 @@ from gridpulse.llm import tokens
 from gridpulse.llm.work import cut, packed
 
 WINDOW = 2
-#: A chunk ends after one line in ``EVERY``.
-EVERY = 2
+#: A chunk goes on after one line in ``OPEN`` and ends after the others.
+OPEN = 4
 #: What a run of repeated chunks must have to be removed.
 LINES = 2
 WORDS = 13
@@ -63,10 +64,10 @@ def chunks(column: pa.Array) -> Iterator[Chunks]:
         last = np.zeros(n, bool)
         if n:
             # a window that would reach into the text before shrinks to the lines of its own text
-            last[WINDOW - 1 :] = tokens.windows(lines.hashes, WINDOW) % np.uint64(EVERY) == 0
+            last[WINDOW - 1 :] = tokens.windows(lines.hashes, WINDOW) % np.uint64(OPEN) != 0
             full = np.diff(lines.bounds) > 0
             opens = lines.bounds[:-1][full]
-            last[opens] = lines.hashes[opens] % np.uint64(EVERY) == 0
+            last[opens] = lines.hashes[opens] % np.uint64(OPEN) != 0
             last[lines.bounds[1:][full] - 1] = True
         stops = np.flatnonzero(last) + 1
         starts = np.concatenate([np.zeros(1, np.int64), stops[:-1]]) if n else stops
@@ -176,15 +177,16 @@ def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     Rows are told apart by id and text: equal rows are one document and keep the same chunks.
     """
     rows = packed(documents, doc_id=id, text=text).withColumn("mark", F.xxhash64("text"))
-    gone = cut(repeated(rows.drop("row"))).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "numbers")
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
-    joined = joined.select("row", "text", "numbers")
+    gone = cut(repeated(rows.select("doc_id", "text", "mark"))).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "numbers")
+    joined = rows.drop("text").join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    joined = joined.select("row", "numbers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, numbers = batch.column("text").to_pylist(), batch.column("numbers")
+            column, numbers = pa.compute.struct_field(batch.column("row"), [text]), batch.column("numbers")
+            texts = column.to_pylist()
             lines, removed = [], []
-            for found in chunks(batch.column("text")):
+            for found in chunks(column):
                 for i in range(found.lines.n):
                     lines.append(int(found.lines.bounds[i + 1] - found.lines.bounds[i]))
                     removed.append(0)
