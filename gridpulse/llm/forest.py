@@ -8,8 +8,8 @@ crowded one only a long shared prefix does. Each order is range-partitioned on t
 no region has to fit one task; rows at the partition edges are compared in a second, small pass.
 
 Neighbours whose signatures agree on enough slots are candidates, and candidates are confirmed on
-the texts. The threshold on slots lies four standard deviations below what a pair at the wanted
-similarity shows. In a group of many copies almost all neighbours are candidates, and most of them
+the texts. The threshold on slots lies over two standard deviations below what a pair at the very
+edge of the wanted similarity shows. In a group of many copies almost all neighbours are candidates, and most of them
 say nothing new. So a first round takes the few nearest of each class; the classes that had more are
 searched again with a larger number, now only for candidates outside their component, until none is
 left over. Candidates thus grow with the classes, not with the square of a group.
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm import tokens
 from gridpulse.llm.components import components
+from gridpulse.llm.exact import BITMAP_ROWS
 from gridpulse.llm.work import cut
 
 SHINGLE = 2
@@ -36,7 +37,7 @@ SLOTS = ORDERS * STRIDE
 #: Slots of 16 bits that an order sorts by.
 DEPTH = 8
 REACH = 64
-AGREE = 61
+AGREE = 68
 #: Candidates that each class takes in an order, by round; in the last round none is left over.
 ROUNDS = (4, REACH)
 
@@ -205,9 +206,12 @@ def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percen
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     wanted = wanted.join(classes.select("node", "least"), "node")
-    texts = sketches(documents, size, with_text=True).join(wanted, "node").filter(
-        F.col("doc_id").eqNullSafe(F.col("least"))
-    ).select("node", "text")
+    # only texts of candidates are shuffled: their hashes go back to the scan as a bitmap of fixed size
+    place, bit = F.expr(f"(xxhash64(node) >> 6) & {BITMAP_ROWS - 1}"), F.expr("shiftleft(1L, cast(xxhash64(node) & 63 as int))")
+    marks = wanted.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits"))
+    texts = sketches(documents, size, with_text=True).filter("node is not null")
+    texts = texts.join(F.broadcast(marks), place == F.col("place")).filter(bit.bitwiseAND(F.col("bits")) != 0)
+    texts = texts.join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b"
     )
