@@ -24,7 +24,7 @@ from gridpulse.llm.work import cut, packed
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
 BITS = 16
-SMOOTHING = 0.5
+SMOOTHING = 0.01
 #: Trigrams that count in full; more raise the evidence no further.
 EVIDENCE = 60
 #: Documents that a parent's prior weighs as.

@@ -83,9 +83,9 @@ def apportion(frame: DataFrame, weight: str, key: str, seats: float | None = Non
     first = F.greatest(F.floor(share * (F.col("seats") - F.col("rows") / 2) + 0.5), F.lit(0)).cast("long")
     based = based.withColumn("share", share).withColumn("first", first)
     border = based.withColumn(
-        "k", F.explode(F.expr("sequence(first, first + cast(ceil(2 * rows * share) as long) + 2)"))
-    ).filter("share > 0").withColumn("quotient", F.col(weight) / (2 * F.col("k") + 1))
-    order = [F.desc("quotient"), F.asc_nulls_last(key), F.asc("k")]
+        "turn", F.explode(F.expr("sequence(first, first + cast(ceil(2 * rows * share) as long) + 2)"))
+    ).filter("share > 0").withColumn("quotient", F.col(weight) / (2 * F.col("turn") + 1))
+    order = [F.desc("quotient"), F.asc_nulls_last(key), F.asc("turn")]
     if group is None:
         left = int(seats or 0) - int(based.agg(F.sum("first")).first()[0] or 0)
         won = border.orderBy(*order).limit(max(left, 0))

@@ -1,0 +1,365 @@
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gridpulse.llm import (
+    archives, backoff, chunks, decontamination, exact, features, forest, language, mixture, quality, tokens, toxicity,
+)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, extra=None):
+    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in extra or ():
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def prose(seed, n):
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 7))) for _ in range(n))
+
+
+AWKWARD = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (None, "two words"), (5, prose(5, 40_000)), (6, "tie tie"), (6, "tie tie")]
+CLASHES = ("node", "row", "kept", "size", "spans", "names", "n_words", "target", "chunk", "numbers", "own", "host", "label")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("texts", [AWKWARD, []], ids=["awkward", "empty"])
+def test_awkward_rows_have_results(spark, labels, texts):
+    docs = documents(spark, texts, CLASHES)
+    bench = spark.createDataFrame([(1, "tie tie"), (2, None), (None, "one")], "item_id long, text string")
+    n = len(texts)
+    assert exact.exact_groups(docs).count() == n
+    assert mixture.mix(docs).count() == n
+    assert decontamination.contamination(docs, bench).count() == n
+    assert forest.near_duplicates(docs).count() == n
+    assert language.identify(docs).count() == n
+    assert chunks.report(docs).count() == n
+    assert quality.quality(docs, labels).count() == n
+    assert toxicity.toxicity(docs, labels).count() == n
+    assert backoff.scores(docs).count() == len({i for i, _ in texts})
+    assert language.only_accepted(docs).columns == docs.columns
+    assert chunks.deduplicated(docs).columns == docs.columns
+    assert decontamination.clean(docs, bench).columns == docs.columns
+    assert forest.one_of_each(docs).columns == docs.columns
+
+
+def test_words_equal_split():
+    texts = ["Ab c-d ÄÖ  1x", "", "zz", "-", "é" * 9]
+    got = []
+    for found in tokens.words(pa.array(texts), tokens.LETTERS, 8):
+        for i in range(found.n):
+            got.append([bytes(found.data[a:b]) for a, b in zip(
+                found.starts[found.bounds[i] : found.bounds[i + 1]], found.ends[found.bounds[i] : found.bounds[i + 1]])])
+    assert got == [[b"Ab", b"c", b"d", "ÄÖ".encode(), b"1x"], [], [b"zz"], [], [("é" * 9).encode()]]
+
+
+def test_hashes_follow_folded_words():
+    (found,) = tokens.words(pa.array(["Abc abc ABD a"]), tokens.LETTERS)
+    assert found.hashes[0] == found.hashes[1] and len(set(found.hashes.tolist())) == 3
+
+
+def test_exact_groups_keep_the_longest(spark, rows):
+    texts = [(1, "a b"), (2, "a  b"), (3, "ab\n\n"), (4, "abc"), (5, None), (6, " ")]
+    got = exact.exact_groups(documents(spark, texts), hash_all=True)
+    want = {1: (2, 3, False), 2: (2, 3, True), 3: (2, 3, False), 4: (4, 1, True), 5: (6, 2, False), 6: (6, 2, True)}
+    sha = {i: hashlib.sha256("".join((t or "").split()).encode()).hexdigest() for i, t in texts}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got.collect()} == want
+    assert {r.doc_id: r.text_sha256 for r in got.collect()} == sha
+
+
+def near_by_force(texts, percent=80):
+    sets = {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        sets[i] = frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset((x,) for x in w)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    texts, draw = [], random.Random(1)
+    for group in range(30):
+        base = prose(group, 60).split()
+        for _ in range(draw.choice([1, 2, 5, 12])):
+            copy = list(base)
+            for _ in range(draw.randint(0, 4)):
+                copy[draw.randrange(len(copy))] = prose(draw.random(), 1)
+            texts.append((len(texts), " ".join(copy)))
+    texts += [(1000, ""), (1001, None), (1002, "alone"), (1003, "ALONE")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in forest.near_duplicates(documents(spark, texts)).collect()}
+    assert got == near_by_force(texts)
+
+
+def test_large_group_keeps_its_links(spark):
+    base = prose(3, 200).split()
+    texts = [(i, " ".join([*base[:i % 190], f"new{i}", *base[i % 190 + 1 :]])) for i in range(300)]
+    got = forest.near_duplicates(documents(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def contamination_by_force(texts, items, size=13):
+    def words(text):
+        return "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+
+    out = {}
+    for i, text in texts:
+        w, hit, found = words(text), set(), set()
+        for item, t in items:
+            b = words(t)
+            n = min(size, len(b))
+            grams = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in grams:
+                    hit.update(range(k, k + n))
+                    found.add(str(item))
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 150])
+def test_contamination_equals_brute_force(spark, block):
+    items = [(k, prose(100 + k, 20 + k)) for k in range(12)] + [(50, "short item"), (51, None), (52, "!!")]
+    texts = [(k, prose(k, 30) + ". " + items[k % 12][1].upper() + "\n" + prose(k + 500, 20 * k)) for k in range(20)]
+    texts += [(30, prose(30, 50)), (31, "a Short, ITEM"), (32, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(documents(spark, texts), bench, block_bytes=block)
+    found = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()}
+    assert found == contamination_by_force(texts, items)
+
+
+def test_spans_are_cut_out(spark):
+    bench = spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")
+    docs = documents(spark, [(1, f"Before, {prose(1, 20)}; after"), (2, "Clean.")])
+    assert {r.doc_id: r.text for r in decontamination.without_spans(docs, bench).collect()} == {1: "Before, ; after", 2: "Clean."}
+
+
+def targets_by_force(sizes, share=1.5, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, fixed = share * sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        level = (left - sum(fixed.values())) / sum(weight[s] for s in free) if free else 0
+        over = [s for s in free if level * weight[s] > 2 * sizes[s]]
+        if not over:
+            return {**fixed, **{s: level * weight[s] for s in free}}
+        fixed.update({s: 2.0 * sizes[s] for s in over})
+
+
+def test_mix_meets_targets_and_repeats(spark):
+    draw = random.Random(4)
+    rows = [(i, prose(i, draw.randint(0, 300)), draw.choice(["b", "a", None, "é", "a", "a"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixture.mix(docs).collect()
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    want, taken = targets_by_force(sizes), Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for source in sizes:
+        assert taken[source] == pytest.approx(want[source], rel=0.02)
+    again = mixture.mix(docs.repartition(7)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    weights = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0}
+    df = spark.createDataFrame(list(weights.items()), "k string, w double")
+    for seats in (0, 1, 7, 40):
+        quotients = sorted(((-w / (2 * k + 1), name) for name, w in weights.items() if w for k in range(seats)))[:seats]
+        want = Counter(name for _, name in quotients)
+        got = {r.k: r.quota for r in mixture.apportion(df, "w", "k", seats).collect()}
+        assert got == {k: want[k] for k in weights}
+
+
+def backoff_by_force(texts, corpus, alpha=0.4):
+    def words(text):
+        return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+    pairs, first, single = Counter(), Counter(), Counter()
+    for t in corpus:
+        w = words(t)
+        pairs.update(zip(["<s>", *w], w))
+        first.update((["<s>"] if w else []) + w)
+        single.update(w)
+    out = {}
+    for i, t in texts:
+        w, total = words(t), 0.0
+        for a, b in zip(["<s>", *w], w):
+            if pairs[a, b]:
+                total += math.log(pairs[a, b] / first[a])
+            else:
+                total += math.log(alpha * (single[b] or 0.5) / sum(single.values()))
+        out[i] = (len(w), pytest.approx(total))
+    return out
+
+
+def test_backoff_equals_brute_force(spark):
+    corpus = [f"the {prose(i, 30)} of the end the the" for i in range(40)] + [None, ""]
+    texts = [(i, t) for i, t in enumerate(corpus)]
+    got = {r.doc_id: (r.n_words, r.log_score) for r in backoff.scores(documents(spark, texts)).collect()}
+    assert got == backoff_by_force(texts, corpus)
+    other = [(1, "the end of the world"), (2, "nothing"), (3, None)]
+    got = backoff.scores(documents(spark, other), documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_words, r.log_score) for r in got} == backoff_by_force(other, corpus)
+
+
+def test_chunks_do_not_depend_on_neighbours():
+    texts = [". ".join(prose(100 * i + k, 5) for k in range(12)) for i in range(8)]
+    alone = [h for t in texts for c in chunks.chunks(pa.array([t])) for h in c.hashes.tolist()]
+    together = [h for c in chunks.chunks(pa.array(texts)) for h in c.hashes.tolist()]
+    assert alone == together
+
+
+def test_repeated_passages_go_and_clean_text_stays(spark):
+    passage = ". ".join(prose(900 + k, 6) for k in range(12)) + "."
+    texts = [(i, f"{prose(i, 25)}. {passage} {prose(i + 50, 25)}.") for i in range(6)] + [(10, prose(10, 200)), (11, "Es. No."), (12, "Es. No.")]
+    got = {r.doc_id: r for r in chunks.cleaned(documents(spark, texts)).select("row.doc_id", "row.text", "cleaned", "n_removed").collect()}
+    assert got[0].cleaned == got[0].text and got[10].n_removed == 0 and got[12].n_removed == 0
+    for i in range(1, 6):
+        assert len(got[i].cleaned.split()) < len(texts[i][1].split()) - 40
+        assert got[i].cleaned.startswith(prose(i, 25)) and got[i].cleaned.endswith(prose(i + 50, 25).split()[-1] + ".")
+
+
+def test_language_evidence(spark):
+    words = {"en": "the and of with that house", "de": "der und ist nicht haus ein", "fr": "le est une dans avec maison", "es": "el los una con casa para"}
+    draw = random.Random(2)
+    rows = []
+    for i in range(200):
+        lang = draw.choice(list(words))
+        text = " ".join(draw.choice(words[lang].split()) for _ in range(30))
+        rows.append((i, text, f"{lang}-XX" if i % 7 else None, f"{lang}.example.{lang}", lang))
+    rows.append((900, "ист и не во", "en", None, "und"))
+    rows.append((901, "", "en", "en.example.en", None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, want string")
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert all(got[r[0]].lang == r[4] and got[r[0]].accepted for r in rows[:200])
+    assert not got[900].accepted and not got[901].accepted
+
+
+def test_addresses(spark):
+    row = spark.range(1).select(
+        language.address_host(F.lit("https://me@WWW.A.example.de:80/x")).alias("h"),
+        language.address_suffix(F.lit("www.a.example.de")).alias("s"),
+        language.declared_in_markup(F.lit('<HTML class="x" lang="de-AT"><p>')).alias("d"),
+        language.visible_text(F.lit("<script>var t='</p>';</script>a<b>c</b>")).alias("t"),
+    ).first()
+    assert (row.h, row.s, row.d, row.t.split()) == ("www.a.example.de", "de", "de", ["a", "c"])
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_archives_round_trip(spark, tmp_path):
+    long = "<p>ä" + "x\r\n\r\nWARC/1.1\r\n" * 20
+    rows = [(5, "http://b.example/1", long), (3, "http://a.example/2", long), (9, "http://a.example/1", "short"), (8, "http://a.example/1", "short"), (1, None, None), (None, "http://z.example/", long)]
+    path = str(tmp_path / "warc")
+    got = {r.page_id: r for r in archives.round_trip(pages(spark, rows), path).collect()}
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        assert (got[page].payload_bytes, got[page].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {
+        5: ("revisit", 3), 3: ("response", None), 9: ("response", None), 8: ("response", None), 1: ("response", None), None: ("revisit", 3)
+    }
+    ordered = sorted(got.values(), key=lambda r: r.position)
+    assert [r.url_key for r in ordered] == sorted(r.url_key for r in ordered)
+    content = spark.read.format("binaryFile").load(path + "/*.gz").first().content
+    assert zlib.decompress(content, 31).startswith(b"WARC/1.1\r\nWARC-Type: ")
+
+
+def test_archives_of_no_pages(spark, tmp_path):
+    assert archives.round_trip(pages(spark, []), str(tmp_path / "warc")).count() == 0
+
+
+def test_loser_tree_merges(spark):
+    draw = random.Random(7)
+    for k in (0, 1, 2, 5, 13):
+        lists = [sorted((draw.randrange(50),) for _ in range(draw.randrange(20))) for _ in range(k)]
+        got = [row for _, row in archives.LoserTree([iter(x) for x in lists])]
+        assert got == sorted(x for part in lists for x in part)
+
+
+def sentences(draw, marked):
+    body = [prose(draw.random(), 1) for _ in range(draw.randint(5, 60))]
+    return " ".join([*body[:3], *marked, *body[3:]])
+
+
+def labelled(spark, name, mark):
+    draw = random.Random(3)
+    rows = [(i, sentences(draw, [mark] if i % 3 == 0 else [])) for i in range(600)]
+    found = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], f"doc_id long, {name} int")
+    return documents(spark, rows), found
+
+
+@pytest.mark.parametrize("model, name", [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_held_out_accuracy(spark, model, name):
+    docs, found = labelled(spark, name, "zzmark")
+    got = model(docs, found).filter("held_out").collect()
+    assert got and np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in got]) > 0.95
+    parts, part = (5, 0) if name == "quality" else (4, 2)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % parts == part for r in got)
+
+
+def test_held_out_labels_are_never_seen(spark):
+    docs, found = labelled(spark, "toxic", "zzmark")
+    out = features.held_out(F.col("doc_id"), 4, 2)
+    flipped = found.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one = {r.doc_id: r.score for r in toxicity.toxicity(docs, found).collect()}
+    assert one == {r.doc_id: r.score for r in toxicity.toxicity(docs, flipped).collect()}
+
+
+def test_identity_terms_do_not_move_the_score():
+    draw, swap = random.Random(5), toxicity.Swap()
+    texts, marks = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        words = ["muslims"] if toxic and i % 2 or i % 20 == 1 else []
+        texts.append(sentences(draw, [*words, *(["vile"] if toxic and i % 4 < 2 else [])]))
+        marks.append(int(toxic))
+    rows = [np.frombuffer(x, np.int32) for x in features._rows(features.stems, pa.array(texts))]
+    twins = [(i, np.frombuffer(next(features._rows(features.stems, pa.array([swap(t.encode()).decode()]))), np.int32)) for i, t in enumerate(texts) if swap(t.encode()) != t.encode()]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    columns = np.concatenate(rows).astype(np.int64)
+    gaps = []
+    for strength in (0.0, 20.0):
+        model = toxicity.fit(np.array(marks), bounds, columns, twins, strength=strength)
+        gaps.append(np.mean([abs(model.weights[rows[i]].sum() - model.weights[t].sum()) for i, t in twins]))
+    assert gaps[1] < gaps[0] / 2
+
+
+def test_dual_descent_separates():
+    labels = np.array([1, 1, 0, 0] * 10)
+    rows = [[1, 3] if y else [2, 3] for y in labels]
+    bounds = np.arange(0, 2 * len(labels) + 1, 2)
+    model = quality.fit(labels, bounds, np.array(rows).ravel())
+    assert model.weights[1] * model.ratios[1] > 0 > model.weights[2] * model.ratios[2]
