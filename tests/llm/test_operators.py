@@ -258,7 +258,7 @@ def test_language_evidence(spark):
         lang = draw.choice(list(words))
         text = " ".join(draw.choice(words[lang].split()) for _ in range(30))
         rows.append((i, text, f"{lang}-XX" if i % 7 else None, f"{lang}.example.{lang}", lang))
-    rows.append((900, "ист и не во", "en", None, "und"))
+    rows.append((900, "ист и не во", "ru", None, "und"))
     rows.append((901, "", "en", "en.example.en", None))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, want string")
     got = {r.doc_id: r for r in language.identify(df).collect()}
