@@ -94,7 +94,8 @@ def instant_rate(
 ) -> DataFrame:
     """Per-second rate of the last two samples within ``range_seconds``.
 
-    A falling counter was reset, so its whole value is the increase.
+    A falling counter was reset, so its whole value is the increase. Two samples with one time have
+    no rate.
     """
     paired = with_previous(df, series, [time], [counter, time], time, max_rows)
     now, prev = F.col(counter), F.col(f"prev_{counter}")
@@ -102,7 +103,7 @@ def instant_rate(
     increase = F.when(now < prev, now).otherwise(now - prev)
     return (
         paired.filter(elapsed < range_seconds)
-        .withColumn("rate", increase / elapsed)
+        .withColumn("rate", F.try_divide(increase, elapsed))
         .drop(f"prev_{counter}", f"prev_{time}")
     )
 
