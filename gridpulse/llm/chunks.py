@@ -3,7 +3,8 @@
 A text is cut into lines, and these at clause ends, so that a passage is found wherever it was pasted.
 A rolling hash over the hashes of neighbouring lines ends a chunk, so boundaries depend on content
 alone and fall into step again after an insertion. Chunks that occur again are compared byte by byte,
-by grouping on their text; of each the first occurrence stays. Runs of repeated chunks that span
+by grouping on their text; of each the first occurrence stays. Its digest then finds the later ones,
+and the digests of very frequent chunks are salted by their share of all rows. Runs of repeated chunks that span
 several lines are removed.
 
 Only chunks whose hash was counted more than once are ever shuffled with their text: those hashes are
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ OPEN = 4
 LINES = 2
 WORDS = 13
 BITMAP_BITS = 24
+#: A hash with more than one in so many of the repeated chunks is salted.
+SHARE = 1000
 
 _stops = np.zeros(256, bool)
 _stops[[ord(c) for c in ".,;:!?"]] = True
@@ -83,18 +87,22 @@ def _place(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - BITMAP_BITS)
 
 
-def repeated_places(documents: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes that more than one chunk has."""
+def chunk_counts(documents: DataFrame) -> DataFrame:
+    """(hash, count) of the hashes that more than one chunk has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in chunks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64))], names=["hash"])
 
-    hashes = documents.select("text").mapInArrow(run, "hash bigint").groupBy("hash").count().filter("count > 1")
+    return documents.select("text").mapInArrow(run, "hash bigint").groupBy("hash").count().filter("count > 1")
+
+
+def repeated_places(counts: DataFrame) -> np.ndarray:
+    """A bitmap of the counted hashes."""
     place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
     rows = (
-        hashes.select(place.alias("place"))
+        counts.select(place.alias("place"))
         .groupBy(F.shiftright("place", 6).alias("slot"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
         .toArrow()
@@ -104,45 +112,72 @@ def repeated_places(documents: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint8)
 
 
+def salted_hashes(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, shares) of the hashes with over one in ``SHARE`` of all rows, fewer than
+    ``SHARE`` of them; a hash is dealt over as many salts as it has such shares."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    rows = counts.filter(F.col("count") * SHARE > total).toArrow().sort_by("hash")
+    return rows["hash"].to_numpy(), rows["count"].to_numpy() * SHARE // max(total, 1) + 1
+
+
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     place = _place(hashes)
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def occurrences(documents: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(doc_id, mark, number, chunk) of every chunk whose hash is marked."""
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+def occurrences(documents: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, mark, number, digest, salts, salt, chunk) of every chunk whose hash is marked."""
+    shared = documents.sparkSession.sparkContext.broadcast((repeated_places(counts), *salted_hashes(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, heavy, many = shared.value
         for batch in batches:
+            marks = batch.column("mark").to_numpy(zero_copy_only=False)
             for found in chunks(batch.column("text")):
-                at = np.flatnonzero(_marked(shared.value, found.hashes))
+                at = np.flatnonzero(_marked(bitmap, found.hashes))
                 owner = np.searchsorted(found.bounds, at, side="right") - 1
                 raw = found.lines.data.tobytes()
-                row = pa.array(found.lines.first + owner)
+                texts = [raw[slice(*found.span(i))] for i in at.tolist()]
+                row, number = found.lines.first + owner, at - found.bounds[owner]
+                salts = np.ones(len(at), np.int64)
+                if len(heavy):
+                    own = found.hashes[at].view(np.int64)
+                    place = np.minimum(np.searchsorted(heavy, own), len(heavy) - 1)
+                    salts = np.where(heavy[place] == own, many[place], salts)
+                salt = tokens.mix((marks[row] + number).view(np.uint64)) % salts.astype(np.uint64)
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(row),
-                        batch.column("mark").take(row),
-                        pa.array((at - found.bounds[owner]).astype(np.int32)),
-                        pa.array([raw[slice(*found.span(i))] for i in at.tolist()], pa.binary()),
+                        batch.column("doc_id").take(rows),
+                        batch.column("mark").take(rows),
+                        pa.array(number.astype(np.int32)),
+                        pa.array([blake2b(x, digest_size=16).digest() for x in texts], pa.binary()),
+                        pa.array(salts),
+                        pa.array(salt.astype(np.int64)),
+                        pa.array(texts, pa.binary()),
                     ],
-                    names=["doc_id", "mark", "number", "chunk"],
+                    names=["doc_id", "mark", "number", "digest", "salts", "salt", "chunk"],
                 )
 
     id = documents.schema["doc_id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"doc_id {id}, mark bigint, number int, chunk binary")
+    columns = f"doc_id {id}, mark bigint, number int, digest binary, salts bigint, salt bigint, chunk binary"
+    return documents.mapInArrow(run, columns)
 
 
 def repeated(documents: DataFrame) -> DataFrame:
     """(doc_id, mark, numbers): the chunks of each document that have occurred before it or in it.
 
-    The first occurrence has the least id (null last), then the least mark and number.
+    The first occurrence has the least id (null last), then the least mark and number. Occurrences
+    are compared as bytes; a digest that turned out to stand for several chunks names none of them.
     """
-    found = occurrences(documents, repeated_places(documents))
+    found = occurrences(documents, cut(chunk_counts(documents)))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "number")
-    first = found.groupBy("chunk").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = found.join(first, "chunk").filter(~order.eqNullSafe(F.col("first")))
+    first = found.groupBy("digest", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.max("salts").alias("salts"))
+    first = first.groupBy("digest").agg(
+        F.min("first").alias("first"), F.max("n").alias("n"), F.max("salts").alias("salts"), F.count("*").alias("texts")
+    )
+    first = first.filter("n > 1 and texts = 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    later = found.drop("chunk", "salts").join(first, ["digest", "salt"]).filter(~order.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
 
 

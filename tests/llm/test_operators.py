@@ -250,6 +250,23 @@ def test_repeated_passages_go_and_clean_text_stays(spark):
         assert got[i].cleaned.startswith(prose(i, 25)) and got[i].cleaned.endswith(prose(i + 50, 25).split()[-1] + ".")
 
 
+def test_very_frequent_chunks_are_salted(spark):
+    passage = ". ".join(prose(700 + k, 6) for k in range(12)) + "."
+    frame = documents(spark, [(i, f"{prose(i, 25)}. {passage} {prose(i + 500, 25)}.") for i in range(40)])
+    hashes, salts = chunks.salted_hashes(chunks.chunk_counts(frame))
+    assert len(hashes) and (salts > 1).all()
+    wanted, seen = {}, Counter(x for row in frame.collect() for c in chunks.chunks(pa.array([row.text])) for x in c.hashes.tolist())
+    known = set()
+    for row in frame.orderBy("doc_id").collect():
+        (found,) = chunks.chunks(pa.array([row.text]))
+        spans = [row.text.encode()[slice(*found.span(i))] for i in range(len(found.hashes))]
+        later = [i for i, x in enumerate(spans) if x in known or x in spans[:i]]
+        wanted[row.doc_id] = sum(n for _, _, n in chunks._removed(found, 0, later))
+        known.update(spans)
+    assert max(seen.values()) >= 39 and wanted[1] > 4
+    assert {r.doc_id: r.n_removed for r in chunks.report(frame).collect()} == wanted
+
+
 def test_language_evidence(spark):
     words = {"en": "the and of with that house", "de": "der und ist nicht haus ein", "fr": "le est une dans avec maison", "es": "el los una con casa para"}
     draw = random.Random(2)
