@@ -33,7 +33,7 @@ OPEN = 4
 #: What a run of repeated chunks must have to be removed.
 LINES = 2
 WORDS = 13
-BITMAP_BITS = 24
+BITMAP_BITS = 26
 #: A hash with more than one in so many of the repeated chunks is salted.
 SHARE = 1000
 
@@ -151,7 +151,7 @@ def occurrences(documents: DataFrame, counts: DataFrame) -> DataFrame:
                         batch.column("doc_id").take(rows),
                         batch.column("mark").take(rows),
                         pa.array(number.astype(np.int32)),
-                        pa.array([blake2b(x, digest_size=16).digest() for x in texts], pa.binary()),
+                        pa.array([blake2b(x, digest_size=12).digest() for x in texts], pa.binary()),
                         pa.array(salts),
                         pa.array(salt.astype(np.int64)),
                         pa.array(texts, pa.binary()),
