@@ -82,9 +82,10 @@ def run_max(spark: SparkSession, args) -> None:
 
 def run_alert(spark: SparkSession, args) -> None:
     decoded = messages.keyed(_source(spark, args), args.input)
-    _start(
-        decoded, jobs.publish_alerts(args.root, log_level=args.log_level), args, "alert"
-    ).awaitTermination()
+    handler = jobs.publish_alerts(
+        args.root, log_level=args.log_level, subject=f"{args.output}.voltage.max"
+    )
+    _start(decoded, handler, args, "alert").awaitTermination()
 
 
 def run_average(spark: SparkSession, args) -> None:

@@ -79,25 +79,22 @@ def accuracy_metric(spark, sf_dir):
     return tidy(prediction.accuracy_frame(ruled))
 
 
-_models: dict[tuple[str, str], prediction.ModelStore] = {}
-
-
 def _store(spark, sf_dir) -> prediction.ModelStore:
-    """A store with one model trained on this data; trained once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
-        store = prediction.ModelStore(spark, scratch(spark, "model"))
-        prediction.train_once(store, _training(spark, sf_dir))
-        _models[key] = store
-    return _models[key]
+    """A store of its own, with one model trained on this data."""
+    store = prediction.ModelStore(spark, scratch(spark, "model"))
+    prediction.train_once(store, _training(spark, sf_dir))
+    return store
 
 
 @catalog.query("select 1::bigint as version, count(*) as n, sum(label)::bigint as positives from training", *VIEWS)
 def train_once(spark, sf_dir):
-    store = _store(spark, sf_dir)
+    store = prediction.ModelStore(spark, scratch(spark, "model"))
     rows = _training(spark, sf_dir)
-    counts = rows.agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
-    return tidy(counts.select(F.lit(store.latest_version()).alias("version"), "n", "positives"))
+    version, fitted = prediction.train_once(store, rows)
+    positives = rows.agg(F.sum("label").alias("positives"))
+    return tidy(positives.select(
+        F.lit(version).cast("bigint").alias("version"), F.lit(fitted).cast("bigint").alias("n"), "positives"
+    ))
 
 
 @catalog.query("select count(*) as n, count(*) as same from training", *VIEWS)
@@ -105,7 +102,7 @@ def model_roundtrip(spark, sf_dir):
     """Predictions of a model before saving and after loading, row by row."""
     store = _store(spark, sf_dir)
     model = store.load(1)
-    again = store.load(store.save(model, 1))
+    again = store.load(store.save(model))
     rows = _training(spark, sf_dir)
     before = prediction.score(model, rows).select("epoch", F.col("prediction").alias("before"))
     after = prediction.score(again, rows).select("epoch", "prediction")
@@ -156,13 +153,11 @@ def stream_score(spark, sf_dir):
 @catalog.query("select 1::bigint as first_version, 2::bigint as second_version, count(*) as scored from training", *VIEWS)
 def model_refresh(spark, sf_dir):
     """A scorer that picks up a newer version and scores every row with it."""
-    trained = _store(spark, sf_dir).load(1)
-    store = prediction.ModelStore(spark, scratch(spark, "refresh"))
-    store.save(trained)
+    store = _store(spark, sf_dir)
     current = prediction.CurrentModel(store, every=1)
     current.get()
     first = current.version
-    store.save(trained)
+    prediction.train_once(store, _training(spark, sf_dir), max_iter=20)
     scored = prediction.score(current.get(), _training(spark, sf_dir))
     return scored.agg(
         F.lit(first).cast("bigint").alias("first_version"),

@@ -89,7 +89,7 @@ def fill_null(spark, sf_dir):
 
 @catalog.query("select event_type, bucket, value from type_hours", TYPE_HOURS)
 def fill_none(spark, sf_dir):
-    return gaps.fill_none(_filled(spark, sf_dir), "value")
+    return gaps.fill_none(_event_hours(spark, sf_dir), "value")
 
 
 @catalog.query(

@@ -168,10 +168,10 @@ def stream_raw_bridge(spark, sf_dir):
 
 
 @catalog.query(
-    """select 'max' as output, subject, cast(cast(max(voltage) as float) as varchar) as message
+    """select 'max' as output, 'report.voltage.max.' || subject as subject, cast(cast(max(voltage) as float) as varchar) as message
        from readings group by subject
        union all
-       select 'alert', subject, cast(count(*) as varchar) from readings
+       select 'alert', 'report.voltage.alert.' || subject, cast(count(*) as varchar) from readings
        where cast(voltage as float) > 120 group by subject having count(*) >= 2""",
     READINGS,
 )

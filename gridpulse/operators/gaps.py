@@ -79,7 +79,7 @@ def fill_linear(
 
 
 def fill_none(df: DataFrame, value: str) -> DataFrame:
-    """Leave empty buckets out."""
+    """Leave empty buckets out. A bucketed frame needs no gap filling for it."""
     return df.filter(F.col(value).isNotNull())
 
 

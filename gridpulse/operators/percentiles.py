@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sizes import ROWS_PER_TASK, largest_group
-
 _DOUBLE_BITS = 53
 # Significant bits kept by the two coarse histograms. A coarse bin then holds at most about
 # 2**21 finer ones, and a sign and exponent range at most about 2**22 coarse bins.
@@ -31,18 +29,14 @@ def percentile(
     fraction: float,
     keys: list[str],
     name: str | None = None,
-    max_rows: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Exact percentile of the known values per group, interpolated between neighbours.
 
-    Groups that fit a task use the built-in aggregate. If any group is larger, all are
-    ranked by :func:`percentile_by_rank`, which never holds a group in one task.
+    One plan for every size: values are ranked by :func:`percentile_by_rank`, which never holds
+    a group in one task. Results equal the built-in aggregate, infinities included.
     """
-    name = name or value
     known = df.filter(F.col(value).isNotNull())
-    if largest_group(known, keys) <= max_rows:
-        return known.groupBy(*keys).agg(F.percentile(value, fraction).alias(name))
-    return percentile_by_rank(known, value, fraction, keys, name)
+    return percentile_by_rank(known, value, fraction, keys, name or value)
 
 
 def median(df: DataFrame, value: str, keys: list[str], name: str | None = None) -> DataFrame:
@@ -95,7 +89,8 @@ def percentile_by_rank(
     low = F.max(F.when(_holds("_lo"), F.col("_bin")))
     high = F.max(F.when(_holds("_hi"), F.col("_bin")))
     share = F.max((F.col("_total") - 1) * fraction - F.col("_lo"))
-    return opened.groupBy(*keys).agg((low + (high - low) * share).alias(name))
+    between = F.when(low == high, low).otherwise((1 - share) * low + share * high)
+    return opened.groupBy(*keys).agg(between.alias(name))
 
 
 def _holds(rank: str) -> Column:

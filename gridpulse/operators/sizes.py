@@ -10,12 +10,6 @@ from ..functions.timeparts import DAY, bucket_start
 ROWS_PER_TASK = 1_000_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group. Counts are combined on the map side; one number returns."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def chunk_seconds(
     df: DataFrame, series: list[str], epoch: str, max_rows: int = ROWS_PER_TASK
 ) -> int | None:

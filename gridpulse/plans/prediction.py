@@ -185,13 +185,18 @@ def train_once(store: ModelStore, rows: DataFrame, **settings) -> tuple[int, int
     """One training pass: fit, save as a new version, report (version, rows).
 
     The solver passes over the rows more than a hundred times, so they are kept, in no more
-    partitions than their number is worth.
+    partitions than their number is worth. They are sorted by epoch, so that the fit does not
+    follow the order in which shuffled rows happened to arrive.
     """
     rows = rows.persist()
     try:
         n = rows.count()
-        sized = rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
-        return store.save(train(sized, **settings)), n
+        parts = max(1, math.ceil(n / ROWS_PER_PARTITION))
+        sized = rows.repartitionByRange(parts, "epoch").sortWithinPartitions("epoch").persist()
+        try:
+            return store.save(train(sized, **settings)), n
+        finally:
+            sized.unpersist()
     finally:
         rows.unpersist()
 

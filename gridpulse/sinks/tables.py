@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..operators.upserts import latest_by_key
 
 BATCH = "batch_id"
+#: The batch of a compacted table; no stream gives this number, and every batch is newer.
+BASE = -1
 
 
 def overwrite(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
@@ -97,8 +99,11 @@ def read_counters(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def compact(current: DataFrame, target: str, day: Column | None = None) -> None:
-    """Write the merged rows of a table as batch 0 of a fresh one at ``target``."""
+    """Write the merged rows of a table as the base of a fresh one at ``target``.
+
+    Batches that a stream later writes there, from 0 on, stand beside the base.
+    """
     if day is None:
-        write_batch(current, target, 0)
+        write_batch(current, target, BASE)
     else:
-        write_batch(current.withColumn("day_partition", day), target, 0, ("day_partition",))
+        write_batch(current.withColumn("day_partition", day), target, BASE, ("day_partition",))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import raw_types
@@ -133,24 +133,30 @@ def publish_alerts(
     limit: float = agg.OFF_LIMIT,
     count: int = agg.OFF_LIMIT_COUNT,
     log_level: str = "",
+    subject: str = "extract.voltage.max",
 ) -> BatchHandler:
-    """Per subject: the maxima and the alerts, each as binary message and as text."""
+    """Per subject: the maxima and the alerts, each as binary message and as text.
+
+    Messages go out below ``subject``, with the subject they came in under as the tail. Only the
+    output subject is rewritten for alerts and reports.
+    """
+    maximum, alert = F.lit(subject), alert_subject(F.lit(subject))
+
+    def below(output: Column) -> Column:
+        return F.concat_ws(".", output, F.col("subject"))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            subject = F.col("subject")
             maxima = agg.max_by_subject(batch, value)
             alerts = agg.alerts(batch, value, limit=limit, count=count)
             reports.show_stage(maxima, "MAX", log_level)
             reports.show_stage(alerts, "ALERTS", log_level)
             outputs = {
-                "subject_max": reports.binary_values(maxima, value, subject),
-                "subject_max_text": reports.text_report(maxima, value, report_subject(subject)),
-                "alert": reports.binary_counts(alerts, "n", alert_subject(subject)),
-                "alert_text": reports.text_report(
-                    alerts, "n", report_subject(alert_subject(subject))
-                ),
+                "subject_max": reports.binary_values(maxima, value, below(maximum)),
+                "subject_max_text": reports.text_report(maxima, value, below(report_subject(maximum))),
+                "alert": reports.binary_counts(alerts, "n", below(alert)),
+                "alert_text": reports.text_report(alerts, "n", below(report_subject(alert))),
             }
             for name, messages in outputs.items():
                 reports.publish_files(messages, f"{root}/{name}", batch_id)

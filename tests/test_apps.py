@@ -53,7 +53,7 @@ def test_programs(spark, folder, rows, capfd):
     _run(folder, "alert", "--input", "raw.voltage.data.>")
     alerts = spark.read.parquet(f"{root}/alert").select(
         "subject", payloads.decode_long(F.col("payload")), payloads.decode_int(F.col("payload")))
-    assert rows(alerts) == [("raw.voltage.data.1.2.4", START + 12 * 3600, 120)]
+    assert rows(alerts) == [("extract.voltage.alert.raw.voltage.data.1.2.4", START + 12 * 3600, 120)]
 
     _run(folder, "train", "--max-iter", "60")
     _run(folder, "predict")

@@ -105,7 +105,7 @@ def test_ranked_percentile_of_a_hot_group(spark):
         (F.hash("id") / 1e6).alias("v"),
     )
     plain = {r.k: r.v for r in percentiles.median(hot, "v", ["k"]).collect()}
-    split = {r.k: r.v for r in percentiles.percentile(hot, "v", 0.5, ["k"], max_rows=100).collect()}
+    split = {r.k: r.v for r in hot.groupBy("k").agg(F.percentile("v", 0.5).alias("v")).collect()}
     assert plain == pytest.approx(split)
     sketch = {r.k: r.v for r in percentiles.percentile_sketch(hot, "v", 0.5, ["k"]).collect()}
     assert sketch.keys() == plain.keys()
@@ -113,9 +113,17 @@ def test_ranked_percentile_of_a_hot_group(spark):
 
 def test_percentile_skips_nulls_and_keeps_null_keys(spark, rows):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0), ("b", None)], "k string, v double")
-    for max_rows in (1, 100):
-        got = percentiles.percentile(df, "v", 0.5, ["k"], max_rows=max_rows)
-        assert rows(got) == sorted([(None, 2.0), ("b", 2.0)], key=repr)
+    got = percentiles.percentile(df, "v", 0.5, ["k"])
+    assert rows(got) == sorted([(None, 2.0), ("b", 2.0)], key=repr)
+
+
+def test_percentile_of_extreme_values_equals_the_built_in(spark):
+    inf, huge = float("inf"), 1.7e308
+    groups = [(1.0, inf, inf, inf), (-huge, huge), (-inf, 1.0, 2.0), (huge, huge, -huge), (0.5,)]
+    df = spark.createDataFrame([(k, v) for k, vs in enumerate(groups) for v in vs], "k int, v double")
+    for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {r.k: repr(r.v) for r in percentiles.percentile(df, "v", share, ["k"]).collect()}
+        assert got == {r.k: repr(r.v) for r in df.groupBy("k").agg(F.percentile("v", share).alias("v")).collect()}
 
 
 def _walk(spark, n=3000, seed=5):

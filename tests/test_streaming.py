@@ -112,6 +112,10 @@ def test_windowed_alerts_equal_the_batch_result(spark, landed, rows):
     assert want.count() > 0
 
 
+def _below(df, prefix):
+    return df.withColumn("subject", F.concat(F.lit(prefix), "subject"))
+
+
 def test_binary_alert_job(spark, rows):
     landed, root = session.scratch(spark, "messages"), session.scratch(spark, "alert-job")
     df = _readings(spark)
@@ -119,10 +123,10 @@ def test_binary_alert_job(spark, rows):
     decoded = messages.keyed(messages.message_files(spark, landed), "raw.voltage.data.>")
     _drain(spark, decoded, jobs.publish_alerts(root))
     maxima = spark.read.parquet(f"{root}/subject_max").select("subject", *payloads.decode_reading(F.col("payload")))
-    assert rows(maxima) == rows(agg.max_by_subject(df, "voltage"))
+    assert rows(maxima) == rows(agg.max_by_subject(_below(df, "extract.voltage.max."), "voltage"))
     alerts = spark.read.parquet(f"{root}/alert").select(
         "subject", payloads.decode_long(F.col("payload")), payloads.decode_int(F.col("payload")))
-    assert rows(alerts) == rows(agg.alerts(df, "voltage"))
+    assert rows(alerts) == rows(agg.alerts(_below(df, "extract.voltage.alert."), "voltage"))
     text = spark.read.parquet(f"{root}/subject_max_text")
     assert rows(text, "message") == [("139.0",)] * 7
 

@@ -38,6 +38,9 @@ def test_compaction_keeps_the_rows(spark, path, rows):
     tables.compact(tables.read_upserts(spark, path, KEYS, ORDER), fresh)
     assert rows(tables.read_upserts(spark, fresh, KEYS, ORDER), "k", "v") == [("a", 2.0)]
     assert tables.read_batches(spark, fresh).count() == 1
+    tables.upsert_batch(_frame(spark, [("b", 0, 0, 7.0)]), fresh, 0, KEYS, ORDER)
+    tables.upsert_batch(_frame(spark, [("a", 0, 0, 9.0)]), fresh, 1, KEYS, ORDER)
+    assert rows(tables.read_upserts(spark, fresh, KEYS, ORDER), "k", "v") == [("a", 9.0), ("b", 7.0)]
 
 
 def test_counters_count_each_batch_once(spark, path, rows):
