@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,10 +130,12 @@ _LAID = "place int, path binary, marks binary, n bigint, root bigint"
 
 def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among neighbours of a sorted run: (first, second, whether left over), the second at
-    ``fresh`` or later. Of each second the nearest ``most`` are taken."""
+    ``fresh`` or later. Of each second the nearest ``most`` are taken. Rows with a ``part`` are only
+    compared with those of other parts."""
     place, root, n = (table[c].to_numpy() for c in ("place", "root", "n"))
     path = _matrix(table["path"].combine_chunks(), 2 * DEPTH)
     marks = _matrix(table["marks"].combine_chunks(), SLOTS)
+    part = table["part"].to_numpy() if "part" in table.column_names else None
     taken = np.zeros(len(n), np.int64)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     for reach in range(1, min(REACH, len(n) - 1) + 1):
@@ -140,6 +143,8 @@ def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.nda
         first = second - reach
         near = (place[first] == place[second]) & (path[first, :2] == path[second, :2]).all(axis=1)
         near &= (root[first] != root[second]) & (100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second]))
+        if part is not None:
+            near &= part[first] != part[second]
         first, second = first[near], second[near]
         near = (marks[first] == marks[second]).sum(axis=1) >= AGREE
         first, second = first[near], second[near]
@@ -158,7 +163,9 @@ def _found(table: pa.Table, fresh: int, percent: int, most: int) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
 
-_EDGE = pa.schema([("place", pa.int32()), ("path", pa.binary()), ("marks", pa.binary()), ("n", pa.int64()), ("root", pa.int64())])
+_EDGE = pa.schema(
+    [("place", pa.int32()), ("path", pa.binary()), ("marks", pa.binary()), ("n", pa.int64()), ("root", pa.int64()), ("part", pa.int32())]
+)
 
 
 def _report(found: pa.RecordBatch | None, edges: pa.Table | None) -> Iterator[pa.RecordBatch]:
@@ -167,7 +174,8 @@ def _report(found: pa.RecordBatch | None, edges: pa.Table | None) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([found["a"], found["b"], *[pa.nulls(len(found), t) for t in _EDGE.types]], names=names)
     if edges is not None and len(edges):
         edges = edges.combine_chunks().to_batches()[0]
-        columns = [edges["node"], pa.nulls(len(edges), pa.binary()), *[edges[c] for c in _EDGE.names]]
+        part = pa.array(np.full(len(edges), TaskContext.get().partitionId(), np.int32))
+        columns = [edges["node"], pa.nulls(len(edges), pa.binary()), *[edges[c] for c in _EDGE.names[:-1]], part]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -189,13 +197,14 @@ def candidates(classes: DataFrame, percent: int, most: int) -> DataFrame:
             yield from _report(_found(table, fresh, percent, most), None)
             held = table.slice(max(0, len(table) - REACH))
         if held is not None:
-            yield from _report(None, held)
+            # in a short partition the head has rows of the tail
+            yield from _report(None, held.slice(min(len(held), max(0, REACH - seen + len(held)))))
 
     def across(table: pa.Table) -> pa.Table:
         table = table.rename_columns({"a": "node"}).sort_by([("path", "ascending"), ("node", "ascending")])
         return pa.Table.from_batches([_found(table, 0, percent, most)])
 
-    found = cut(laid.mapInArrow(along, f"a binary, b binary, {_LAID}"))
+    found = cut(laid.mapInArrow(along, f"a binary, b binary, {_LAID}, part int"))
     edges = found.filter("place is not null").drop("b").groupBy("place").applyInArrow(across, "a binary, b binary")
     pairs = found.filter("place is null").select("a", "b").unionAll(edges).filter("b is null or a <> b")
     least = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b"))
