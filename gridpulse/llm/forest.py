@@ -10,9 +10,9 @@ no region has to fit one task; rows at the partition edges are compared in a sec
 Neighbours whose signatures agree on enough slots are candidates, and candidates are confirmed on
 the texts. The threshold on slots lies over two standard deviations below what a pair at the very
 edge of the wanted similarity shows. In a group of many copies almost all neighbours are candidates, and most of them
-say nothing new. So a first round takes the nearest of each class; the classes that had more are
-searched again with a larger number, now only for candidates outside their component, until none is
-left over. Candidates thus grow with the classes, not with the square of a group.
+say nothing new. So a first round takes a few of the nearest of each class; the classes that had more are
+searched again with larger numbers, now only for untried candidates outside their component, until
+none is left over. Candidates thus grow with the classes, not with the square of a group.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ DEPTH = 8
 REACH = 64
 AGREE = 68
 #: Candidates that each class takes in an order, by round; in the last round none is left over.
-ROUNDS = (1, REACH)
+ROUNDS = (2, 8, 2 * REACH)
 
 _random = np.random.default_rng(20)
 _FLIP = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -130,7 +130,7 @@ _LAID = "place int, path binary, marks binary, n bigint, root bigint"
 
 def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among neighbours of a sorted run: (first, second, whether left over), the second at
-    ``fresh`` or later. Of each second the nearest ``most`` are taken. Rows with a ``part`` are only
+    ``fresh`` or later. The nearest are taken while both have fewer than ``most``. Rows with a ``part`` are only
     compared with those of other parts."""
     place, root, n = (table[c].to_numpy() for c in ("place", "root", "n"))
     path = _matrix(table["path"].combine_chunks(), 2 * DEPTH)
@@ -148,8 +148,10 @@ def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.nda
         first, second = first[near], second[near]
         near = (marks[first] == marks[second]).sum(axis=1) >= AGREE
         first, second = first[near], second[near]
-        out.append((first, second, taken[second] >= most))
-        taken[second] += 1
+        over = (taken[first] >= most) | (taken[second] >= most)
+        out.append((first, second, over))
+        taken[first[~over]] += 1
+        taken[second[~over]] += 1
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -239,10 +241,13 @@ def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percen
 
 def rooted(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(node, root) of the classes that some link joins."""
-    open_classes, links, roots = classes.withColumn("root", F.xxhash64("node")), None, None
+    open_classes, tried, links, roots = classes.withColumn("root", F.xxhash64("node")), None, None, None
     for most in ROUNDS:
         found = cut(candidates(open_classes, percent, most))
-        new = cut(confirmed(found.filter("b is not null"), documents, classes, percent, size))
+        pairs = found.filter("b is not null")
+        pairs = pairs if tried is None else cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        new = cut(confirmed(pairs, documents, classes, percent, size))
         links = new if links is None else links.unionAll(new)
         roots = cut(components(links))
         rest = found.filter("b is null").select(F.col("a").alias("node"))
