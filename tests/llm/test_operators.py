@@ -123,6 +123,25 @@ def test_large_group_keeps_its_links(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_links_at_the_edge_are_tried(spark):
+    least = sum(math.comb(forest.SLOTS, k) * 0.8**k * 0.2 ** (forest.SLOTS - k) for k in range(forest.AGREE))
+    assert least < 1e-4
+    texts = []
+    for seed in range(2000):
+        words = prose(seed, 100).split()
+        # 99 shingles each, 88 of them shared: a changed word costs two, a changed last word one
+        copy = [*(f"new{k}" if k in (15, 35, 55, 75, 90) else w for k, w in enumerate(words[:-1])), "end"]
+        one, two = (next(forest.shingle_sets(pa.array([" ".join(w)]))) for w in (words, copy))
+        shared = len(np.intersect1d(one, two))
+        alike = 100 * shared >= 80 * (len(one) + len(two) - shared)
+        if alike and 61 <= (forest.signature(one) == forest.signature(two)).sum() < 66:
+            texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(copy))]
+        if len(texts) == 4:
+            break
+    got = forest.near_duplicates(documents(spark, texts)).collect()
+    assert len(texts) == 4 and {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in texts}
+
+
 def contamination_by_force(texts, items, size=13):
     def words(text):
         return "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
