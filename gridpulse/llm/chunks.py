@@ -1,11 +1,12 @@
 """Line deduplication by content-defined chunks.
 
 A text is cut into lines, and these at clause ends, so that a passage is found wherever it was pasted.
-A rolling hash over the hashes of neighbouring lines ends a chunk, so boundaries depend on content
-alone and fall into step again after an insertion. Chunks that occur again are compared byte by byte,
+Within a clause a rolling hash over neighbouring words ends a chunk every few words. Boundaries depend
+on nothing but the words beside them, so they fall into step again after an insertion, also in a passage
+pasted in mid-sentence or without any punctuation. Chunks that occur again are compared byte by byte,
 by grouping on their text; of each the first occurrence stays. Its digest then finds the later ones,
 and the digests of very frequent chunks are salted by their share of all rows. Runs of repeated chunks that span
-several lines are removed.
+several lines, or many words of one line, are removed.
 
 Only chunks whose hash was counted more than once are ever shuffled with their text: those hashes are
 marked in a bitmap of fixed size that goes back to the scan.
@@ -27,12 +28,14 @@ from pyspark.sql import types as T
 from gridpulse.llm import tokens
 from gridpulse.llm.work import cut, packed
 
+#: Words whose rolling hash ends a chunk within a clause, on average after one word in ``EVERY``.
 WINDOW = 2
-#: A chunk goes on after one line in ``OPEN`` and ends after the others.
-OPEN = 4
-#: What a run of repeated chunks must have to be removed.
+EVERY = 6
+#: What a run of repeated chunks must have to be removed: whole lines and words, or words alone. A
+#: passage of 50 words loses about ``EVERY`` at either end to chunks that reach beyond it.
 LINES = 2
 WORDS = 13
+ALONE = 20
 BITMAP_BITS = 26
 #: A hash with more than one in so many of the repeated chunks is salted.
 SHARE = 1000
@@ -44,43 +47,47 @@ _values = tokens.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED496
 
 @dataclass(frozen=True)
 class Chunks:
-    """Chunks of the texts of a block: their lines, bytes and hashes."""
+    """Chunks of the texts of a block: their bytes, hashes and lines."""
 
-    lines: tokens.Words
-    starts: np.ndarray  # first line of each chunk
-    stops: np.ndarray  # line after the last
-    hashes: np.ndarray
+    parts: tokens.Words
+    closes: np.ndarray  # whether a line ends with the chunk
+    line: np.ndarray  # line of each chunk, counted through the block
     words: np.ndarray
-    bounds: np.ndarray  # chunks of each text
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.parts.hashes
+
+    @property
+    def bounds(self) -> np.ndarray:
+        return self.parts.bounds
 
     def span(self, chunk: int) -> tuple[int, int]:
-        return int(self.lines.starts[self.starts[chunk]]), int(self.lines.ends[self.stops[chunk] - 1])
+        return int(self.parts.starts[chunk]), int(self.parts.ends[chunk])
+
+
+def _inner_ends(words: tokens.Words) -> np.ndarray:
+    """Positions of the blanks that end a chunk by the words before them, whatever the clause."""
+    last = np.flatnonzero(tokens.windows(words.hashes, WINDOW) % np.uint64(EVERY) == 0) + WINDOW - 1
+    text = np.searchsorted(words.bounds, last, side="right") - 1
+    own = last - WINDOW + 1 >= words.bounds[text]
+    return words.ends[last[own & (words.ends[last] < words.offsets[text + 1])]]
 
 
 def chunks(column: pa.Array) -> Iterator[Chunks]:
     for first, data, offsets in tokens.blocks(column):
-        blank = ~tokens.VISIBLE.inside[data]
+        words = tokens.split(first, data, offsets, tokens.VISIBLE)
         gap = (data == 10) | (data == 13)
         if len(data):
-            gap[1:] |= blank[1:] & _stops[data[:-1]]
-        lines = tokens.runs(first, data, offsets, ~gap, _values)
-        n = len(lines.starts)
-        last = np.zeros(n, bool)
-        if n:
-            # a window that would reach into the text before shrinks to the lines of its own text
-            last[WINDOW - 1 :] = tokens.windows(lines.hashes, WINDOW) % np.uint64(OPEN) != 0
-            full = np.diff(lines.bounds) > 0
-            opens = lines.bounds[:-1][full]
-            last[opens] = lines.hashes[opens] % np.uint64(OPEN) != 0
-            last[lines.bounds[1:][full] - 1] = True
-        stops = np.flatnonzero(last) + 1
-        starts = np.concatenate([np.zeros(1, np.int64), stops[:-1]]) if n else stops
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(lines.hashes * tokens.powers(tokens.BASE, n), out=sums[1:])
-        hashes = tokens.mix((sums[stops] - sums[starts]) * tokens.powers(tokens.INVERSE, n + 1)[starts])
-        before = np.concatenate([[0], np.cumsum(~blank & np.concatenate([[True], blank[:-1]]) if len(data) else [0])])
-        words = before[lines.ends[stops - 1]] - before[lines.starts[starts]] if n else np.zeros(0, np.int64)
-        yield Chunks(lines, starts, stops, hashes, words, np.searchsorted(starts, lines.bounds))
+            gap[1:] |= ~tokens.VISIBLE.inside[data[1:]] & _stops[data[:-1]]
+        ended = np.concatenate([[0], np.cumsum(gap)])
+        gap[_inner_ends(words)] = True
+        parts = tokens.runs(first, data, offsets, ~gap, _values)
+        closes = np.ones(len(parts.starts), bool)
+        closes[:-1] = ended[parts.starts[1:]] > ended[parts.ends[:-1]]
+        closes[parts.bounds[1:][np.diff(parts.bounds) > 0] - 1] = True
+        n_words = np.searchsorted(words.starts, parts.ends) - np.searchsorted(words.starts, parts.starts)
+        yield Chunks(parts, closes, np.cumsum(closes) - closes, n_words)
 
 
 def _place(hashes: np.ndarray) -> np.ndarray:
@@ -136,9 +143,9 @@ def occurrences(documents: DataFrame, counts: DataFrame) -> DataFrame:
             for found in chunks(batch.column("text")):
                 at = np.flatnonzero(_marked(bitmap, found.hashes))
                 owner = np.searchsorted(found.bounds, at, side="right") - 1
-                raw = found.lines.data.tobytes()
+                raw = found.parts.data.tobytes()
                 texts = [raw[slice(*found.span(i))] for i in at.tolist()]
-                row, number = found.lines.first + owner, at - found.bounds[owner]
+                row, number = found.parts.first + owner, at - found.bounds[owner]
                 salts = np.ones(len(at), np.int64)
                 if len(heavy):
                     own = found.hashes[at].view(np.int64)
@@ -182,19 +189,21 @@ def repeated(documents: DataFrame) -> DataFrame:
 
 
 def _removed(found: Chunks, text: int, numbers: list[int]) -> list[tuple[int, int, int]]:
-    """(first byte, byte after, lines) of the runs of repeated chunks long enough to go."""
-    low, out, at = int(found.bounds[text]), [], 0
+    """(first byte, byte after, lines touched) of the runs of repeated chunks long enough to go."""
+    low, high, out, at, counted = int(found.bounds[text]), int(found.bounds[text + 1]), [], 0, -1
     while at < len(numbers):
         to = at
         while to + 1 < len(numbers) and numbers[to + 1] == numbers[to] + 1:
             to += 1
         a, b = low + numbers[at], low + numbers[to]
-        lines = int(found.stops[b] - found.starts[a])
-        if lines >= LINES and int(found.words[a : b + 1].sum()) >= WORDS:
-            after = int(found.stops[b])
-            inside = after < found.lines.bounds[text + 1]
-            end = found.lines.starts[after] if inside else found.lines.offsets[text + 1]
-            out.append((int(found.lines.starts[found.starts[a]]), int(end), lines))
+        whole = int(found.closes[a : b + 1].sum()) - (a > low and not found.closes[a - 1])
+        n_words = int(found.words[a : b + 1].sum())
+        if n_words >= ALONE or whole >= LINES and n_words >= WORDS:
+            end = found.parts.starts[b + 1] if b + 1 < high else found.parts.offsets[text + 1]
+            # a line that loses several runs counts once
+            lines = int(found.line[b]) - max(int(found.line[a]) - 1, counted)
+            counted = int(found.line[b])
+            out.append((int(found.parts.starts[a]), int(end), lines))
         at = to + 1
     return out
 
@@ -222,20 +231,20 @@ def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             texts = column.to_pylist()
             lines, removed = [], []
             for found in chunks(column):
-                for i in range(found.lines.n):
-                    lines.append(int(found.lines.bounds[i + 1] - found.lines.bounds[i]))
+                for i in range(found.parts.n):
+                    lines.append(int(found.closes[found.bounds[i] : found.bounds[i + 1]].sum()))
                     removed.append(0)
-                    repeats = numbers[found.lines.first + i].as_py()
+                    repeats = numbers[found.parts.first + i].as_py()
                     cuts = _removed(found, i, repeats) if repeats else []
                     if not cuts:
                         continue
-                    at, rest = int(found.lines.offsets[i]), b""
+                    at, rest = int(found.parts.offsets[i]), b""
                     for start, end, n in cuts:
-                        rest += found.lines.data[at:start].tobytes()
+                        rest += found.parts.data[at:start].tobytes()
                         at = end
                         removed[-1] += n
-                    rest += found.lines.data[at : found.lines.offsets[i + 1]].tobytes()
-                    texts[found.lines.first + i] = rest.decode()
+                    rest += found.parts.data[at : found.parts.offsets[i + 1]].tobytes()
+                    texts[found.parts.first + i] = rest.decode()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
                 names=["row", *[f.name for f in _CLEANED]],

@@ -269,6 +269,17 @@ def test_repeated_passages_go_and_clean_text_stays(spark):
         assert got[i].cleaned.startswith(prose(i, 25)) and got[i].cleaned.endswith(prose(i + 50, 25).split()[-1] + ".")
 
 
+def test_passages_without_clause_ends_go(spark):
+    passage = prose(990, 60)
+    texts = [(i, f"{prose(2000 + i, 25)} {passage} {prose(3000 + i, 25)}") for i in range(12)]
+    got = {r.doc_id: r for r in chunks.cleaned(documents(spark, texts)).select("row.doc_id", "row.text", "cleaned", "n_lines", "n_removed").collect()}
+    assert got[0].cleaned == got[0].text and all(r.n_lines == 1 for r in got.values())
+    for i in range(1, 12):
+        left = got[i].cleaned
+        assert got[i].n_removed == 1 and len(left.split()) <= 110 - 30
+        assert left.startswith(prose(2000 + i, 25) + " ") and left.endswith(" " + prose(3000 + i, 25))
+
+
 def test_very_frequent_chunks_are_salted(spark):
     passage = ". ".join(prose(700 + k, 6) for k in range(12)) + "."
     frame = documents(spark, [(i, f"{prose(i, 25)}. {passage} {prose(i + 500, 25)}.") for i in range(40)])
