@@ -30,8 +30,8 @@ ONE_IN = 20
 class Windows:
     """The windows of some benchmark items: exact words, and their hashes by length."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
-        self.items: dict[bytes, set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
+        self.items: dict[bytes, set[str | None]] = defaultdict(set)
         hashes: dict[int, list[np.ndarray]] = defaultdict(list)
         for found in tokens.words(pa.array([text for _, text in items], pa.string()), tokens.LETTERS):
             for i in range(found.n):
@@ -48,7 +48,7 @@ class Windows:
             self.filters[n] = np.zeros(1 << FILTER_BITS, bool)
             self.filters[n][known >> np.uint64(64 - FILTER_BITS)] = True
 
-    def hits(self, found: tokens.Words) -> Iterator[tuple[int, int, set[str]]]:
+    def hits(self, found: tokens.Words) -> Iterator[tuple[int, int, set[str | None]]]:
         """(first word, length, items) of every verified window that lies within one text."""
         bounds = found.bounds
         for n, known in self.hashes.items():
@@ -79,7 +79,7 @@ def _scan(windows: Windows, batch: pa.RecordBatch) -> pa.RecordBatch:
     old_names = batch.column(known.index("names")) if "names" in known else None
     for found in tokens.words(batch.column(known.index("text")), tokens.LETTERS):
         hit = np.zeros(len(found.starts), bool)
-        items: dict[int, set[str]] = defaultdict(set)
+        items: dict[int, set[str | None]] = defaultdict(set)
         for at, n, named in windows.hits(found):
             hit[at : at + n] = True
             items[int(np.searchsorted(found.bounds, at, side="right")) - 1] |= named
@@ -92,7 +92,7 @@ def _scan(windows: Windows, batch: pa.RecordBatch) -> pa.RecordBatch:
                     own[span["first"] : span["last"] + 1] = True
                 items[i] |= set(old_names[at].as_py())
             spans.append(_spans(own) if own.any() else [])
-            names.append(sorted(items[i]) if i in items else [])
+            names.append(sorted(items[i], key=lambda x: (x is None, x or "")) if i in items else [])
     kept = {n: batch.column(i) for i, n in enumerate(known)}
     kept["n_words"] = pa.array(n_words, pa.int64())
     kept["spans"] = pa.array(spans, pa.list_(_SPAN))
@@ -103,10 +103,11 @@ def _scan(windows: Windows, batch: pa.RecordBatch) -> pa.RecordBatch:
 def scan(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, spans (hit words, from 0) and names (ids of items found) to a frame with ``text``.
 
-    Benchmark rows without id or without words have no windows.
+    Benchmark rows without words have no windows. Those without id have; all of them are one item, named
+    null, which counts in n_items and leaves no trace in items_sha256.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna(subset=["text"])
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = -(-total // block_bytes) or 1
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])

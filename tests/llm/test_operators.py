@@ -172,6 +172,16 @@ def test_contamination_equals_brute_force(spark, block):
     assert found == contamination_by_force(texts, items)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_items_without_id_have_windows(spark, block):
+    bench = spark.createDataFrame([(None, prose(1, 20)), (None, prose(2, 20)), (7, prose(3, 20)), (8, None)], "item_id long, text string")
+    docs = documents(spark, [(1, prose(1, 20)), (2, f"{prose(3, 20)} {prose(2, 20)} {prose(1, 20)}"), (3, prose(4, 20))])
+    got = decontamination.contamination(docs, bench, block_bytes=block).collect()
+    sha = {k: hashlib.sha256(k.encode()).hexdigest() for k in ("", "7")}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in got} == {1: (20, 1, sha[""]), 2: (60, 2, sha["7"]), 3: (0, 0, sha[""])}
+    assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [3]
+
+
 def test_spans_are_cut_out(spark):
     bench = spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")
     docs = documents(spark, [(1, f"Before, {prose(1, 20)}; after"), (2, "Clean.")])
