@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.catalog.base import Catalog
-from gridpulse.llm import archives, backoff, chunks, decontamination, exact, forest, language, mixture, quality, toxicity
+from gridpulse.llm import (
+    archives, audit, backoff, chunks, decontamination, exact, forest, language, mixture, quality, toxicity,
+)
 
 catalog = Catalog()
 
@@ -151,6 +153,49 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
+@catalog.query(
+    r"""
+with d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+    from documents),
+f as (
+    select doc_id, part,
+           case when len(w) < 200 then 1 else 0 end
+           + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+           + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 4 else 0 end
+           + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+           + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end as fails
+    from d),
+l as (
+    select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic
+    from labels group by 1),
+c as (
+    select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+    from f left join l using (doc_id) group by 1, 2),
+k(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+    select [a.letter, b.letter, x.letter, y.letter, z.letter] as letters, [a.bit, b.bit, x.bit, y.bit, z.bit] as bits
+    from k a, k b, k x, k y, k z where a.bit + b.bit + x.bit + y.bit + z.bit = 31
+      and len(list_distinct([a.bit, b.bit, x.bit, y.bit, z.bit])) = 5),
+s as (
+    select array_to_string(letters, '') as filter_order, step, bits[step] as own,
+           cast(coalesce(list_sum(bits[1:step - 1]), 0) as integer) as before
+    from orders, (select unnest([1, 2, 3, 4, 5]) as step))
+select part, filter_order, step,
+       cast(sum(case when fails & (own | before) = 0 then n else 0 end) as bigint) as kept,
+       cast(sum(case when fails & own <> 0 and fails & before = 0 then n else 0 end) as bigint) as removed,
+       cast(sum(case when fails & own <> 0 and fails & before <> 0 then n else 0 end) as bigint) as redundant,
+       cast(sum(case when fails = own then n else 0 end) as bigint) as unique_fails,
+       cast(sum(case when fails & own <> 0 and fails & before = 0 then good else 0 end) as bigint) as good_lost,
+       cast(sum(case when fails & own <> 0 and fails & before = 0 then toxic else 0 end) as bigint) as toxic_lost,
+       cast(sum(case when fails & own <> 0 then n * (120 // bit_count(fails)) else 0 end) as bigint) as shapley
+from c, s group by 1, 2, 3"""
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @catalog.query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
