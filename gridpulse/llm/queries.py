@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridpulse.catalog.base import Catalog
 from gridpulse.llm import (
-    archives, audit, backoff, chunks, decontamination, exact, forest, language, mixture, quality, toxicity,
+    archives, audit, backoff, chunks, compression, decontamination, exact, forest, language, mixture, quality, simhash,
+    toxicity,
 )
 
 catalog = Catalog()
@@ -196,6 +197,50 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _assigned(n: int) -> str:
+    return f"""
+assigned_{n} as (
+    select r, p, min(d * 64 + e) as k
+    from (select r, p, e, sum((x - c) * (x - c)) as d from parts join book_{n} using (p, j) group by 1, 2, 3) group by 1, 2)"""
+
+
+def _improved(n: int) -> str:
+    return f"""{_assigned(n)},
+book_{n + 1} as (
+    select p, e, j, coalesce(m, c) as c
+    from book_{n} left join (
+        select p, k % 64 as e, j, cast(floor(sum(x) / count(*)) as bigint) as m
+        from parts join assigned_{n} using (r, p) group by 1, 2, 3) using (p, e, j))"""
+
+
+@catalog.query(
+    rf"""
+with v as (select row_number() over (order by vec_id) - 1 as r, vec_id, label, embedding from embeddings),
+values_of as (select r, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from v where embedding is not null),
+kept as (
+    select r, row_number() over (order by r) - 1 as place
+    from (select r from values_of group by 1 having bool_and(x is not null and isfinite(x)))),
+parts as (
+    select r, i // w as p, i % w as j, cast(floor(256 * cast(x as double)) as bigint) as x
+    from values_of join kept using (r), (select (max(i) + 1) // 16 as w from values_of)),
+book_0 as (select p, place as e, j, x as c from parts join kept using (r) where place < 64),{_improved(0)},{_improved(1)},{_assigned(2)},
+codes as (
+    select r, string_agg(lower(lpad(to_hex(cast(k % 64 as bigint)), 2, '0')), '' order by p) as code,
+           cast(sum(k // 64) as bigint) as error
+    from assigned_2 group by 1)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(c as varchar), ',' order by p, e, j)) from book_2) as codebooks_sha256
+from codes join v using (r)"""
+)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@catalog.query()
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @catalog.query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
