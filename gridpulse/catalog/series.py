@@ -38,9 +38,10 @@ def derivative_1s(spark, sf_dir):
 
 @catalog.query(DERIVATIVE.format(by="line"), READINGS)
 def derivative_chunked(spark, sf_dir):
+    """Three long series, dealt over more partitions than there are series."""
     rows = _ticking(tables.readings(spark, sf_dir))
     change = series.derivative(
-        rows, "voltage", "micros", ["line"], ["ts", "event_id"], 1_000_000, max_rows=500
+        rows, "voltage", "micros", ["line"], ["ts", "event_id"], 1_000_000
     )
     return tidy(change.select("event_id", "derivative"))
 
@@ -54,7 +55,7 @@ def derivative_chunked(spark, sf_dir):
     COUNTERS,
 )
 def irate_1m(spark, sf_dir):
-    rate = series.instant_rate(tables.counters(spark, sf_dir), "counter", 2 * HOUR, ["event_type"], max_rows=None)
+    rate = series.instant_rate(tables.counters(spark, sf_dir), "counter", 2 * HOUR, ["event_type"])
     return tidy(rate.select("event_type", "epoch", "rate"))
 
 
@@ -135,7 +136,7 @@ def fill_linear(spark, sf_dir):
 def step_change(spark, sf_dir):
     rows = tables.hourly(tables.readings(spark, sf_dir))
     hours = buckets.bucket_max(rows, "voltage", HOUR).withColumnRenamed("bucket", "epoch")
-    steps = series.step_changes(hours, "voltage", 100.0, [], ["epoch"], max_rows=None)
+    steps = series.step_changes(hours, "voltage", 100.0, [], ["epoch"])
     return tidy(steps.select("epoch", "voltage", "step"))
 
 
@@ -147,7 +148,7 @@ def step_change(spark, sf_dir):
 )
 def cadence_break(spark, sf_dir):
     hours = hour_temperatures(spark, sf_dir)
-    return series.cadence_breaks(hours, HOUR, [], max_rows=None).select("epoch", "gap")
+    return series.cadence_breaks(hours, HOUR, []).select("epoch", "gap")
 
 
 @catalog.query(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.timeparts import bucket_start
-from .sizes import ROWS_PER_TASK, chunk_seconds
-
 
 def _along(series: list[str]) -> Window:
     """Window over each series, or over the whole frame as one series."""
@@ -16,51 +17,78 @@ def _along(series: list[str]) -> Window:
 
 
 def with_previous(
-    df: DataFrame,
-    series: list[str],
-    order: list[str],
-    columns: list[str],
-    epoch: str = "epoch",
-    max_rows: int | None = ROWS_PER_TASK,
+    df: DataFrame, series: list[str], order: list[str], columns: list[str]
 ) -> DataFrame:
     """Add ``prev_<c>``: the column in the previous row of the same series.
 
-    A series too long for one task is cut into time chunks, see :func:`_chunked_previous`.
-    ``max_rows=None`` skips the size check for frames with one row per bucket, whose series
-    are only as long as the time range.
-    """
-    width = None if max_rows is None else chunk_seconds(df, series, epoch, max_rows)
-    if width is not None:
-        return _chunked_previous(df, series, order, columns, epoch, width)
-    before = _along(series).orderBy(*order)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(before) for c in columns})
-
+    The frame is range-partitioned by series and ``order``, nulls first, so a series of any length
+    is dealt over as many partitions as it fills. Within a sorted partition the previous row is the
+    one above. The first row of a partition takes it from the last row of the nearest partition
+    before that has rows; those carries are two rows a partition, which bounds their broadcast.
 
-def _chunked_previous(
-    df: DataFrame, series: list[str], order: list[str], columns: list[str], epoch: str, width: int
-) -> DataFrame:
-    """The last row of each chunk is repeated at the head of the next one, so a window per
-    (series, chunk) sees every predecessor. The repeats, one per chunk, are dropped again."""
-    needed = list(dict.fromkeys([*order, *columns]))
-    rows = df.withColumn("_chunk", bucket_start(F.col(epoch), width)).withColumn(
-        "_repeat", F.lit(False)
-    )
-    ends = rows.groupBy(*series, "_chunk").agg(
-        F.max(F.struct(*needed)).alias("_end")
-    )
-    chunks = _along(series).orderBy("_chunk")
-    repeats = (
-        ends.withColumn("_next", F.lead("_chunk").over(chunks))
-        .filter(F.col("_next").isNotNull())
-        .select(*series, F.col("_next").alias("_chunk"), "_end.*", F.lit(True).alias("_repeat"))
-    )
-    before = Window.partitionBy(*series, "_chunk").orderBy(F.col("_repeat").desc(), *order)
-    return (
-        rows.unionByName(repeats, allowMissingColumns=True)
-        .withColumns({f"prev_{c}": F.lag(c).over(before) for c in columns})
-        .filter(~F.col("_repeat"))
-        .drop("_chunk", "_repeat")
-    )
+    Rows of equal ``order`` are told apart by ``columns``, so the result depends neither on the number
+    of partitions nor on how the rows arrived.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = list(dict.fromkeys([*series, *order, *columns]))
+    ranged = df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id())
+    paired = _shifted(ranged.sortWithinPartitions(*key), series, columns)
+    here = F.struct(*[F.col(f"`{c}`") for c in key])
+    before = F.struct(*[F.col(f"`_prev_{c}`").alias(c) for c in dict.fromkeys([*series, *columns])])
+
+    # Two rows a partition: its first one, and a copy of its last one.
+    ends = paired.filter("_first or _copy").select("_part", "_copy", here.alias("_key"))
+    last = F.lag("_key").over(Window.partitionBy(F.lit(0)).orderBy("_part", "_copy"))
+    carried = ends.withColumn("_last", last).filter("not _copy")
+    carried = carried.select(F.col("_part").alias("_of"), F.col("_key").alias("_expected"), "_last")
+
+    rows = paired.filter("not _copy").withColumn("_here", here).withColumn("_before", before)
+    joined = rows.join(F.broadcast(carried), F.expr("if(_first, _part, null)") == F.col("_of"), "left")
+    # Both reads of the partitions have to see the same ones.
+    astray = F.col("_first") & ~F.col("_expected").eqNullSafe(F.col("_here"))
+    checked = F.when(astray, F.raise_error(F.lit("the partitions were cut anew between two reads")).cast("boolean"))
+
+    def previous(c: str):
+        above = F.when(F.col("_first"), F.col("_last").getField(c)).otherwise(F.col("_before").getField(c))
+        return F.when(checked.isNull(), above)
+
+    same = F.when(F.col("_first"), F.col("_last").isNotNull()).otherwise(F.lit(True))
+    for c in series:
+        same = same & previous(c).eqNullSafe(F.col(c))
+    return joined.select(*df.columns, *[F.when(same, previous(c)).alias(f"prev_{c}") for c in columns])
+
+
+def _shifted(sorted_parts: DataFrame, series: list[str], columns: list[str]) -> DataFrame:
+    """The rows with ``_prev_<c>`` of the row above in the partition, whatever its series; ``_first``
+    marks the first row of a partition, ``_copy`` a copy of its last row below it."""
+    names = list(dict.fromkeys([*series, *columns]))
+    fields = sorted_parts.schema.fields
+    added = [T.StructField(f"_prev_{n}", sorted_parts.schema[n].dataType) for n in names]
+    flags = [T.StructField("_first", T.BooleanType()), T.StructField("_copy", T.BooleanType())]
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            above = []
+            for n in names:
+                column = batch.column(batch.schema.get_field_index(n))
+                lead = pa.nulls(1, column.type) if last is None else last.column(last.schema.get_field_index(n))
+                above.append(pa.concat_arrays([lead, column.slice(0, len(column) - 1)]))
+            first = pa.array([last is None] + [False] * (len(batch) - 1))
+            no = pa.array([False] * len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *above, first, no], names=out)
+            last = batch.slice(len(batch) - 1)
+        if last is not None:
+            none = [pa.nulls(1, last.column(last.schema.get_field_index(n)).type) for n in names]
+            yield pa.RecordBatch.from_arrays(
+                [*last.columns, *none, pa.array([False]), pa.array([True])], names=out
+            )
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], *added, *flags])
+    out = schema.names
+    return sorted_parts.mapInArrow(shift, schema)
 
 
 def derivative(
@@ -70,11 +98,9 @@ def derivative(
     series: list[str],
     order: list[str],
     ticks_per_second: int = 1,
-    epoch: str = "epoch",
-    max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Change per second since the previous row; may be negative, the first row has none."""
-    paired = with_previous(df, series, order, [value, time], epoch, max_rows)
+    paired = with_previous(df, series, order, [value, time])
     seconds = (F.col(time) - F.col(f"prev_{time}")) / ticks_per_second
     rate = F.try_divide(F.col(value) - F.col(f"prev_{value}"), seconds)
     return (
@@ -90,14 +116,13 @@ def instant_rate(
     range_seconds: int,
     series: list[str],
     time: str = "epoch",
-    max_rows: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per-second rate of the last two samples within ``range_seconds``.
 
     A falling counter was reset, so its whole value is the increase. Two samples with one time have
     no rate.
     """
-    paired = with_previous(df, series, [time], [counter, time], time, max_rows)
+    paired = with_previous(df, series, [time], [counter, time])
     now, prev = F.col(counter), F.col(f"prev_{counter}")
     elapsed = F.col(time) - F.col(f"prev_{time}")
     increase = F.when(now < prev, now).otherwise(now - prev)
@@ -109,21 +134,19 @@ def instant_rate(
 
 
 def step_changes(
-    df: DataFrame, value: str, limit: float, series: list[str], order: list[str],
-    epoch: str = "epoch", max_rows: int | None = ROWS_PER_TASK,
+    df: DataFrame, value: str, limit: float, series: list[str], order: list[str]
 ) -> DataFrame:
     """Rows that differ from their predecessor by ``limit`` or more."""
-    paired = with_previous(df, series, order, [value], epoch, max_rows)
+    paired = with_previous(df, series, order, [value])
     step = F.abs(F.col(value) - F.col(f"prev_{value}"))
     return paired.withColumn("step", step).filter(F.col("step") >= limit)
 
 
 def cadence_breaks(
-    df: DataFrame, cadence: int, series: list[str], time: str = "epoch",
-    max_rows: int | None = ROWS_PER_TASK,
+    df: DataFrame, cadence: int, series: list[str], time: str = "epoch"
 ) -> DataFrame:
     """Rows that do not follow their predecessor by exactly ``cadence``."""
-    paired = with_previous(df, series, [time], [time], time, max_rows)
+    paired = with_previous(df, series, [time], [time])
     gap = F.col(time) - F.col(f"prev_{time}")
     return paired.withColumn("gap", gap).filter(F.col("gap") != cadence)
 

@@ -5,10 +5,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridpulse.functions import casts
 from gridpulse.operators import aggregates as agg
-from gridpulse.operators import buckets, gaps, percentiles, series, sizes, upserts
+from gridpulse.operators import buckets, gaps, percentiles, series, upserts
 from gridpulse.sources import metrics
 
 
@@ -135,26 +136,50 @@ def _walk(spark, n=3000, seed=5):
     return spark.createDataFrame(data, "s string, epoch bigint, id int, v double")
 
 
-def test_chunked_series_see_every_predecessor(spark, rows):
-    df = _walk(spark)
-    plain = series.with_previous(df, ["s"], ["epoch", "id"], ["v", "epoch"], max_rows=None)
-    split = series.with_previous(df, ["s"], ["epoch", "id"], ["v", "epoch"], max_rows=3)
-    assert rows(split.select(plain.columns)) == rows(plain)
-    assert sizes.chunk_seconds(df, ["s"], "epoch", 3) < 86400
-    assert sizes.chunk_seconds(df, ["s"], "epoch") is None
-
-
-def test_whole_frame_as_one_series(spark, rows):
-    df = _walk(spark, 500)
-    plain = series.with_previous(df, [], ["epoch", "id"], ["v"], max_rows=None)
-    split = series.with_previous(df, [], ["epoch", "id"], ["v"], max_rows=3)
-    assert rows(split.select(plain.columns)) == rows(plain)
-
-
-def test_chunks_hold_no_more_than_asked(spark):
-    df = spark.range(10_000).select(F.lit(0).alias("s"), F.floor(F.col("id") / 10).alias("epoch"))
-    width = sizes.chunk_seconds(df, ["s"], "epoch", 500)
-    assert 10 * width <= 500
+def _lagged(df, by, order, columns):
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order, *columns)
+    return df.withColumns({f"prev_{c}": F.lag(c).over(over) for c in columns})
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "50"])
+@pytest.mark.parametrize("by", [["s"], []], ids=["series", "whole frame"])
+def test_long_series_see_every_predecessor(spark, rows, parts, by):
+    df, before = _walk(spark, 1500), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = series.with_previous(df, by, ["epoch", "id"], ["v", "epoch"])
+        assert rows(got) == rows(_lagged(df, by, ["epoch", "id"], ["v", "epoch"]).select(got.columns))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_order_need_not_be_time(spark, rows):
+    # times run against the order, and some orders and series are null
+    data = [(s, i if i % 9 else None, 10_000 - 7 * i, float(i)) for i in range(200) for s in ("a", None)]
+    df = spark.createDataFrame(data, "s string, seq int, epoch bigint, v double")
+    got = series.with_previous(df, ["s"], ["seq"], ["v", "epoch"])
+    assert rows(got) == rows(_lagged(df, ["s"], ["seq"], ["v", "epoch"]))
+
+
+def test_few_rows_leave_empty_partitions(spark, rows):
+    df = spark.createDataFrame([(2, 1), (5, 2)], "v int, seq int")
+    assert rows(series.with_previous(df, [], ["seq"], ["v"])) == [(2, 1, None), (5, 2, 2)]
+    assert rows(series.with_previous(df.filter("v > 9"), [], ["seq"], ["v"])) == []
+    many = spark.range(3000).select(F.lit(1).alias("v"), F.lit(1).alias("seq"))
+    assert series.with_previous(many, [], ["seq"], ["v"]).filter("prev_v is null").count() == 1
+
+
+def test_previous_row_shuffles_once_and_runs_nothing_early(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "previous-row"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = series.with_previous(_walk(spark, 300), ["s"], ["epoch"], ["v"])
+        assert not list(tracker.getJobIdsForGroup(group))
+        got.collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "CartesianProduct" not in plan
 
 
 def test_derivative(spark, rows):
