@@ -23,7 +23,7 @@ from .plans import averages, prediction
 from .session import use_utc
 from .sinks import tables
 from .sources import messages
-from .streaming import jobs, runner
+from .streaming import jobs, runner, state
 
 ARRIVAL = ("epoch",)
 
@@ -55,9 +55,9 @@ def _source(spark: SparkSession, args) -> DataFrame:
     return messages.message_files(spark, args.messages, files_per_batch=messages.FILES_PER_BATCH)
 
 
-def _start(stream: DataFrame, handler, args, name: str):
+def _start(stream: DataFrame, handler, args, name: str, mode: str = "append"):
     interval = None if args.once else f"{args.interval} milliseconds"
-    return runner.start(stream, handler, f"{args.root}/progress/{name}", interval=interval)
+    return runner.start(stream, handler, f"{args.root}/progress/{name}", mode, interval)
 
 
 def run_max(spark: SparkSession, args) -> None:
@@ -82,10 +82,11 @@ def run_max(spark: SparkSession, args) -> None:
 
 def run_alert(spark: SparkSession, args) -> None:
     decoded = messages.keyed(_source(spark, args), args.input)
-    handler = jobs.publish_alerts(
+    handler = jobs.publish_states(
         args.root, log_level=args.log_level, subject=f"{args.output}.voltage.max"
     )
-    _start(decoded, handler, args, "alert").awaitTermination()
+    known = state.subject_states(decoded, ttl_seconds=None if args.once else state.TIME_TO_LIVE)
+    _start(known, handler, args, "alert", "update").awaitTermination()
 
 
 def run_average(spark: SparkSession, args) -> None:

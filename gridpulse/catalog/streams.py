@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.payloads import decode_wide_reading
 from ..functions.timeparts import HOUR_SECONDS
 from ..session import scratch
+from ..sinks import reports
 from ..sinks import tables as stored
 from ..sources import messages, metrics, tables
-from ..streaming import jobs, runner
+from ..streaming import jobs, runner, state
 from .base import READINGS, TEMPERATURES, TIME_PARTS, Catalog, tidy
 
 catalog = Catalog()
 
-# A stored table may come in any file order, so no row of it may count as late.
-WHOLE_TABLE = "3650 days"
+# A stored table comes in any file order, so no row of it counts as late.
+WHOLE_TABLE = None
+LANDED_FILES = 6
 
 
 def _events(spark, sf_dir):
@@ -55,15 +57,15 @@ def stream_unkeyed_source(spark, sf_dir):
 
 
 @catalog.query(
-    """select 0::bigint as batch_id, subject, max(epoch) as epoch, max(voltage) as voltage
-       from readings group by subject""",
+    """select subject, max(epoch) as epoch, max(voltage) as voltage from readings group by subject""",
     READINGS,
 )
 def stream_batch_reduce(spark, sf_dir):
+    """Batches reduced on their own; the reader folds what they found of a subject."""
     path = scratch(spark, "reduced")
     reduce = jobs.reduce_each_batch(path, lambda batch: jobs.agg.max_by_subject(batch, "voltage"))
     _drain(spark, _readings(spark, sf_dir), reduce)
-    return tidy(stored.read_batches(spark, path))
+    return tidy(jobs.agg.max_by_subject(stored.read_batches(spark, path), "voltage"))
 
 
 @catalog.query(
@@ -179,16 +181,32 @@ def stream_alert_job(spark, sf_dir):
     """The alert job from binary messages to its text reports."""
     root = scratch(spark, "alert-job")
     decoded = messages.keyed(tables.as_messages(_events(spark, sf_dir)), "raw.voltage.data.>")
-    _drain(spark, decoded, jobs.publish_alerts(root))
+    _drain(spark, state.subject_states(decoded), jobs.publish_states(root), "update")
     texts = [
-        spark.read.parquet(f"{root}/{folder}").select(
-            F.lit(name).alias("output"), "subject", "message"
-        )
+        reports.newest(spark, f"{root}/{folder}").select(F.lit(name).alias("output"), "subject", "message")
         for name, folder in (("max", "subject_max_text"), ("alert", "alert_text"))
     ]
     return texts[0].unionAll(texts[1])
 
 
+@catalog.query(
+    """select subject, max(epoch) as epoch, max(voltage) as value,
+              count(*) filter (voltage > 120) as n, min(epoch) filter (voltage > 120) as first_epoch,
+              count(*) filter (voltage > 120) >= 2 as alert
+       from readings group by subject""",
+    READINGS,
+)
+def stream_alerts_stateful(spark, sf_dir):
+    """The readings landed as files and taken two files a batch; the state joins what batches cut apart."""
+    landing, path = scratch(spark, "landing"), scratch(spark, "states")
+    readings = tables.readings(spark, sf_dir).select("subject", "epoch", F.col("voltage").alias("value"))
+    readings.repartition(LANDED_FILES).write.parquet(landing)
+    stream = messages.message_files(spark, landing, "subject string, epoch bigint, value double", 2)
+    _drain(spark, state.subject_states(stream), jobs.store_updates(path), "update")
+    newest = stored.latest_by_key(stored.read_batches(spark, path), ["subject"], [stored.BATCH])
+    return tidy(newest.drop(stored.BATCH)).withColumn("alert", F.col("n") >= jobs.agg.OFF_LIMIT_COUNT)
+
+
 @catalog.query(
     """select epoch - epoch % 3600 as epoch, max(temperature) as temperature from temperatures group by 1""",
     TEMPERATURES,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.payloads import encode_long_float, encode_long_int
+from ..operators.upserts import latest_by_key
 
 
 def json_report(df: DataFrame, value: str, subject: Column | None = None) -> DataFrame:
@@ -54,6 +55,12 @@ def publish_files(messages: DataFrame, path: str, batch_id: int) -> None:
     messages.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def newest(spark: SparkSession, path: str, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """The last message of every subject of those that :func:`publish_files` landed below ``path``."""
+    landed = spark.read.option("basePath", path).parquet(path)
+    return latest_by_key(landed, list(keys), ["batch_id"]).drop("batch_id")
+
+
 def publish_topic(messages: DataFrame, servers: str, topic: str) -> None:
     """Send a batch of messages to Kafka; needs the Kafka package on the cluster."""
     body = "payload" if "payload" in messages.columns else "message"

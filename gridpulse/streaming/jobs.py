@@ -127,6 +127,25 @@ def store_temperatures(root: str, subject: str = "extract", how: str = "max") ->
     return on_batch
 
 
+def _below(output: Column) -> Column:
+    return F.concat_ws(".", output, F.col("subject"))
+
+
+def _alert_outputs(maxima: DataFrame, alerts: DataFrame, value: str, subject: str) -> dict[str, DataFrame]:
+    """Maxima and alerts as binary and as text messages.
+
+    Messages go out below ``subject``, with the subject they came in under as the tail. Only the
+    output subject is rewritten for alerts and reports.
+    """
+    maximum, alert = F.lit(subject), alert_subject(F.lit(subject))
+    return {
+        "subject_max": reports.binary_values(maxima, value, _below(maximum)),
+        "subject_max_text": reports.text_report(maxima, value, _below(report_subject(maximum))),
+        "alert": reports.binary_counts(alerts, "n", _below(alert)),
+        "alert_text": reports.text_report(alerts, "n", _below(report_subject(alert))),
+    }
+
+
 def publish_alerts(
     root: str,
     value: str = "value",
@@ -135,15 +154,10 @@ def publish_alerts(
     log_level: str = "",
     subject: str = "extract.voltage.max",
 ) -> BatchHandler:
-    """Per subject: the maxima and the alerts, each as binary message and as text.
+    """Per subject of a batch of readings: the maxima and the alerts, without memory of other batches.
 
-    Messages go out below ``subject``, with the subject they came in under as the tail. Only the
-    output subject is rewritten for alerts and reports.
+    What comes out follows the batches; :func:`publish_states` does not.
     """
-    maximum, alert = F.lit(subject), alert_subject(F.lit(subject))
-
-    def below(output: Column) -> Column:
-        return F.concat_ws(".", output, F.col("subject"))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -152,13 +166,33 @@ def publish_alerts(
             alerts = agg.alerts(batch, value, limit=limit, count=count)
             reports.show_stage(maxima, "MAX", log_level)
             reports.show_stage(alerts, "ALERTS", log_level)
-            outputs = {
-                "subject_max": reports.binary_values(maxima, value, below(maximum)),
-                "subject_max_text": reports.text_report(maxima, value, below(report_subject(maximum))),
-                "alert": reports.binary_counts(alerts, "n", below(alert)),
-                "alert_text": reports.text_report(alerts, "n", below(report_subject(alert))),
-            }
-            for name, messages in outputs.items():
+            for name, messages in _alert_outputs(maxima, alerts, value, subject).items():
+                reports.publish_files(messages, f"{root}/{name}", batch_id)
+        finally:
+            batch.unpersist()
+
+    return on_batch
+
+
+def publish_states(
+    root: str,
+    count: int = agg.OFF_LIMIT_COUNT,
+    log_level: str = "",
+    subject: str = "extract.voltage.max",
+) -> BatchHandler:
+    """Maxima and alerts of the subjects whose :func:`~.state.subject_states` a batch changed.
+
+    The last message of a subject holds for all its readings so far, see :func:`~..sinks.reports.newest`.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            alerts = batch.filter(F.col("n") >= count).select("subject", F.col("first_epoch").alias("epoch"), "n")
+            reports.show_stage(batch, "MAX", log_level)
+            reports.show_stage(alerts, "ALERTS", log_level)
+            values = batch.withColumn("value", F.col("value").cast("float"))
+            for name, messages in _alert_outputs(values, alerts, "value", subject).items():
                 reports.publish_files(messages, f"{root}/{name}", batch_id)
         finally:
             batch.unpersist()
@@ -166,12 +200,20 @@ def publish_alerts(
     return on_batch
 
 
+def _bounded(stream: DataFrame, time: str, lateness: str | None) -> DataFrame:
+    return stream if lateness is None else stream.withWatermark(time, lateness)
+
+
 def windowed_max(
     stream: DataFrame, value: str, time: str = "event_time", width: str = "5 seconds",
-    lateness: str = "1 minute",
+    lateness: str | None = "1 minute",
 ) -> DataFrame:
-    """Largest value per event-time window; state is one row per open window."""
-    windows = stream.withWatermark(time, lateness).groupBy(F.window(time, width).alias("w"))
+    """Largest value per event-time window; state is one row per open window.
+
+    Without ``lateness`` no row is late and no window closes. That is for a stored table, whose
+    files come in any order and whose stream ends.
+    """
+    windows = _bounded(stream, time, lateness).groupBy(F.window(time, width).alias("w"))
     return windows.agg(F.max(value).alias(value)).select(
         F.unix_seconds("w.start").alias("bucket"), value
     )
@@ -179,11 +221,14 @@ def windowed_max(
 
 def windowed_alerts(
     stream: DataFrame, value: str, keys: list[str], time: str = "event_time",
-    width: str = "5 seconds", lateness: str = "1 minute",
+    width: str = "5 seconds", lateness: str | None = "1 minute",
     limit: float = agg.OFF_LIMIT, count: int = agg.OFF_LIMIT_COUNT,
 ) -> DataFrame:
-    """Keys with at least ``count`` off-limit readings in an event-time window."""
-    beyond = agg.off_limits(stream, value, limit).withWatermark(time, lateness)
+    """Keys with at least ``count`` off-limit readings in an event-time window.
+
+    ``lateness`` as for :func:`windowed_max`.
+    """
+    beyond = _bounded(agg.off_limits(stream, value, limit), time, lateness)
     counted = beyond.groupBy(*keys, F.window(time, width).alias("w")).agg(
         F.min("epoch").alias("epoch"), F.count("*").alias("n")
     )

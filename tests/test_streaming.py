@@ -1,14 +1,15 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridpulse import session
 from gridpulse.functions import payloads
 from gridpulse.operators import aggregates as agg
-from gridpulse.sinks import tables
+from gridpulse.sinks import reports, tables
 from gridpulse.sources import messages
-from gridpulse.streaming import jobs, runner
+from gridpulse.streaming import jobs, runner, state
 
 START = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
 SCHEMA = "event_id bigint, subject string, epoch bigint, voltage double, line int, transformer int, usage_point int"
@@ -174,3 +175,61 @@ def test_a_wide_message_is_decoded_once(spark):
     decoded = messages.point_readings(df, "a.>", payloads.decode_wide_reading)
     plan = decoded._jdf.queryExecution().executedPlan().toString()
     assert plan.count("decode_wide(") == 1
+
+
+@pytest.mark.parametrize("per_batch", [1, 2, None])
+def test_alert_states_do_not_depend_on_the_batches(spark, landed, rows, per_batch):
+    path = session.scratch(spark, "states")
+    stream = messages.message_files(spark, landed, SCHEMA, per_batch)
+    _drain(spark, state.subject_states(stream, "voltage"), jobs.store_updates(path), "update")
+    got = tables.latest_by_key(tables.read_batches(spark, path), ["subject"], ["batch_id"])
+    beyond = F.col("voltage") > 120
+    want = _readings(spark).groupBy("subject").agg(
+        F.max("epoch").alias("epoch"), F.max("voltage").alias("value"),
+        F.count_if(beyond).alias("n"), F.min(F.when(beyond, F.col("epoch"))).alias("first_epoch"),
+    )
+    assert rows(got, *want.columns) == rows(want)
+
+
+def test_two_batches_raise_one_alert(spark, rows):
+    path, root = session.scratch(spark, "landed"), session.scratch(spark, "published")
+    parts = [[("a", 5, 130.0), ("b", 1, 200.0), (None, 1, 150.0)], [("a", 3, 121.0), ("b", 2, 120.0), (None, 2, None)], [("c", 9, None)]]
+    for part in parts:
+        spark.createDataFrame(part, "subject string, epoch bigint, value double").coalesce(1).write.mode("append").parquet(path)
+    stream = messages.message_files(spark, path, "subject string, epoch bigint, value double", 1)
+    _drain(spark, state.subject_states(stream), jobs.publish_states(root), "update")
+    alerts = reports.newest(spark, f"{root}/alert_text")
+    assert rows(alerts, "subject", "message") == [("report.voltage.alert.a", "2")]
+    texts = dict(rows(reports.newest(spark, f"{root}/subject_max_text"), "subject", "message"))
+    assert texts["report.voltage.max.a"] == "130.0" and texts["report.voltage.max.c"] is None
+
+
+class Known:
+    """The state of one key as Spark hands it over."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_silent_subjects_are_forgotten():
+    known, update = Known(), state._update(10)
+    part = pd.DataFrame({"epoch": [4], "value": [130.0], "n": [1], "first_epoch": [4]})
+    (first,) = update(("a",), iter([part]), known)
+    assert known.value == (4, 130.0, 1, 4) and known.timeout == 10_000 and first["n"].tolist() == [1]
+    known.hasTimedOut = True
+    assert list(update(("a",), iter([]), known)) == [] and not known.exists
+    known.hasTimedOut = False
+    (again,) = update(("a",), iter([part]), known)
+    assert again["n"].tolist() == [1]
