@@ -117,7 +117,7 @@ def run_train(spark: SparkSession, args) -> None:
 def run_predict(spark: SparkSession, args) -> None:
     forecast = messages.unkeyed(_source(spark, args), f"{args.input}.temperature.forecast.12")
     handler = prediction.score_stream(
-        prediction.CurrentModel(_models(spark, args)),
+        prediction.CurrentModel(_models(spark, args)).get,
         f"{args.root}/prediction",
         args.threshold,
         args.utc_offset_hours,

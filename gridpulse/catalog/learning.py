@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..plans import prediction
+from ..plans.network import Network
 from ..session import scratch
 from ..sources import messages, tables
-from ..streaming import runner
+from ..streaming import features, jobs, runner
 from .aggregates import max_by_epoch
 from .base import HOUR_MAX, HOUR_TEMPERATURE, READINGS, TEMPERATURES, Catalog, tidy
 from .profiles import hour_temperatures
@@ -143,13 +145,101 @@ def stream_score(spark, sf_dir):
     events = messages.table_stream(tables.use_utc(spark), sf_dir, "events", tables.EVENTS_SCHEMA)
     forecast = messages.unkeyed(tables.as_messages(events), tables.TEMPERATURE_SUBJECT)
     current = prediction.CurrentModel(_store(spark, sf_dir))
-    handler = prediction.score_stream(current, root, LIMIT)
+    handler = prediction.score_stream(current.get, root, LIMIT)
     runner.drain(
         forecast.withColumnRenamed("value", "temperature"), handler, scratch(spark, "progress")
     )
     return spark.read.schema("epoch bigint, message string").parquet(f"{root}/batch_id=*")
 
 
+#: A network by a rule, so that SQL can have the same one: weight k is 0.9 * sin(1.7 * k * k).
+RULED_WEIGHTS = """
+weights as (
+    select layer, unit, source, 0.9 * sin(1.7 * k * k) as weight
+    from (select layer, unit, source,
+                 case when source = -1 then base + n_in * n_out + unit else base + source * n_out + unit end as k
+          from (values (0, 4, 16, 0), (1, 16, 12, 80), (2, 12, 6, 284), (3, 6, 2, 362)) as l(layer, n_in, n_out, base),
+               unnest(generate_series(0, n_out - 1)) as u(unit), unnest(generate_series(-1, n_in - 1)) as s(source)))"""
+
+
+def _layer(n: int) -> str:
+    """Values of layer ``n`` from those before; a bias comes from the source -1, which is always 1."""
+    value = "sum(weight * value)" if n == 3 else "1 / (1 + exp(-sum(weight * value)))"
+    return f"""
+values_{n} as (
+    select epoch, unit as source, {value} as value
+    from (select epoch, source, value from values_{n - 1} union all select distinct epoch, -1, 1.0 from values_{n - 1})
+    join weights using (source) where layer = {n} group by 1, 2)"""
+
+
+FORWARD = f"""{RULED_WEIGHTS},
+values_first as (
+    select epoch, unnest([0, 1, 2, 3]) as source, unnest([hour_sin, hour_cos, cast(day_of_week as double), temperature]) as value
+    from scored_rows),
+{_layer(0).replace("values_-1", "values_first")},{_layer(1)},{_layer(2)},{_layer(3)},
+predictions as (select epoch, cast(arg_max(source, value) as double) as prediction from values_3 group by 1)"""
+
+
+def ruled_network() -> Network:
+    sizes = prediction.LAYERS
+    n = sum((a + 1) * b for a, b in zip(sizes, sizes[1:]))
+    return Network.of_vector(sizes, 0.9 * np.sin(1.7 * np.arange(n) ** 2.0))
+
+
+@catalog.query(
+    "select epoch, label, prediction from predictions join training using (epoch) where prediction > 0",
+    *VIEWS,
+    "scored_rows as (select * from training)",
+    FORWARD.strip(),
+)
+def score_network(spark, sf_dir):
+    """Positive predictions of a given network, which went through its table of weights."""
+    network = Network.of_table(ruled_network().table(spark))
+    scored = prediction.score(network, _training(spark, sf_dir))
+    return tidy(prediction.positive_predictions(scored).select("epoch", "label", "prediction"))
+
+
+@catalog.query(
+    """select epoch, '{"timestamp":' || (epoch * 1000) || ',"temperature":' || cast(temperature as varchar)
+              || ',"alert":120.0}' as message
+       from predictions join scored_rows using (epoch) where prediction > 0""",
+    TEMPERATURES,
+    HOUR_TEMPERATURE,
+    f"""scored_rows as (
+    select epoch, 50 * sin({ANGLE}) as hour_sin, 50 * cos({ANGLE}) as hour_cos, day_of_week, temperature
+    from (select epoch, temperature, epoch % 86400 // 3600 as hour,
+                 case when dayofweek(make_timestamp(epoch * 1000000)) in (0, 6) then 50::bigint else 0 end as day_of_week
+          from hour_temperature))""",
+    FORWARD.strip(),
+)
+def stream_score_network(spark, sf_dir):
+    """Hourly forecasts that arrive as messages, scored batch by batch with a given network."""
+    root, landing = scratch(spark, "scored"), scratch(spark, "forecasts")
+    hour_temperatures(spark, sf_dir).repartition(4).write.parquet(landing)
+    forecast = messages.message_files(spark, landing, "epoch bigint, temperature double", 2)
+    handler = prediction.score_stream(lambda: ruled_network(), root, LIMIT)
+    runner.drain(forecast, handler, scratch(spark, "progress"))
+    return spark.read.schema("epoch bigint, message string").parquet(f"{root}/batch_id=*")
+
+
+@catalog.query(
+    """select epoch, label, voltage, hour, round(hour_sin, 6) as hour_sin, round(hour_cos, 6) as hour_cos,
+              day_of_week, temperature from training""",
+    *VIEWS,
+)
+def stream_feature_join(spark, sf_dir):
+    """Both tables of hours arrive as files; pairs are stored as soon as both rows of an hour are there."""
+    path, landing = scratch(spark, "pairs"), scratch(spark, "hours")
+    max_by_epoch(spark, sf_dir).repartition(3).write.parquet(f"{landing}/max")
+    hour_temperatures(spark, sf_dir).repartition(3).write.parquet(f"{landing}/temperature")
+    pairs = features.joined(
+        messages.message_files(spark, f"{landing}/max", "epoch bigint, voltage double"),
+        messages.message_files(spark, f"{landing}/temperature", "epoch bigint, temperature double"),
+    )
+    runner.drain(pairs, jobs.store_updates(path), scratch(spark, "progress"))
+    return tidy(features.read_features(spark, path, LIMIT))
+
+
 @catalog.query("select 1::bigint as first_version, 2::bigint as second_version, count(*) as scored from training", *VIEWS)
 def model_refresh(spark, sf_dir):
     """A scorer that picks up a newer version and scores every row with it."""

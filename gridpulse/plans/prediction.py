@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import hour_features, local_hour, weekend_flag
 from ..sinks import reports
+from .network import Network
 
 log = logging.getLogger(__name__)
 
@@ -64,6 +65,13 @@ def training_rows(
     joined = max_voltage.select("epoch", "voltage").join(
         temperature.select("epoch", "temperature"), "epoch"
     )
+    return training_columns(joined, threshold, utc_offset_hours)
+
+
+def training_columns(
+    joined: DataFrame, threshold: float = THRESHOLD, utc_offset_hours: int = 0
+) -> DataFrame:
+    """Label and features of ``(epoch, voltage, temperature)``."""
     return joined.select(
         "epoch",
         threshold_label(F.col("voltage"), threshold).alias("label"),
@@ -90,6 +98,9 @@ def train(rows: DataFrame, layers: list[int] = LAYERS, max_iter: int = MAX_ITER)
 
 
 def score(model, rows: DataFrame) -> DataFrame:
+    """Rows with their ``prediction``, by a fitted model or by the network of its weights."""
+    if isinstance(model, Network):
+        return model.score(rows, FEATURES)
     return model.transform(assemble(rows))
 
 
@@ -245,19 +256,26 @@ class CurrentModel:
             log.exception("no newer model can be loaded, keeping %s", self.version)
 
 
+class NoModelYet(RuntimeError):
+    """A stream has forecasts to score, but no model has been stored."""
+
+
 def score_stream(
-    current: CurrentModel,
+    current: Callable[[], object],
     root: str,
     threshold: float = THRESHOLD,
     utc_offset_hours: int = 0,
 ) -> Callable[[DataFrame, int], None]:
-    """Handler that scores a whole micro-batch of forecasts with the current model."""
+    """Handler that scores a whole micro-batch of forecasts with the model that ``current`` gives.
+
+    Without a model the batch fails and stays uncommitted, so that its forecasts are scored when the
+    stream starts again and not lost.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        model = current.get()
+        model = current()
         if model is None:
-            log.warning("no prediction model yet")
-            return
+            raise NoModelYet("train a model before scoring")
         messages = alert_messages(model, batch, threshold, utc_offset_hours)
         reports.publish_files(messages, root, batch_id)
 

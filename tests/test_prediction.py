@@ -1,14 +1,17 @@
 import datetime as dt
 import logging
 
+import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gridpulse import session
 from gridpulse.functions import profiles
 from gridpulse.plans import prediction
+from gridpulse.plans.network import Network
 from gridpulse.sources import messages
-from gridpulse.streaming import runner
+from gridpulse.streaming import features, jobs, runner
 
 START = int(dt.datetime(2017, 1, 1, tzinfo=dt.timezone.utc).timestamp())
 
@@ -144,13 +147,69 @@ def test_stream_scoring_equals_batch_scoring(spark, year, quick, rows):
     forecast = year.select("epoch", "temperature").filter(F.col("epoch") < START + 30 * 86400)
     forecast.repartition(3).write.parquet(landed)
     stream = messages.message_files(spark, landed, "epoch bigint, temperature double", 1)
-    handler = prediction.score_stream(prediction.CurrentModel(store), root, 117.0)
+    handler = prediction.score_stream(prediction.CurrentModel(store).get, root, 117.0)
     runner.drain(stream, handler, session.scratch(spark, "progress"))
     got = spark.read.parquet(f"{root}/batch_id=*")
     assert rows(got) == rows(prediction.alert_messages(quick, forecast, 117.0))
 
 
-def test_scoring_without_a_model_publishes_nothing(spark, year):
+def test_forecasts_wait_for_a_model(spark, year, quick, rows):
     store = prediction.ModelStore(spark, session.scratch(spark, "store"))
-    handler = prediction.score_stream(prediction.CurrentModel(store), session.scratch(spark, "p"))
-    handler(year.select("epoch", "temperature"), 0)
+    landed, root, progress = (session.scratch(spark, name) for name in ("forecast", "predictions", "progress"))
+    forecast = year.select("epoch", "temperature").filter(F.col("epoch") < START + 20 * 86400)
+    forecast.repartition(2).write.parquet(landed)
+    handler = prediction.score_stream(prediction.CurrentModel(store).get, root, 117.0)
+    stream = messages.message_files(spark, landed, "epoch bigint, temperature double", 1)
+    with pytest.raises(StreamingQueryException, match="train a model"):
+        runner.drain(stream, handler, progress)
+    store.save(quick)
+    runner.drain(stream, handler, progress)
+    got = spark.read.parquet(f"{root}/batch_id=*")
+    assert rows(got) == rows(prediction.alert_messages(quick, forecast, 117.0))
+
+
+def test_network_of_weights_scores_like_its_model(spark, year, quick, rows):
+    network = Network.of_model(quick)
+    again = Network.of_table(network.table(spark).repartition(3))
+    assert all(np.array_equal(a, b) for one, two in zip(network.layers, again.layers) for a, b in zip(one, two))
+    features = prediction.forecast_rows(year)
+    want = prediction.score(quick, features).select("epoch", "prediction")
+    assert rows(prediction.score(again, features), "epoch", "prediction") == rows(want)
+    holes = features.withColumn("temperature", F.when(F.col("epoch") % 7200 == 0, F.col("temperature")))
+    scored = prediction.score(again, holes)
+    assert scored.filter("(temperature is null) <> (prediction is null)").count() == 0
+
+
+def test_network_needs_all_its_weights():
+    with pytest.raises(ValueError, match="7 weights"):
+        Network.of_vector([2, 2, 1], np.zeros(7))
+
+
+@pytest.mark.parametrize("per_batch", [1, 2, None])
+def test_features_join_while_both_sides_arrive(spark, year, rows, per_batch):
+    landed, path = session.scratch(spark, "sides"), session.scratch(spark, "pairs")
+    few = year.filter(F.col("epoch") < START + 12 * 86400)
+    for day in range(0, 12, 4):
+        part = few.filter(F.col("epoch").between(START + day * 86400, START + (day + 4) * 86400 - 1)).coalesce(1)
+        part.select("epoch", "voltage").write.mode("append").parquet(f"{landed}/max")
+        part.filter("epoch % 10800 <> 0").select("epoch", "temperature").write.mode("append").parquet(f"{landed}/temperature")
+    pairs = features.joined(
+        messages.message_files(spark, f"{landed}/max", "epoch bigint, voltage double", per_batch),
+        messages.message_files(spark, f"{landed}/temperature", "epoch bigint, temperature double", per_batch),
+    )
+    query = runner.start(pairs, jobs.store_updates(path), session.scratch(spark, "progress"), interval=None)
+    query.awaitTermination()
+    want = prediction.training_rows(few, few.filter("epoch % 10800 <> 0"), 117.0)
+    assert rows(features.read_features(spark, path, 117.0)) == rows(want)
+    if per_batch == 1:
+        # rows whose partner can no longer come are gone
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert held < few.count()
+
+
+def test_epochs_reported_again_count_once(spark, rows):
+    path = session.scratch(spark, "pairs")
+    pairs = [(3600, 110.0, 4.0), (3600, 119.0, 4.0), (3600, 119.0, 7.0), (7200, 100.0, 1.0)]
+    jobs.store_updates(path)(spark.createDataFrame(pairs, "epoch bigint, voltage double, temperature double"), 0)
+    got = features.read_features(spark, path, 117.0)
+    assert rows(got, "epoch", "label", "voltage", "temperature") == [(3600, 1, 119.0, 7.0), (7200, 0, 100.0, 1.0)]
