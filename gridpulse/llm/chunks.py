@@ -1,15 +1,19 @@
-"""Line deduplication by content-defined chunks.
-
-A text is cut into lines, and these at clause ends, so that a passage is found wherever it was pasted.
-Within a clause a rolling hash over neighbouring words ends a chunk every few words. Boundaries depend
-on nothing but the words beside them, so they fall into step again after an insertion, also in a passage
-pasted in mid-sentence or without any punctuation. Chunks that occur again are compared byte by byte,
-by grouping on their text; of each the first occurrence stays. Its digest then finds the later ones,
-and the digests of very frequent chunks are salted by their share of all rows. Runs of repeated chunks that span
-several lines, or many words of one line, are removed.
-
-Only chunks whose hash was counted more than once are ever shuffled with their text: those hashes are
-marked in a bitmap of fixed size that goes back to the scan.
+"""Line deduplication by content-defined chunks of lines.
+
+A text is cut into lines: at line feeds, at clause ends, and within a clause by a rolling hash over
+neighbouring words, so that a passage pasted in mid-sentence has lines of its own. The lines' hashes then
+choose the chunks: a chunk ends after each line whose hash is less than those of the lines beside
+it. A chunk has two lines at least, and its boundaries depend on nothing but the lines around them, so they fall
+into step again after an insertion.
+
+Chunks that occur again are compared byte by byte, by grouping on their digest; of each the first
+occurrence stays. With the first occurrence goes the text around it. A later run of chunks that follow one another there as well is extended by the words that
+both have before and after it. The run goes if it then has ``WORDS`` words, so a removed passage has always
+occurred before as a whole, and a passage is found up to the words at which it begins to differ.
+
+Only chunks whose hash was counted more than once are shuffled with their bytes: those hashes are
+marked in a bitmap of fixed size that goes back to the scan. Frequent chunks are salted by their share
+of all rows.
 """
 
 from __future__ import annotations
@@ -26,68 +30,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.llm import tokens
-from gridpulse.llm.work import cut, packed
+from gridpulse.llm.exact import BITMAP_ROWS
+from gridpulse.llm.work import cut, packed, stored
 
-#: Words whose rolling hash ends a chunk within a clause, on average after one word in ``EVERY``.
+#: Words whose rolling hash ends a line within a clause, on average after one word in ``EVERY``.
 WINDOW = 2
-EVERY = 6
-#: What a run of repeated chunks must have to be removed: whole lines and words, or words alone. A
-#: passage of 50 words loses about ``EVERY`` at either end to chunks that reach beyond it.
-LINES = 2
+EVERY = 4
+#: Words that a chunk needs to be looked up, and a passage to be removed.
+LEAST = 6
 WORDS = 13
-ALONE = 20
+#: Bytes of the text before and after a chunk that go with its first occurrence.
+CONTEXT = 128
 BITMAP_BITS = 26
 #: A hash with more than one in so many of the repeated chunks is salted.
 SHARE = 1000
 
 _stops = np.zeros(256, bool)
 _stops[[ord(c) for c in ".,;:!?"]] = True
-_values = tokens.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 @dataclass(frozen=True)
 class Chunks:
-    """Chunks of the texts of a block: their bytes, hashes and lines."""
+    """Chunks of the texts of a block, as runs of their words."""
 
-    parts: tokens.Words
-    closes: np.ndarray  # whether a line ends with the chunk
-    line: np.ndarray  # line of each chunk, counted through the block
-    words: np.ndarray
+    words: tokens.Words
+    first: np.ndarray  # first word of each chunk
+    last: np.ndarray  # word after its last one
+    hashes: np.ndarray
+    bounds: np.ndarray  # the chunks of each text
+    clause: np.ndarray  # clause of each word, counted through the block
 
     @property
-    def hashes(self) -> np.ndarray:
-        return self.parts.hashes
-
-    @property
-    def bounds(self) -> np.ndarray:
-        return self.parts.bounds
+    def eligible(self) -> np.ndarray:
+        return self.last - self.first >= LEAST
 
     def span(self, chunk: int) -> tuple[int, int]:
-        return int(self.parts.starts[chunk]), int(self.parts.ends[chunk])
+        return int(self.words.starts[self.first[chunk]]), int(self.words.ends[self.last[chunk] - 1])
 
+    def clauses(self, text: int) -> int:
+        low, high = self.words.bounds[text], self.words.bounds[text + 1]
+        return int(self.clause[high - 1] - self.clause[low] + 1) if high > low else 0
 
-def _inner_ends(words: tokens.Words) -> np.ndarray:
-    """Positions of the blanks that end a chunk by the words before them, whatever the clause."""
-    last = np.flatnonzero(tokens.windows(words.hashes, WINDOW) % np.uint64(EVERY) == 0) + WINDOW - 1
-    text = np.searchsorted(words.bounds, last, side="right") - 1
-    own = last - WINDOW + 1 >= words.bounds[text]
-    return words.ends[last[own & (words.ends[last] < words.offsets[text + 1])]]
+
+def _run_hashes(words: tokens.Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, by prefix sums."""
+    sums = np.zeros(len(words.hashes) + 1, np.uint64)
+    np.cumsum(words.hashes * tokens.powers(tokens.BASE, len(words.hashes)), out=sums[1:])
+    hashes = (sums[last] - sums[first]) * tokens.powers(tokens.INVERSE, len(words.hashes) + 1)[first]
+    return tokens.mix(hashes ^ (last - first).astype(np.uint64))
 
 
 def chunks(column: pa.Array) -> Iterator[Chunks]:
     for first, data, offsets in tokens.blocks(column):
         words = tokens.split(first, data, offsets, tokens.VISIBLE)
-        gap = (data == 10) | (data == 13)
-        if len(data):
-            gap[1:] |= ~tokens.VISIBLE.inside[data[1:]] & _stops[data[:-1]]
-        ended = np.concatenate([[0], np.cumsum(gap)])
-        gap[_inner_ends(words)] = True
-        parts = tokens.runs(first, data, offsets, ~gap, _values)
-        closes = np.ones(len(parts.starts), bool)
-        closes[:-1] = ended[parts.starts[1:]] > ended[parts.ends[:-1]]
-        closes[parts.bounds[1:][np.diff(parts.bounds) > 0] - 1] = True
-        n_words = np.searchsorted(words.starts, parts.ends) - np.searchsorted(words.starts, parts.starts)
-        yield Chunks(parts, closes, np.cumsum(closes) - closes, n_words)
+        n = len(words.starts)
+        ends_text = np.zeros(n, bool)
+        ends_text[words.bounds[1:][np.diff(words.bounds) > 0] - 1] = True
+        feeds = np.concatenate([[0], np.cumsum((data == 10) | (data == 13), dtype=np.int64)])
+        ends_clause = _stops[data[words.ends - 1]] | ends_text
+        if n:
+            ends_clause[:-1] |= feeds[words.starts[1:]] > feeds[words.ends[:-1]]
+        ends_line = ends_clause.copy()
+        rolled = np.flatnonzero(tokens.windows(words.hashes, WINDOW) % np.uint64(EVERY) == 0) + WINDOW - 1
+        text = np.searchsorted(words.bounds, rolled, side="right") - 1
+        ends_line[rolled[rolled - WINDOW + 1 >= words.bounds[text]]] = True
+
+        line_last = np.flatnonzero(ends_line) + 1
+        line_first = np.concatenate([[0], line_last[:-1]]) if len(line_last) else line_last
+        line = _run_hashes(words, line_first, line_last)
+        closes = ends_text[line_last - 1]
+        if len(line) > 2:
+            inner = (line[1:-1] < line[:-2]) & (line[1:-1] < line[2:])
+            # a text's outer lines have no line beside them to be less than
+            closes[1:-1] |= inner & ~closes[:-2] & ~closes[2:] & ~closes[1:-1]
+        last = line_last[closes]
+        begin = np.concatenate([[0], last[:-1]]) if len(last) else last
+        clause = np.cumsum(ends_clause) - ends_clause
+        yield Chunks(words, begin, last, _run_hashes(words, begin, last), np.searchsorted(begin, words.bounds), clause)
 
 
 def _place(hashes: np.ndarray) -> np.ndarray:
@@ -100,7 +119,7 @@ def chunk_counts(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in chunks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64))], names=["hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes[found.eligible].view(np.int64))], names=["hash"])
 
     return documents.select("text").mapInArrow(run, "hash bigint").groupBy("hash").count().filter("count > 1")
 
@@ -133,7 +152,12 @@ def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def occurrences(documents: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, mark, number, digest, salts, salt, chunk) of every chunk whose hash is marked."""
+    """(doc_id, mark, number, digest, salts, salt, chunk, before, after, left, right) of every chunk whose hash
+    is marked.
+
+    ``before`` and ``after`` hold ``CONTEXT`` bytes of the text around the chunk, fewer at its ends; ``left`` and
+    ``right`` say whether the chunk beside it is marked as well.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((repeated_places(counts), *salted_hashes(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +165,21 @@ def occurrences(documents: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             marks = batch.column("mark").to_numpy(zero_copy_only=False)
             for found in chunks(batch.column("text")):
-                at = np.flatnonzero(_marked(bitmap, found.hashes))
+                marked = _marked(bitmap, found.hashes) & found.eligible
+                at = np.flatnonzero(marked)
                 owner = np.searchsorted(found.bounds, at, side="right") - 1
-                raw = found.parts.data.tobytes()
-                texts = [raw[slice(*found.span(i))] for i in at.tolist()]
-                row, number = found.parts.first + owner, at - found.bounds[owner]
+                low, high = found.words.offsets[owner], found.words.offsets[owner + 1]
+                raw = found.words.data.tobytes()
+                beside = np.concatenate([[False], marked, [False]])
+                opens = np.zeros(len(marked) + 1, bool)
+                opens[found.bounds] = True
+                texts, before, after = [], [], []
+                for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+                    start, end = found.span(i)
+                    texts.append(raw[start:end])
+                    before.append(raw[max(a, start - CONTEXT) : start])
+                    after.append(raw[end : min(b, end + CONTEXT)])
+                row, number = found.words.first + owner, at - found.bounds[owner]
                 salts = np.ones(len(at), np.int64)
                 if len(heavy):
                     own = found.hashes[at].view(np.int64)
@@ -158,53 +192,96 @@ def occurrences(documents: DataFrame, counts: DataFrame) -> DataFrame:
                         batch.column("doc_id").take(rows),
                         batch.column("mark").take(rows),
                         pa.array(number.astype(np.int32)),
-                        pa.array([blake2b(x, digest_size=12).digest() for x in texts], pa.binary()),
+                        pa.array([blake2b(x, digest_size=16).digest() for x in texts], pa.binary()),
                         pa.array(salts),
                         pa.array(salt.astype(np.int64)),
-                        pa.array(texts, pa.binary()),
+                        *[pa.array(x, pa.binary()) for x in (texts, before, after)],
+                        pa.array(beside[at] & ~opens[at]),
+                        pa.array(beside[at + 2] & ~opens[at + 1]),
                     ],
-                    names=["doc_id", "mark", "number", "digest", "salts", "salt", "chunk"],
+                    names=names,
                 )
 
     id = documents.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {id}, mark bigint, number int, digest binary, salts bigint, salt bigint, chunk binary"
+    columns = f"doc_id {id}, mark bigint, number int, digest binary, salts bigint, salt bigint"
+    columns += ", chunk binary, before binary, after binary, left boolean, right boolean"
+    names = [c.split()[0] for c in columns.split(", ")]
     return documents.mapInArrow(run, columns)
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark, numbers): the chunks of each document that have occurred before it or in it.
+    """(doc_id, mark, later): the chunks of each document that have occurred before it or in it, with
+    ``number``, and of the first occurrence ``of`` (its document), ``at`` (its number), ``before`` and ``after``.
 
     The first occurrence has the least id (null last), then the least mark and number. Occurrences
     are compared as bytes; a digest that turned out to stand for several chunks names none of them.
     """
-    found = occurrences(documents, cut(chunk_counts(documents)))
+    found = stored(occurrences(documents, cut(chunk_counts(documents))))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "number")
-    first = found.groupBy("digest", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.max("salts").alias("salts"))
-    first = first.groupBy("digest").agg(
-        F.min("first").alias("first"), F.max("n").alias("n"), F.max("salts").alias("salts"), F.count("*").alias("texts")
+    first = (
+        found.groupBy("digest")
+        .agg(
+            F.min(F.struct(order.alias("place"), "before", "after", "left", "right")).alias("first"),
+            F.count("*").alias("n"), F.max("salts").alias("salts"), F.min("chunk").alias("low"), F.max("chunk").alias("high"),
+        )
+        .filter("n > 1 and low = high")
+        .select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     )
-    first = first.filter("n > 1 and texts = 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    later = found.drop("chunk", "salts").join(first, ["digest", "salt"]).filter(~order.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
-
-
-def _removed(found: Chunks, text: int, numbers: list[int]) -> list[tuple[int, int, int]]:
-    """(first byte, byte after, lines touched) of the runs of repeated chunks long enough to go."""
-    low, high, out, at, counted = int(found.bounds[text]), int(found.bounds[text + 1]), [], 0, -1
-    while at < len(numbers):
-        to = at
-        while to + 1 < len(numbers) and numbers[to + 1] == numbers[to] + 1:
-            to += 1
-        a, b = low + numbers[at], low + numbers[to]
-        whole = int(found.closes[a : b + 1].sum()) - (a > low and not found.closes[a - 1])
-        n_words = int(found.words[a : b + 1].sum())
-        if n_words >= ALONE or whole >= LINES and n_words >= WORDS:
-            end = found.parts.starts[b + 1] if b + 1 < high else found.parts.offsets[text + 1]
-            # a line that loses several runs counts once
-            lines = int(found.line[b]) - max(int(found.line[a]) - 1, counted)
-            counted = int(found.line[b])
-            out.append((int(found.parts.starts[a]), int(end), lines))
-        at = to + 1
+    slim = found.select("doc_id", "mark", "number", "digest", "salt", "left", "right")
+    later = slim.join(first, ["digest", "salt"]).filter(~order.eqNullSafe(F.col("first.place")))
+    of = F.xxhash64("first.place.doc_id", "first.place.mark").alias("of")
+    # inside a run nothing needs to be extended
+    before = F.when(~(F.col("left") & F.col("first.left")), F.col("first.before")).alias("before")
+    after = F.when(~(F.col("right") & F.col("first.right")), F.col("first.after")).alias("after")
+    one = F.struct("number", of, F.col("first.place.number").alias("at"), before, after)
+    return later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(one)).alias("later"))
+
+
+_BLANKS = b" \t\n\r\x0b\x0c"
+
+
+def _shared_before(own: bytes, other: bytes) -> int:
+    """Bytes of whole words that both texts end in. A word at which either begins may be part of a longer one."""
+    k = 0
+    while k < min(len(own), len(other)) and own[-k - 1] == other[-k - 1]:
+        k += 1
+    while k and (own[-k] in _BLANKS or k in (len(own), len(other)) or own[-k - 1] not in _BLANKS or other[-k - 1] not in _BLANKS):
+        k -= 1
+    return k
+
+
+def _shared_after(own: bytes, other: bytes) -> int:
+    """Bytes of whole words that both texts begin with."""
+    return _shared_before(own[::-1], other[::-1])
+
+
+def _removed(found: Chunks, text: int, later: list[dict]) -> list[tuple[int, int]]:
+    """(first word, word after) of the passages to remove, in order and apart."""
+    low, base = int(found.words.offsets[text]), int(found.bounds[text])
+    high = int(found.words.offsets[text + 1])
+    raw, starts = found.words.data, found.words.starts
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < len(later):
+        j = i
+        while (
+            j + 1 < len(later)
+            and later[j + 1]["number"] == later[j]["number"] + 1
+            and (later[j + 1]["of"], later[j + 1]["at"]) == (later[j]["of"], later[j]["at"] + 1)
+        ):
+            j += 1
+        start, end = found.span(base + later[i]["number"])[0], found.span(base + later[j]["number"])[1]
+        # a blank stands for the border of a text
+        before, after = later[i]["before"] or b"", later[j]["after"] or b""
+        start -= _shared_before(b" " + raw[max(low, start - len(before)) : start].tobytes(), b" " + before)
+        end += _shared_after(raw[end : min(high, end + len(after))].tobytes() + b" ", after + b" ")
+        a, b = int(np.searchsorted(starts, start)), int(np.searchsorted(starts, end))
+        if b - a >= WORDS:
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        i = j + 1
     return out
 
 
@@ -215,36 +292,49 @@ _CLEANED = [
 ]
 
 
+def _without(found: Chunks, text: int, passages: list[tuple[int, int]]) -> tuple[str, int]:
+    """What remains of a text, and how many of its clauses lose words."""
+    words, at, rest, clauses = found.words, int(found.words.offsets[text]), b"", set()
+    high = int(words.bounds[text + 1])
+    for a, b in passages:
+        rest += words.data[at : words.starts[a]].tobytes()
+        at = int(words.starts[b]) if b < high else int(words.offsets[text + 1])
+        clauses.update(range(int(found.clause[a]), int(found.clause[b - 1]) + 1))
+    return (rest + words.data[at : words.offsets[text + 1]].tobytes()).decode(), len(clauses)
+
+
 def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows as (row, cleaned, n_lines, n_removed); the text is null where it was null.
 
-    Rows are told apart by id and text: equal rows are one document and keep the same chunks.
+    ``n_lines`` counts clauses and ``n_removed`` those that lose words. Rows are told apart by id and
+    text: equal rows are one document and keep the same chunks. Empty texts and texts without words have no
+    chunk and stay as they are.
     """
     rows = packed(documents, doc_id=id, text=text).withColumn("mark", F.xxhash64("text"))
-    gone = cut(repeated(rows.select("doc_id", "text", "mark"))).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "numbers")
-    joined = rows.drop("text").join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
-    joined = joined.select("row", "numbers")
+    gone = stored(repeated(rows.select("doc_id", "text", "mark"))).select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "later")
+    # texts without repeated chunks are not shuffled: the marks of the others go to the scan as a bitmap of fixed size
+    place, bit = f"(({{}} >> 6) & {BITMAP_ROWS - 1})", "shiftleft(1L, cast({} & 63 as int))"
+    bits = gone.groupBy(F.expr(place.format("of_mark")).alias("place")).agg(F.bit_or(F.expr(bit.format("of_mark"))).alias("bits"))
+    flagged = rows.join(F.broadcast(bits), F.expr(place.format("mark")) == F.col("place"), "left")
+    flagged = flagged.withColumn("touched", F.coalesce(F.expr(bit.format("mark")).bitwiseAND(F.col("bits")) != 0, F.lit(False)))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
+    touched = flagged.filter("touched").select("row", "doc_id", "mark").join(gone, same, "left").select("row", "later")
+    rest = flagged.filter("not touched").select("row", F.lit(None).cast(gone.schema["later"].dataType).alias("later"))
+    joined = touched.unionAll(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, numbers = pa.compute.struct_field(batch.column("row"), [text]), batch.column("numbers")
+            column, later = pa.compute.struct_field(batch.column("row"), [text]), batch.column("later")
             texts = column.to_pylist()
             lines, removed = [], []
             for found in chunks(column):
-                for i in range(found.parts.n):
-                    lines.append(int(found.closes[found.bounds[i] : found.bounds[i + 1]].sum()))
+                for i in range(found.words.n):
+                    lines.append(found.clauses(i))
                     removed.append(0)
-                    repeats = numbers[found.parts.first + i].as_py()
-                    cuts = _removed(found, i, repeats) if repeats else []
-                    if not cuts:
-                        continue
-                    at, rest = int(found.parts.offsets[i]), b""
-                    for start, end, n in cuts:
-                        rest += found.parts.data[at:start].tobytes()
-                        at = end
-                        removed[-1] += n
-                    rest += found.parts.data[at : found.parts.offsets[i + 1]].tobytes()
-                    texts[found.parts.first + i] = rest.decode()
+                    repeats = later[found.words.first + i].as_py()
+                    passages = _removed(found, i, repeats) if repeats else []
+                    if passages:
+                        texts[found.words.first + i], removed[-1] = _without(found, i, passages)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
                 names=["row", *[f.name for f in _CLEANED]],
@@ -265,9 +355,10 @@ def report(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 
 def deduplicated(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with all their columns, repeated chunks cut out of the text.
+    """The rows with all their columns, repeated passages cut out of the text.
 
-    A row that loses all its words is a copy and goes; ``n_chars``, if there, counts what remains.
+    A row that loses all its words is a copy and goes; one that had none before stays, also a null
+    text. ``n_chars``, if there, counts what remains.
     """
     new = {text: F.col("cleaned")}
     if "n_chars" in documents.columns:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a compressed table in the shared folder, for intermediate rows that are many."""
+    path = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def packed(documents: DataFrame, **columns: str) -> DataFrame:
     """Named columns beside the whole row as ``row``, so that no other name can clash."""
     from pyspark.sql import functions as F
