@@ -8,8 +8,9 @@ into step again after an insertion.
 
 Chunks that occur again are compared byte by byte, by grouping on their digest; of each the first
 occurrence stays. With the first occurrence goes the text around it. A later run of chunks that follow one another there as well is extended by the words that
-both have before and after it. The run goes if it then has ``WORDS`` words, so a removed passage has always
-occurred before as a whole, and a passage is found up to the words at which it begins to differ.
+both have before and after it, unless it stands between chunks that are repeated as well. The run goes if it then has ``WORDS`` words, so a removed passage has always
+occurred before as a whole, and a passage is found up to the words at which it begins to differ. The ends of
+a text cut its outer chunks in their own way; the first copy of a passage to be cut so may keep such a chunk.
 
 Only chunks whose hash was counted more than once are shuffled with their bytes: those hashes are
 marked in a bitmap of fixed size that goes back to the scan. Frequent chunks are salted by their share

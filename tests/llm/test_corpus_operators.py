@@ -332,8 +332,8 @@ def test_one_long_line_and_repeats_in_a_text(spark):
     passage = prose(41, 60)
     texts = [(1, f"{passage} x. {passage} y. {passage}"), (2, " ".join(["la"] * 5000)), (3, f"{passage}!"), (4, passage), (None, passage), (5, " ")]
     got = {r.doc_id: r.cleaned for r in chunks.cleaned(documents(spark, texts)).select("row.doc_id", "cleaned").collect()}
-    # the end of a text cuts its last chunk short, so the first text to end with the passage keeps that chunk's words
-    assert got[1].count(passage) == 1 and len(got[1].split()) < 62 + 20
+    # the ends of a text cut its outer chunks otherwise, so the first copy of each way to be cut may keep such a chunk
+    assert got[1].count(passage) == 1 and len(got[1].split()) < 62 + 2 * 25
     assert got[4] == "" and got[None] == "" and got[5] == " "
     assert 0 < len(got[2].split())
     kept = {r.doc_id for r in chunks.deduplicated(documents(spark, texts)).collect()}
