@@ -8,8 +8,10 @@ from ..functions import subjects, timeparts
 from ..operators import aggregates as agg
 from ..operators import buckets, percentiles, upserts
 from ..plans import averages
+from ..session import scratch
 from ..sinks import reports
-from ..sources import metrics, tables
+from ..sources import messages, metrics, tables
+from ..streaming import runner, tiers
 from .base import (
     DAY_PARTS, FLUSHED, HOUR_MAX, METRICS, READINGS, READINGS_BIG, TEMPERATURES, Catalog, tidy,
 )
@@ -256,6 +258,18 @@ def rollup_rules(spark, sf_dir):
     return tidy(buckets.rollup(tables.metrics(spark, sf_dir), 600, HOUR))
 
 
+@catalog.query(
+    "select name, slot, known, round(value, 6) as value from rolled", FLUSHED, METRICS, FINE
+)
+def rollup_incremental(spark, sf_dir):
+    """The points landed in no order of time and rolled up two files a batch; late ones reopen their slots."""
+    landing, root = scratch(spark, "points"), scratch(spark, "tiers")
+    tables.metrics(spark, sf_dir).repartition(6).write.parquet(landing)
+    points = messages.message_files(spark, landing, "name string, epoch bigint, value double", 2)
+    runner.drain(points, tiers.store_tiers(root, 600, HOUR), scratch(spark, "progress"))
+    return tidy(tiers.read_coarse(spark, root, 600, HOUR))
+
+
 @catalog.query(
     """select 'fine' as tier, name, epoch, round(value, 6) as value from metrics
        where epoch >= (select cast(floor(max(epoch(ts))) as bigint) - 86400 from events)
@@ -274,8 +288,8 @@ def retention_filter(spark, sf_dir):
 
     rolled = buckets.rollup(points(7 * DAY), 600, HOUR)
     coarse = rolled.select("name", F.col("slot").alias("epoch"), "value")
-    tiers = {"fine": (points(DAY), DAY), "coarse": (coarse, 7 * DAY)}
-    return tidy(buckets.retain(tiers, "epoch", now))
+    kept = {"fine": (points(DAY), DAY), "coarse": (coarse, 7 * DAY)}
+    return tidy(buckets.retain(kept, "epoch", now))
 
 
 @catalog.query(

@@ -108,14 +108,23 @@ def rollup(
     if coarse_seconds % fine_seconds:
         raise ValueError("a coarse slot must hold a whole number of fine slots")
     fine = bucketed(df, fine_seconds, {"value": last_value("value", list(order))}, ("name",))
-    coarse = fine.groupBy("name", bucket_start(F.col("bucket"), coarse_seconds).alias("slot")).agg(
+    return by_rules(coarse_slots(fine, coarse_seconds), coarse_seconds // fine_seconds, rules)
+
+
+def coarse_slots(fine: DataFrame, coarse_seconds: int) -> DataFrame:
+    """What every method needs of ``(name, bucket, value)`` fine slots: (name, slot, min, max, sum, average, known)."""
+    return fine.groupBy("name", bucket_start(F.col("bucket"), coarse_seconds).alias("slot")).agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.sum("value").alias("sum"),
         F.avg("value").alias("average"),
         F.count("value").alias("known"),
     )
-    name, known = F.col("name"), F.col("known") / (coarse_seconds // fine_seconds)
+
+
+def by_rules(coarse: DataFrame, expected: int, rules: list[Rule] = RULES) -> DataFrame:
+    """(name, slot, known, value) of coarse slots, null where too few of ``expected`` fine slots are known."""
+    name, known = F.col("name"), F.col("known") / expected
     value = F.lit(None).cast("double")
     for rule in reversed(rules):
         enough = F.when(known >= rule.min_known, F.col(rule.method))
