@@ -216,3 +216,17 @@ def stream_temperatures(spark, sf_dir):
     stream = tables.hourly(tables.as_temperatures(_events(spark, sf_dir)))
     _drain(spark, stream, jobs.store_temperatures(root))
     return stored.read_folded(spark, f"{root}/temperature", ["epoch"], "temperature")
+
+
+@catalog.query(
+    """select epoch - epoch % 3600 as epoch, round(avg(temperature), 6) as temperature from temperatures group by 1""",
+    TEMPERATURES,
+)
+def stream_temperature_means(spark, sf_dir):
+    """Hours spread over several batches: their sums and counts give the mean of all their rows."""
+    root, landing = scratch(spark, "means"), scratch(spark, "landing")
+    rows = tables.hourly(tables.temperatures(spark, sf_dir)).select("epoch", "temperature")
+    rows.repartition(LANDED_FILES).write.parquet(landing)
+    stream = messages.message_files(spark, landing, "epoch bigint, temperature double", 2)
+    _drain(spark, stream, jobs.store_temperatures(root, how="avg"))
+    return tidy(stored.read_means(spark, f"{root}/temperature", ["epoch"], "temperature"))

@@ -89,6 +89,18 @@ def read_folded(
     return read_batches(spark, path).groupBy(*keys).agg(fold(value).alias(value))
 
 
+def mean_batch(df: DataFrame, path: str, batch_id: int, keys: list[str], value: str) -> None:
+    """Write a batch's sums and counts per key, of which means over several batches can be formed."""
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+    write_batch(sums, path, batch_id)
+
+
+def read_means(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """Mean per key over all batches of :func:`mean_batch`; null where only nulls were seen."""
+    sums = read_batches(spark, path).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return sums.select(*keys, F.try_divide("total", "n").alias(value))
+
+
 def increment_batch(df: DataFrame, path: str, batch_id: int, keys: list[str]) -> None:
     """Add a batch's row counts to a counter table."""
     write_batch(df.groupBy(*keys).agg(F.count("*").alias("n")), path, batch_id)

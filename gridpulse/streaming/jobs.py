@@ -114,11 +114,21 @@ def store_messages(
 
 
 def store_temperatures(root: str, subject: str = "extract", how: str = "max") -> BatchHandler:
-    """One temperature per epoch, stored and reported."""
+    """One temperature per epoch, stored and reported: the largest, or with ``how="avg"`` the mean.
+
+    Means are stored as sums and counts, so that :func:`~..sinks.tables.read_means` does not depend on
+    how an epoch was cut into batches. The report of a batch gives what its own rows say.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        tables.write_batch(agg.single_temperature(batch, how), f"{root}/temperature", batch_id)
-        single = tables.read_batch(batch.sparkSession, f"{root}/temperature", batch_id)
+        path = f"{root}/temperature"
+        if how == "avg":
+            tables.mean_batch(batch, path, batch_id, ["epoch"], "temperature")
+            sums = tables.read_batch(batch.sparkSession, path, batch_id)
+            single = sums.select("epoch", F.try_divide("total", "n").alias("temperature"))
+        else:
+            tables.write_batch(agg.single_temperature(batch, how), path, batch_id)
+            single = tables.read_batch(batch.sparkSession, path, batch_id)
         out = append_token(F.lit(subject), "temperature.max")
         reports.publish_files(
             reports.json_report(single, "temperature", out), f"{root}/temperature_report", batch_id

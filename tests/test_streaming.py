@@ -233,3 +233,15 @@ def test_silent_subjects_are_forgotten():
     known.hasTimedOut = False
     (again,) = update(("a",), iter([part]), known)
     assert again["n"].tolist() == [1]
+
+
+@pytest.mark.parametrize("per_batch", [1, 2, None])
+def test_means_do_not_depend_on_the_batches(spark, rows, per_batch):
+    landed, root = session.scratch(spark, "landed"), session.scratch(spark, "means")
+    parts = [[(1, 10.0), (1, 20.0), (2, None)], [(1, 90.0), (3, 4.0)], [(3, None), (3, 6.0)]]
+    for part in parts:
+        spark.createDataFrame(part, "epoch bigint, temperature double").coalesce(1).write.mode("append").parquet(landed)
+    stream = messages.message_files(spark, landed, "epoch bigint, temperature double", per_batch)
+    _drain(spark, stream, jobs.store_temperatures(root, how="avg"))
+    means = tables.read_means(spark, f"{root}/temperature", ["epoch"], "temperature")
+    assert rows(means) == [(1, 40.0), (2, None), (3, 5.0)]
