@@ -53,6 +53,24 @@ def json_ingest(spark, sf_dir):
     return metrics.ingest_json(rows, "props", {"k": "bigint"}, "event_props", ("event_id", "epoch"))
 
 
+@catalog.query(
+    r"""select event_id, 'event_props' as measurement, 'k' as field,
+               cast(regexp_extract(props, '"k": *(\d+)', 1) as double) as value
+        from events where regexp_matches(props, '"k": *\d')
+        union all
+        select event_id, 'reading', unnest(['epoch', 'line', 'usage_point', 'voltage']),
+               unnest([cast(epoch as double), line, usage_point, voltage])
+        from readings""",
+    READINGS,
+)
+def json_ingest_variant(spark, sf_dir):
+    """Two kinds of JSON messages in one column, ingested without naming their fields."""
+    props = tables.events(spark, sf_dir).select("event_id", F.lit("event_props").alias("kind"), "props")
+    body = F.to_json(F.struct("epoch", "subject", "line", "usage_point", "voltage"))
+    readings = tables.readings(spark, sf_dir).select("event_id", F.lit("reading"), body)
+    return tidy(metrics.json_points(props.unionAll(readings), "props", F.col("kind"), ("event_id",)))
+
+
 @catalog.query(
     """select event_id, 'telemetry.local.' || event_type || '.voltage.value' as path from events"""
 )

@@ -17,6 +17,22 @@ def ingest_json(
     )
 
 
+def json_points(df: DataFrame, body: str, measurement: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, measurement, field, value): a metric point for every number in a JSON object, whatever its fields.
+
+    No schema is named: the text becomes a VARIANT, and its fields are taken apart on the executors.
+    Fields that hold no number give no point, nor do arrays, nested objects and text that is no JSON.
+    """
+    name = F.lit(measurement) if isinstance(measurement, str) else measurement
+    parsed = df.select(*keep, name.alias("measurement"), F.try_parse_json(F.col(body)).alias("_object"))
+    fields = df.sparkSession.tvf.variant_explode(F.col("_object").outer())
+    number = F.schema_of_variant("value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    points = parsed.lateralJoin(fields).filter(F.col("key").isNotNull() & number)
+    return points.select(
+        *keep, "measurement", F.col("key").alias("field"), F.variant_get("value", "$", "double").alias("value")
+    )
+
+
 def metric_points(df: DataFrame, fields: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per field of each measurement; missing fields give no point."""
     points = df.unpivot([*keep, "measurement"], fields, "field", "value")

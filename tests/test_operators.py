@@ -292,3 +292,13 @@ def test_lag_forecast(spark, rows):
 def test_narrowing_gives_null_where_it_does_not_fit(spark):
     df = spark.createDataFrame([(v,) for v in (-129, -128, 127, 128, 2**40, None)], "v bigint").coalesce(1)
     assert [r[0] for r in df.select(casts.narrow(F.col("v"), "tinyint")).collect()] == [None, -128, 127, None, None, None]
+
+
+def test_any_number_of_a_json_object_is_a_point(spark, rows):
+    texts = [
+        '{"a": 1, "b": 2.5, "c": "x", "d": null, "e": true, "f": {"g": 1}, "h": [1], "i": -1e300, "j": "7"}',
+        "[1, 2]", "3", "{broken", "", None, "{}", '{"a": 99999999999999999999}',
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, body string")
+    got = rows(metrics.json_points(df, "body", "m", ("id",)), "id", "measurement", "field", "value")
+    assert got == [(0, "m", "a", 1.0), (0, "m", "b", 2.5), (0, "m", "i", -1e300), (7, "m", "a", 1e20)]
