@@ -1,10 +1,14 @@
 """Language-model scores by stupid backoff over pairs of words.
 
 The score of a word after another is the share of the pair among the pairs with that first word; a
-pair that the corpus lacks falls back to ``ALPHA`` times the share of the single word. Pairs are
-exploded into arrays: one row holds what a block of texts has for one hash partition, sorted by
-first word, so that a pair costs its second word and little more. Counts and the pairs to be scored
-meet in their partition, and sums per document go on.
+pair that the corpus lacks falls back to ``ALPHA`` times the share of the single word. Where the
+documents are the corpus themselves, each is left out of the counts that score it: its own pairs and
+words are subtracted, so a pair that no other document has does fall back.
+
+Pairs are exploded into arrays: one row holds what a block of texts has for one hash partition, sorted
+by first word, so that a pair costs its second word and little more. Counts and the pairs to be scored
+meet in their partition. A pair that is not found goes on to the partition of its second word, where
+the count of that word is, and sums per document are added up.
 
 A pair belongs to the partition of its first word, where the pairs of that word add up to its count.
 Words with a notable share of all words would overfill a partition; these (a bounded number) are
@@ -31,8 +35,10 @@ FREQUENT = 1 / 4096
 START = np.uint64(0x5851F42D4C957F2D)
 STOP = np.uint64(0x14057B7EF767814F)
 COUNT, SCORE = 1, 2
-#: Hash partitions for each shuffle partition, and bytes of text in a block of pairs.
+#: Hash partitions for each shuffle partition at least, words of a hash partition at most (on average),
+#: and bytes of text in a block of pairs.
 PARTS = 2
+PART_WORDS = 4_000_000
 PAIR_BLOCK = 2 * tokens.BLOCK_BYTES
 
 
@@ -54,8 +60,8 @@ def _pairs(found: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, first, second
 
 
-def frequent_words(documents: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and exact counts, as first words, of the words with at least about this share of all.
+def frequent_words(documents: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and exact counts, as first words, of the words with at least about this share of all; number of all.
 
     Tasks report the words that reach half the share in a block, so at most 2 / share of them a block;
     no word that has the share overall can miss it everywhere.
@@ -66,10 +72,11 @@ def frequent_words(documents: DataFrame, share: float = FREQUENT) -> tuple[np.nd
             for found in tokens.words(batch.column("text"), tokens.LETTERS):
                 _, first, _ = _pairs(found)
                 words, n = np.unique(first, return_counts=True)
-                keep = n >= max(share / 2 * len(first), 1)
+                size = len(found.hashes)
+                keep = n >= max(share / 2 * size, 1)
                 keep &= n > 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(words[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), len(first)))],
+                    [pa.array(np.append(words[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), size))],
                     names=["word", "n", "total"],
                 )
 
@@ -92,7 +99,7 @@ def frequent_words(documents: DataFrame, share: float = FREQUENT) -> tuple[np.nd
     rows = documents.select("text").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(chosen), np.int64)
     counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return chosen, counts
+    return chosen, counts, int(total)
 
 
 def _lookup(words: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -107,12 +114,46 @@ def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return tokens.mix(first * tokens.BASE + second)
 
 
-_ROW = "part int, role int, block string, ids array<{id}>, firsts binary, runs binary, seconds binary, texts binary, times binary"
+def _small(values: np.ndarray) -> bytes:
+    """Counts or positions in as many bytes each as the largest needs; the first byte says how many."""
+    top = int(values.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    """The values of all rows of a column that :func:`_small` packed."""
+    return np.concatenate([np.zeros(0, np.int64), *[_wide(x) for x in table[name].to_pylist()]])
+
+
+def _hashes(table: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), np.uint64)
+
+
+def _own(owner: np.ndarray, word: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How often the text of each entry has its ``wanted`` word as the first of a pair."""
+    known, at = np.unique(_both(word, owner.astype(np.uint64)), return_inverse=True)
+    sums = np.bincount(at, times, len(known)).astype(np.int64)
+    at = _lookup(known, _both(wanted, owner.astype(np.uint64)))
+    return np.append(sums, 0)[at]
+
+
+_ROW = "part bigint, role int, block string, ids array<{id}>, firsts binary, runs binary, seconds binary, " \
+    "texts binary, times binary, own_first binary, own_second binary"
 
 
 def exploded(documents: DataFrame, role: int, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Distinct pairs of each document with their multiplicity, in arrays by block and partition."""
+    """Distinct pairs of each document with their multiplicity, in arrays by block and partition.
+
+    Beside a pair go the times that its document has the first and the second word at all; for a
+    document that does not count, and so need not be left out, both are zero.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
+    leave_out = role == COUNT | SCORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, task = 0, TaskContext.get().partitionId()
@@ -132,6 +173,9 @@ def exploded(documents: DataFrame, role: int, frequent: np.ndarray, parts: int)
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(owner)))
                 owner, first, second, part = owner[at], first[at], second[at], part[at]
+                own_first = own_second = np.zeros(len(owner), np.int64)
+                if leave_out:
+                    own_first, own_second = [_own(owner, first, times, x) for x in (first, second)]
                 cuts = np.flatnonzero(np.diff(part.astype(np.int64))) + 1
                 rows = []
                 for a, b in zip(np.append(0, cuts), np.append(cuts, len(part))):
@@ -140,137 +184,151 @@ def exploded(documents: DataFrame, role: int, frequent: np.ndarray, parts: int)
                     rows.append(
                         {
                             "part": int(part[a]), "role": role, "block": f"{role}-{task}-{number}", "ids": ids.take(pa.array(found.first + texts)).to_pylist(),
-                            "firsts": first[a:b][heads].tobytes(),
-                            "runs": np.diff(np.append(heads, b - a)).astype(np.int32).tobytes(),
-                            "seconds": second[a:b].tobytes(), "texts": local.astype(np.int32).tobytes(),
-                            "times": times[a:b].astype(np.int32).tobytes(),
+                            "firsts": first[a:b][heads].tobytes(), "runs": _small(np.diff(np.append(heads, b - a))),
+                            "seconds": second[a:b].tobytes(), "texts": _small(local), "times": _small(times[a:b]),
+                            "own_first": _small(own_first[a:b]), "own_second": _small(own_second[a:b]),
                         }
                     )
-                types = [pa.int32(), pa.int32(), pa.string(), pa.list_(ids.type), *[pa.binary()] * 5]
+                types = [pa.int64(), pa.int32(), pa.string(), pa.list_(ids.type), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(rows[0], types))))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, _ROW.format(id=kind))
 
 
-def _arrays(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table[name]), kind)
+#: What a row of a scored partition holds: sums of a block, pairs not found, counts of words.
+SUMS, MISSED, WORDS = 0, 1, 2
+_FOUND = "key string, kind int, ids array<{id}>, logs array<double>, n array<bigint>, missed array<bigint>, " \
+    "words binary, texts binary, times binary, own binary"
+
+
+def _empty(key: str, kind: int) -> dict:
+    return {
+        "key": key, "kind": kind, "ids": [], "logs": [], "n": [], "missed": [],
+        "words": b"", "texts": _small(np.zeros(0, int)), "times": _small(np.zeros(0, int)), "own": _small(np.zeros(0, int)),
+    }
 
 
-def _scored(table: pa.Table, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of one partition: log-scores, words and unseen pairs by row and text."""
+def _scored(table: pa.Table, frequent: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    """One partition: sums of every block's texts, pairs to be looked up by second word, counts of words."""
     ids = table["ids"].combine_chunks()
-    offsets = np.append(0, np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)))
-    lengths = [len(x.as_py()) // 8 for x in table["seconds"]]
-    firsts = np.repeat(_arrays(table, "firsts", np.uint64), _arrays(table, "runs", np.int32))
-    seconds, times = _arrays(table, "seconds", np.uint64), _arrays(table, "times", np.int32)
-    text = _arrays(table, "texts", np.int32) + np.repeat(offsets[:-1].astype(np.int32), lengths)
+    offsets = np.append(0, np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))).astype(np.int64)
+    lengths = [len(x) // 8 for x in table["seconds"].to_pylist()]
+    firsts = np.repeat(_hashes(table, "firsts"), _column(table, "runs"))
+    seconds, times = _hashes(table, "seconds"), _column(table, "times")
+    text = _column(table, "texts") + np.repeat(offsets[:-1], lengths)
     role = np.repeat(table["role"].to_numpy().astype(np.int8), lengths)
-    del table
+    blocks = table["block"].to_pylist()
     counted = (role & COUNT) > 0
+    left_out = np.where(role == COUNT | SCORE, times, 0)
     words, word = np.unique(firsts, return_inverse=True)
-    of_word = np.bincount(word[counted], times[counted], len(words)).astype(float)
+    of_word = np.bincount(word[counted], times[counted], len(words)).astype(np.int64)
     at = _lookup(frequent, words)
     common = at < len(frequent)
     of_word[common] = counts[at[common]]
-    share = 1.0 / np.maximum(of_word, 1.0)[word]
+    others_first = of_word[word] - _column(table, "own_first")
     del word
     pairs, pair = np.unique(_both(firsts, seconds), return_inverse=True)
     del firsts
-    of_pair = np.bincount(pair[counted], times[counted], len(pairs)).astype(float)
+    of_pair = np.bincount(pair[counted], times[counted], len(pairs)).astype(np.int64)
     del pairs
-    share *= of_pair[pair]
-    del pair
-    asked = ((role & SCORE) > 0) & (seconds != STOP)
-    seen = asked & (share > 0)
+    others = of_pair[pair] - left_out
+    del pair, of_pair
     size = int(offsets[-1])
-    logs = np.bincount(text[seen], times[seen] * np.log(share[seen]), size).astype(float)
+    asked = ((role & SCORE) > 0) & (seconds != STOP)
+    seen = asked & (others > 0)
+    logs = np.bincount(text[seen], times[seen] * np.log(others[seen] / others_first[seen]), size).astype(float)
+    lost = np.flatnonzero(asked & ~seen)
+    text_of, second, often, own = text[lost], seconds[lost], times[lost], _column(table, "own_second")[lost]
+    at = _lookup(frequent, second)
+    known = at < len(frequent)
+    logs += np.bincount(text_of[known], often[known] * np.log(np.maximum(counts[at[known]] - own[known], 0.5)), size)
     total = np.bincount(text[asked], times[asked], size).astype(np.int64)
-    missed = asked & ~seen
-    own = ~common & (of_word > 0) & (words != START)
-    return (
-        ids, logs, total, text[missed].astype(np.int64), seconds[missed], times[missed].astype(np.int64),
-        words[own], of_word[own].astype(np.int64),
-    )
+    missed = np.bincount(text_of, often, size).astype(np.int64)
+
+    flat, rows = ids.values, []
+    for i, block in enumerate(blocks):
+        a, b = offsets[i], offsets[i + 1]
+        rows.append({**_empty(f"b{block}", SUMS), "ids": ids[i].as_py(), "logs": logs[a:b], "n": total[a:b], "missed": missed[a:b]})
+    text_of, second, often, own = [x[~known] for x in (text_of, second, often, own)]
+    part = (second >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64))) + 1
+    for some in np.split(order, cuts) if len(order) else ():
+        texts, local = np.unique(text_of[some], return_inverse=True)
+        rows.append({
+            **_empty(f"w{part[some[0]]}", MISSED), "ids": flat.take(pa.array(texts)).to_pylist(), "words": second[some].tobytes(),
+            "texts": _small(local), "times": _small(often[some]), "own": _small(own[some]),
+        })
+    single = ~common & (of_word > 0) & (words != START)
+    if single.any():
+        home = int((words[single][0] >> np.uint64(32)) % np.uint64(parts))
+        rows.append({**_empty(f"w{home}", WORDS), "words": words[single].tobytes(), "times": _small(of_word[single])})
+    lists = [pa.list_(flat.type), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.string(), pa.int32(), *lists, *[pa.binary()] * 4]
+    return pa.Table.from_pylist(rows, pa.schema(list(zip(_empty("", 0), types))))
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Sums by document: of a block over all partitions, or of the pairs that fell back to words of one partition."""
+    sums = table.filter(pa.compute.equal(table["kind"], SUMS))
+    if len(sums):
+        flat = pa.table({name: pa.compute.list_flatten(sums[of]) for name, of in
+                         {"doc_id": "ids", "logs": "logs", "n": "n", "missed": "missed"}.items()})
+    else:
+        of_words = table.filter(pa.compute.equal(table["kind"], WORDS))
+        words, counts = _hashes(of_words, "words"), _column(of_words, "times")
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        lost = table.filter(pa.compute.equal(table["kind"], MISSED))
+        ids = lost["ids"].combine_chunks()
+        offsets = np.append(0, np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))).astype(np.int64)
+        second = _hashes(lost, "words")
+        text = _column(lost, "texts") + np.repeat(offsets[:-1], [len(x) // 8 for x in lost["words"].to_pylist()])
+        others = np.append(counts, 0)[_lookup(words, second)] - _column(lost, "own")
+        logs = np.bincount(text, _column(lost, "times") * np.log(np.maximum(others, 0.5)), int(offsets[-1])).astype(float)
+        none = np.zeros(len(logs), np.int64)
+        flat = pa.table({"doc_id": pa.compute.list_flatten(lost["ids"]), "logs": logs, "n": none, "missed": none})
+    rows = flat.group_by("doc_id").aggregate([("logs", "sum"), ("n", "sum"), ("missed", "sum")])
+    return rows.select(["doc_id", "logs_sum", "n_sum", "missed_sum"]).rename_columns(["doc_id", "logs", "n", "missed"])
 
 
 def scores(
     documents: DataFrame, corpus: DataFrame | None = None, id: str = "doc_id", text: str = "text", alpha: float = ALPHA
 ) -> DataFrame:
-    """One row per document id: doc_id, n_words, log_score, mean_log_score.
+    """One row per document id: doc_id, n_words, n_backed_off, log_score, mean_log_score.
 
-    Counts come from all texts of ``corpus``, by default of the documents themselves. A text without
-    words (or null) scores 0 over 0 words, its mean is null. Rows that share an id count and score as
-    one document. A word that the corpus lacks scores as if it had been seen half a time.
+    Counts come from all texts of ``corpus``, by default of the documents themselves without the one
+    that is scored. A text without words (or null) scores 0 over 0 words, its mean is null. Rows that
+    share an id (null is one) are added up; each is left out by itself, all of them of the number of
+    words. A word that the counts lack scores as if it had been seen half a time, and where they have
+    no words at all, as if they had one.
     """
     spark = documents.sparkSession
     slim = documents.select(documents[f"`{id}`"].alias("doc_id"), documents[f"`{text}`"].alias("text"))
     base = slim
     if corpus is not None:
         base = corpus.select(F.lit(None).cast(slim.schema["doc_id"].dataType).alias("doc_id"), corpus[f"`{text}`"].alias("text"))
-    frequent, counts = frequent_words(base)
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent, counts, words = frequent_words(base)
+    parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), words // PART_WORDS + 1)
     rows = exploded(base, COUNT | (SCORE if corpus is None else 0), frequent, parts)
     if corpus is not None:
         rows = rows.unionAll(exploded(slim, SCORE, frequent, parts))
     shared = spark.sparkContext.broadcast((frequent, counts))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    corpus_is_own = corpus is None
 
     def score(table: pa.Table) -> pa.Table:
-        blocks = table["block"].to_pylist()
-        ids, logs, total, text, missed, times, words, n = _scored(table, *shared.value)
-        if corpus_is_own:  # every pair is in the corpus
-            words, n = words[:0], n[:0]
-        none = pa.nulls
-        lists = [ids, *[pa.ListArray.from_arrays(ids.offsets, pa.array(x)) for x in (logs, total)]]
-        columns = [
-            pa.array(np.repeat(np.arange(3, dtype=np.int32), [len(blocks), len(text), len(words)])),
-            pa.array([*blocks, *[None] * (len(text) + len(words))], pa.string()),
-            *[pa.concat_arrays([x, none(len(text) + len(words), x.type)]) for x in lists],
-            pa.concat_arrays([none(len(blocks), ids.type.value_type), ids.values.take(pa.array(text)), none(len(words), ids.type.value_type)]),
-            pa.concat_arrays([none(len(blocks), pa.int64()), pa.array(missed.view(np.int64)), pa.array(words.view(np.int64))]),
-            pa.concat_arrays([none(len(blocks), pa.int64()), pa.array(times), pa.array(n)]),
-        ]
-        return pa.Table.from_arrays(columns, names=["kind", "block", "ids", "logs", "n", "doc_id", "word", "times"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        flat = {"doc_id": "ids", "logs": "logs", "n": "n"}
-        rows = pa.table({name: pa.compute.list_flatten(table[of]) for name, of in flat.items()})
-        rows = rows.group_by("doc_id").aggregate([("logs", "sum"), ("n", "sum")])
-        return rows.select(["doc_id", "logs_sum", "n_sum"]).rename_columns(["doc_id", "logs", "n"])
-
-    found = rows.groupBy("part").applyInArrow(
-        score,
-        f"kind int, block string, ids array<{kind}>, logs array<double>, n array<bigint>, doc_id {kind}, word bigint, times bigint",
-    )
+        return _scored(table, *shared.value, parts)
+
     # sums stay packed until all partitions of a block are added up: one row per document goes on
-    by_block = found.filter("kind = 0").select("block", "ids", "logs", "n").groupBy("block")
-    sums = by_block.applyInArrow(summed, f"doc_id {kind}, logs double, n bigint")
-    if corpus is not None:
-        sums = sums.unionAll(_fallback(found, frequent, counts, alpha))
-    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("logs").alias("logs"))
+    found = rows.groupBy("part").applyInArrow(score, _FOUND.format(id=kind))
+    sums = found.groupBy("key").applyInArrow(_summed, f"doc_id {kind}, logs double, n bigint, missed bigint")
+    sums = sums.groupBy("doc_id").agg(*[F.sum(name).alias(name) for name in ("n", "missed", "logs")])
     sums = sums.withColumnRenamed("doc_id", "of")
+    n, missed = [F.coalesce(name, F.lit(0)).cast("long") for name in ("n", "missed")]
+    of_all = F.greatest(F.lit(words) - (n if corpus is None else 0), F.lit(1)).cast("double")
+    logs = F.coalesce("logs", F.lit(0.0)) + missed * (F.lit(math.log(alpha)) - F.log(of_all))
     return (
         slim.select("doc_id").distinct().join(sums, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-        .select(
-            "doc_id",
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_words"),
-            F.coalesce("logs", F.lit(0.0)).alias("log_score"),
-            (F.col("logs") / F.col("n")).alias("mean_log_score"),
-        )
+        .select("doc_id", n.alias("n_words"), missed.alias("n_backed_off"), logs.alias("log_score"), F.try_divide(logs, n).alias("mean_log_score"))
     )
-
-
-def _fallback(found: DataFrame, frequent: np.ndarray, counts: np.ndarray, alpha: float) -> DataFrame:
-    """Log-scores of the pairs that the corpus lacks, from the counts of their second words."""
-    spark = found.sparkSession
-    known = [(int(w), int(n)) for w, n in zip(frequent.view(np.int64), counts) if w != START]
-    words = found.filter("kind = 2").select("word", F.col("times").alias("count"))
-    words = words.unionAll(spark.createDataFrame(known, "word bigint, count bigint"))
-    total = words.agg(F.sum("count")).first()[0] or 1
-    missed = found.filter("kind = 1").select("doc_id", "word", "times")
-    share = F.coalesce("count", F.lit(0.5)) / F.lit(float(total))
-    return missed.join(words, "word", "left").select(
-        "doc_id", (F.col("times") * (F.log(share) + F.lit(math.log(alpha)))).alias("logs"), F.lit(0).cast("long").alias("n")
-    )

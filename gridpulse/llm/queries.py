@@ -139,19 +139,28 @@ pairs as (
     select doc_id, unnest(list_zip(list_concat(['<s>'], w[:-2]), w)) as p, unnest(w) as second
     from d where len(w) > 0),
 duo as (select doc_id, p[1] as first, second from pairs),
-counts as (select first, second, count(*) as n from duo group by 1, 2),
-singles as (
-    select first, count(*) as n
-    from (select first from duo union all select w[-1] from d where len(w) > 0) group by 1),
+firsts as (select doc_id, first from duo union all select doc_id, w[-1] from d where len(w) > 0),
+own as (select doc_id, first, second, count(*) as t from duo group by 1, 2, 3),
+own_first as (select doc_id, first, count(*) as t from firsts group by 1, 2),
+counts as (select first, second, sum(t) as n from own group by 1, 2),
+singles as (select first, sum(t) as n from own_first group by 1),
+sizes as (select doc_id, len(w) as n, sum(len(w)) over () as total from d where len(w) > 0),
 sums as (
-    select b.doc_id, count(*) as n_words, sum(ln(c.n / s.n)) as logs
-    from duo b join counts c using (first, second) join singles s using (first) group by 1)
-select d.doc_id, coalesce(n_words, 0) as n_words, round(coalesce(logs, 0), 4) as log_score
+    select o.doc_id, sum(o.t) as n_words, sum(case when c.n = o.t then o.t else 0 end) as n_backed_off,
+           sum(o.t * case when c.n > o.t then ln((c.n - o.t) / (f.n - of.t))
+                          else ln(0.4 * greatest(s.n - os.t, 0.5) / greatest(z.total - z.n, 1)) end) as logs
+    from own o join counts c using (first, second)
+         join singles f on f.first = o.first join own_first of on of.doc_id = o.doc_id and of.first = o.first
+         join singles s on s.first = o.second join own_first os on os.doc_id = o.doc_id and os.first = o.second
+         join sizes z on z.doc_id = o.doc_id
+    group by 1)
+select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_backed_off, 0) as bigint) as n_backed_off,
+       round(coalesce(logs, 0), 4) as log_score
 from d left join sums using (doc_id)"""
 )
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = backoff.scores(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return found.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
 
 
 @catalog.query(

@@ -230,36 +230,74 @@ def test_seats_go_to_the_highest_quotients(spark):
         assert got == {k: want[k] for k in weights}
 
 
-def backoff_by_force(texts, corpus, alpha=0.4):
+def backoff_by_force(texts, corpus, alpha=0.4, leave_out=False):
     def words(text):
         return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
 
-    pairs, first, single = Counter(), Counter(), Counter()
-    for t in corpus:
-        w = words(t)
-        pairs.update(zip(["<s>", *w], w))
-        first.update((["<s>"] if w else []) + w)
-        single.update(w)
-    out = {}
-    for i, t in texts:
-        w, total = words(t), 0.0
+    def counted(texts):
+        pairs, first, single = Counter(), Counter(), Counter()
+        for t in texts:
+            w = words(t)
+            pairs.update(zip(["<s>", *w], w))
+            first.update((["<s>"] if w else []) + w)
+            single.update(w)
+        return pairs, first, single
+
+    out, all_words = {}, counted(corpus)[2].total()
+    for k, (i, t) in enumerate(texts):
+        w, total, back = words(t), 0.0, 0
+        pairs, first, single = counted([x for j, x in enumerate(corpus) if not (leave_out and j == k)])
+        of_all = all_words - len(w) if leave_out else all_words
         for a, b in zip(["<s>", *w], w):
             if pairs[a, b]:
                 total += math.log(pairs[a, b] / first[a])
             else:
-                total += math.log(alpha * (single[b] or 0.5) / sum(single.values()))
-        out[i] = (len(w), pytest.approx(total))
+                back += 1
+                total += math.log(alpha * (single[b] or 0.5) / max(of_all, 1))
+        out[i] = (len(w), back, pytest.approx(total))
     return out
 
 
+def backoff_rows(frame):
+    return {r.doc_id: (r.n_words, r.n_backed_off, r.log_score) for r in frame.collect()}
+
+
 def test_backoff_equals_brute_force(spark):
     corpus = [f"the {prose(i, 30)} of the end the the" for i in range(40)] + [None, ""]
+    corpus += [prose(500 + i, 3) + " rare twice rare twice" for i in range(2)]
     texts = [(i, t) for i, t in enumerate(corpus)]
-    got = {r.doc_id: (r.n_words, r.log_score) for r in backoff.scores(documents(spark, texts)).collect()}
-    assert got == backoff_by_force(texts, corpus)
-    other = [(1, "the end of the world"), (2, "nothing"), (3, None)]
-    got = backoff.scores(documents(spark, other), documents(spark, texts)).collect()
-    assert {r.doc_id: (r.n_words, r.log_score) for r in got} == backoff_by_force(other, corpus)
+    assert backoff_rows(backoff.scores(documents(spark, texts))) == backoff_by_force(texts, corpus, leave_out=True)
+    other = [(1, "the end of the world"), (2, "nothing"), (3, None), (4, prose(3, 30))]
+    got = backoff_rows(backoff.scores(documents(spark, other), documents(spark, texts)))
+    assert got == backoff_by_force(other, corpus)
+    assert got[4][1] == 1  # only its first word follows a start that the corpus lacks
+
+
+def test_backoff_of_many_parts_and_no_frequent_words(spark, monkeypatch):
+    corpus = [prose(i % 12, 60) + " " + prose(100 + i, 20) for i in range(30)]
+    texts = list(enumerate(corpus))
+    want = backoff_by_force(texts, corpus, leave_out=True)
+    monkeypatch.setattr(backoff, "PART_WORDS", 20)
+    assert backoff_rows(backoff.scores(documents(spark, texts))) == want
+    monkeypatch.setattr(backoff, "FREQUENT", 1.1)
+    monkeypatch.setattr(backoff.frequent_words, "__defaults__", (1.1,))
+    assert backoff_rows(backoff.scores(documents(spark, texts))) == want
+
+
+def test_backoff_of_one_document_and_of_repeated_ids(spark):
+    alone = backoff_rows(backoff.scores(documents(spark, [(1, "a b a")])))
+    assert alone == {1: (3, 3, pytest.approx(3 * math.log(0.4 * 0.5)))}
+    got = backoff_rows(backoff.scores(documents(spark, [(6, "tie tie"), (6, "tie tie"), (None, "tie"), (7, None)])))
+    # either row with id 6 finds its pairs in the other, beside the row without id, which finds its pair in both
+    assert got[6] == (4, 0, pytest.approx(2 * math.log(1 / 3))) and got[7] == (0, 0, 0.0)
+    assert got[None] == (1, 0, pytest.approx(0.0))
+
+
+def test_backoff_ranks_unique_words_last_and_copies_first(spark):
+    shared = " ".join(f"w{i % 40}" for i in range(300))
+    texts = [(i, shared[i : i + 400]) for i in range(0, 40, 4)] + [(100, prose(1, 80)), (101, prose(2, 80)), (102, prose(2, 80))]
+    got = {r.doc_id: r.mean_log_score for r in backoff.scores(documents(spark, texts)).collect()}
+    assert min(got, key=got.get) == 100 and got[101] > -1
 
 
 def test_chunks_do_not_depend_on_neighbours():
