@@ -11,7 +11,8 @@ meet in their partition. A pair that is not found goes on to the partition of it
 the count of that word is, and sums per document are added up.
 
 A pair belongs to the partition of its first word, where the pairs of that word add up to its count.
-Words with a notable share of all words would overfill a partition; these (a bounded number) are
+A document is known by its block and its place there until its sums are complete; its id goes straight
+to the block. Words with a notable share of all words would overfill a partition; these (a bounded number) are
 counted beforehand, and their pairs are dealt out by both words.
 """
 
@@ -32,8 +33,10 @@ from gridpulse.llm import tokens
 ALPHA = 0.4
 #: A word is frequent from this share of all words on.
 FREQUENT = 1 / 4096
-START = np.uint64(0x5851F42D4C957F2D)
-STOP = np.uint64(0x14057B7EF767814F)
+#: Words and pairs travel by the lower 48 bits of their hash, six bytes each.
+LOW = np.uint64((1 << 48) - 1)
+START = np.uint64(0x5851F42D4C957F2D) & LOW
+STOP = np.uint64(0x14057B7EF767814F) & LOW
 COUNT, SCORE = 1, 2
 #: Hash partitions for each shuffle partition at least, words of a hash partition at most (on average),
 #: and bytes of text in a block of pairs.
@@ -53,10 +56,10 @@ def _pairs(found: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens, closes = (ends - size)[size > 0], ends[size > 0] - 1
     inside = np.ones(len(owner), bool)
     inside[opens] = False
-    first[inside] = found.hashes
+    first[inside] = found.hashes & LOW
     inside[:] = True
     inside[closes] = False
-    second[inside] = found.hashes
+    second[inside] = found.hashes & LOW
     return owner, first, second
 
 
@@ -130,8 +133,20 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[_wide(x) for x in table[name].to_pylist()]])
 
 
+def _six(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def _hashes(table: pa.Table, name: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), np.uint64)
+    """The hashes of all rows of a column that :func:`_six` packed."""
+    packed = np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(-1, 6)
+    full = np.zeros((len(packed), 8), np.uint8)
+    full[:, :6] = packed
+    return full.view("<u8").ravel().astype(np.uint64)
+
+
+def _part(words: np.ndarray, parts: int) -> np.ndarray:
+    return (words % np.uint64(parts)).astype(np.int64)
 
 
 def _own(owner: np.ndarray, word: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -142,7 +157,7 @@ def _own(owner: np.ndarray, word: np.ndarray, times: np.ndarray, wanted: np.ndar
     return np.append(sums, 0)[at]
 
 
-_ROW = "part bigint, role int, block string, ids array<{id}>, firsts binary, runs binary, seconds binary, " \
+_ROW = "part bigint, role int, block bigint, ids array<{id}>, firsts binary, runs binary, seconds binary, " \
     "texts binary, times binary, own_first binary, own_second binary"
 
 
@@ -165,7 +180,7 @@ def exploded(documents: DataFrame, role: int, frequent: np.ndarray, parts: int)
                 if not len(owner):
                     continue
                 common = _lookup(shared.value, first) < len(shared.value)
-                part = (np.where(common, _both(first, second), first) >> np.uint64(32)) % np.uint64(parts)
+                part = _part(np.where(common, _both(first, second), first), parts)
                 order = np.lexsort((owner, second, first, part))
                 owner, first, second, part = owner[order], first[order], second[order], part[order]
                 new = np.ones(len(owner), bool)
@@ -176,49 +191,55 @@ def exploded(documents: DataFrame, role: int, frequent: np.ndarray, parts: int)
                 own_first = own_second = np.zeros(len(owner), np.int64)
                 if leave_out:
                     own_first, own_second = [_own(owner, first, times, x) for x in (first, second)]
-                cuts = np.flatnonzero(np.diff(part.astype(np.int64))) + 1
-                rows = []
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                block = (task << 32 | number) << 2 | role
+                rows = [{"part": block % parts, "role": 0, "block": block, "ids": ids.slice(found.first, found.n).to_pylist()}]
                 for a, b in zip(np.append(0, cuts), np.append(cuts, len(part))):
-                    texts, local = np.unique(owner[a:b], return_inverse=True)
                     heads = np.flatnonzero(np.append(True, first[a + 1 : b] != first[a : b - 1]))
                     rows.append(
                         {
-                            "part": int(part[a]), "role": role, "block": f"{role}-{task}-{number}", "ids": ids.take(pa.array(found.first + texts)).to_pylist(),
-                            "firsts": first[a:b][heads].tobytes(), "runs": _small(np.diff(np.append(heads, b - a))),
-                            "seconds": second[a:b].tobytes(), "texts": _small(local), "times": _small(times[a:b]),
+                            "part": int(part[a]), "role": role, "block": block, "ids": None,
+                            "firsts": _six(first[a:b][heads]), "runs": _small(np.diff(np.append(heads, b - a))),
+                            "seconds": _six(second[a:b]), "texts": _small(owner[a:b]), "times": _small(times[a:b]),
                             "own_first": _small(own_first[a:b]), "own_second": _small(own_second[a:b]),
-                        }
+                        }
                     )
-                types = [pa.int64(), pa.int32(), pa.string(), pa.list_(ids.type), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(rows[0], types))))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(ids.type), *[pa.binary()] * 7]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(rows[-1], types))))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, _ROW.format(id=kind))
 
 
-#: What a row of a scored partition holds: sums of a block, pairs not found, counts of words.
-SUMS, MISSED, WORDS = 0, 1, 2
-_FOUND = "key string, kind int, ids array<{id}>, logs array<double>, n array<bigint>, missed array<bigint>, " \
-    "words binary, texts binary, times binary, own binary"
+#: What a row of a scored partition holds: ids of a block, sums of a block, pairs not found, counts of words.
+IDS, SUMS, MISSED, WORDS = 0, 1, 2, 3
+_FOUND = "key bigint, kind int, ids array<{id}>, blocks array<bigint>, sizes binary, logs array<double>, n binary, " \
+    "missed binary, words binary, texts binary, times binary, own binary"
+_SUMS = "block bigint, ids array<{id}>, texts binary, logs array<double>, n binary, missed binary"
 
 
-def _empty(key: str, kind: int) -> dict:
-    return {
-        "key": key, "kind": kind, "ids": [], "logs": [], "n": [], "missed": [],
-        "words": b"", "texts": _small(np.zeros(0, int)), "times": _small(np.zeros(0, int)), "own": _small(np.zeros(0, int)),
-    }
+def _rows(rows: list[dict], schema: dict[str, pa.DataType]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema(list(schema.items())))
+
+
+def _runs(values: np.ndarray) -> Iterator[slice]:
+    """The runs of equal values."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    for a, b in zip(np.append(0, cuts), np.append(cuts, len(values))):
+        if b > a:
+            yield slice(a, b)
 
 
 def _scored(table: pa.Table, frequent: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
     """One partition: sums of every block's texts, pairs to be looked up by second word, counts of words."""
-    ids = table["ids"].combine_chunks()
-    offsets = np.append(0, np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))).astype(np.int64)
-    lengths = [len(x) // 8 for x in table["seconds"].to_pylist()]
+    kind_of_ids = table.schema.field("ids").type
+    named = table.filter(pa.compute.equal(table["role"], 0))
+    rows = [{"key": b, "kind": IDS, "ids": i} for b, i in zip(named["block"].to_pylist(), named["ids"].to_pylist())]
+    table = table.filter(pa.compute.not_equal(table["role"], 0))
+    lengths = [len(x) // 6 for x in table["seconds"].to_pylist()]
     firsts = np.repeat(_hashes(table, "firsts"), _column(table, "runs"))
-    seconds, times = _hashes(table, "seconds"), _column(table, "times")
-    text = _column(table, "texts") + np.repeat(offsets[:-1], lengths)
+    seconds, times, text = _hashes(table, "seconds"), _column(table, "times"), _column(table, "texts")
     role = np.repeat(table["role"].to_numpy().astype(np.int8), lengths)
-    blocks = table["block"].to_pylist()
     counted = (role & COUNT) > 0
     left_out = np.where(role == COUNT | SCORE, times, 0)
     words, word = np.unique(firsts, return_inverse=True)
@@ -233,64 +254,101 @@ def _scored(table: pa.Table, frequent: np.ndarray, counts: np.ndarray, parts: in
     of_pair = np.bincount(pair[counted], times[counted], len(pairs)).astype(np.int64)
     del pairs
     others = of_pair[pair] - left_out
-    del pair, of_pair
-    size = int(offsets[-1])
+    del pair, of_pair, left_out
     asked = ((role & SCORE) > 0) & (seconds != STOP)
     seen = asked & (others > 0)
-    logs = np.bincount(text[seen], times[seen] * np.log(others[seen] / others_first[seen]), size).astype(float)
-    lost = np.flatnonzero(asked & ~seen)
-    text_of, second, often, own = text[lost], seconds[lost], times[lost], _column(table, "own_second")[lost]
-    at = _lookup(frequent, second)
-    known = at < len(frequent)
-    logs += np.bincount(text_of[known], often[known] * np.log(np.maximum(counts[at[known]] - own[known], 0.5)), size)
-    total = np.bincount(text[asked], times[asked], size).astype(np.int64)
-    missed = np.bincount(text_of, often, size).astype(np.int64)
-
-    flat, rows = ids.values, []
-    for i, block in enumerate(blocks):
-        a, b = offsets[i], offsets[i + 1]
-        rows.append({**_empty(f"b{block}", SUMS), "ids": ids[i].as_py(), "logs": logs[a:b], "n": total[a:b], "missed": missed[a:b]})
-    text_of, second, often, own = [x[~known] for x in (text_of, second, often, own)]
-    part = (second >> np.uint64(32)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order].astype(np.int64))) + 1
-    for some in np.split(order, cuts) if len(order) else ():
-        texts, local = np.unique(text_of[some], return_inverse=True)
+    logs = np.zeros(len(text))
+    logs[seen] = times[seen] * np.log(others[seen] / others_first[seen])
+    own = _column(table, "own_second")
+    at = _lookup(frequent, seconds)
+    known = asked & ~seen & (at < len(frequent))
+    logs[known] = times[known] * np.log(np.maximum(counts[at[known]] - own[known], 0.5))
+    lost = asked & ~seen & ~known
+    del at, others, others_first
+
+    bounds = np.append(0, np.cumsum(lengths)).astype(np.int64)
+    for block, a, b in zip(table["block"].to_pylist(), bounds[:-1], bounds[1:]):
+        texts, local = np.unique(text[a:b], return_inverse=True)
+        n, missed = [np.bincount(local, np.where(x[a:b], times[a:b], 0), len(texts)) for x in (asked, asked & ~seen)]
+        sums = np.bincount(local, logs[a:b], len(texts))
+        rows.append({"key": block, "kind": SUMS, "texts": _small(texts), "logs": sums, "n": _small(n), "missed": _small(missed)})
+    lost = np.flatnonzero(lost)
+    part = _part(seconds[lost], parts)
+    order = np.argsort(part, kind="stable")  # by block within a part
+    lost, part = lost[order], part[order]
+    block = np.repeat(table["block"].to_numpy(), lengths)[lost]
+    for some in _runs(part):
+        runs = list(_runs(block[some]))
         rows.append({
-            **_empty(f"w{part[some[0]]}", MISSED), "ids": flat.take(pa.array(texts)).to_pylist(), "words": second[some].tobytes(),
-            "texts": _small(local), "times": _small(often[some]), "own": _small(own[some]),
+            "key": -1 - int(part[some.start]), "kind": MISSED,
+            "blocks": [block[some][r.start] for r in runs], "sizes": _small(np.array([r.stop - r.start for r in runs])),
+            "words": _six(seconds[lost[some]]), "texts": _small(text[lost[some]]),
+            "times": _small(times[lost[some]]), "own": _small(own[lost[some]]),
         })
-    single = ~common & (of_word > 0) & (words != START)
-    if single.any():
-        home = int((words[single][0] >> np.uint64(32)) % np.uint64(parts))
-        rows.append({**_empty(f"w{home}", WORDS), "words": words[single].tobytes(), "times": _small(of_word[single])})
-    lists = [pa.list_(flat.type), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    types = [pa.string(), pa.int32(), *lists, *[pa.binary()] * 4]
-    return pa.Table.from_pylist(rows, pa.schema(list(zip(_empty("", 0), types))))
+    single = np.flatnonzero(~common & (of_word > 0) & (words != START))
+    if len(single):  # all of them belong to this partition
+        home = int(_part(words[single[:1]], parts)[0])
+        rows.append({"key": -1 - home, "kind": WORDS, "words": _six(words[single]), "times": _small(of_word[single])})
+    long, packed = pa.int64(), pa.binary()
+    return _rows(rows, {
+        "key": long, "kind": pa.int32(), "ids": kind_of_ids, "blocks": pa.list_(long), "sizes": packed, "logs": pa.list_(pa.float64()),
+        "n": packed, "missed": packed, "words": packed, "texts": packed, "times": packed, "own": packed,
+    })
+
+
+def _looked_up(table: pa.Table) -> list[dict]:
+    """Sums of the pairs that fall back to the words of one partition."""
+    of_words = table.filter(pa.compute.equal(table["kind"], WORDS))
+    words, counts = _hashes(of_words, "words"), _column(of_words, "times")
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    lost = table.filter(pa.compute.equal(table["kind"], MISSED))
+    if not len(lost):
+        return []
+    block = np.repeat(pa.compute.list_flatten(lost["blocks"]).to_numpy(), _column(lost, "sizes"))
+    others = np.append(counts, 0)[_lookup(words, _hashes(lost, "words"))] - _column(lost, "own")
+    logs, text = _column(lost, "times") * np.log(np.maximum(others, 0.5)), _column(lost, "texts")
+    order = np.lexsort((text, block))
+    block, text, logs = block[order], text[order], logs[order]
+    rows = []
+    for run in _runs(block):
+        texts, local = np.unique(text[run], return_inverse=True)
+        rows.append({"block": block[run.start], "texts": _small(texts), "logs": np.bincount(local, logs[run], len(texts))})
+    return rows
+
+
+def _added(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of one block, and by text the sums of its rows: log-scores, words, pairs not found."""
+    ids = next((x for x in table["ids"].to_pylist() if x is not None), [])
+    rows = table.filter(pa.compute.is_valid(table["texts"]))
+    texts, logs = _column(rows, "texts"), pa.compute.list_flatten(rows["logs"]).to_numpy()
+    size = max(len(ids), int(texts.max(initial=-1)) + 1)
+    counted = rows.filter(pa.compute.is_valid(rows["n"]))
+    of = _column(counted, "texts")
+    n, missed = [np.bincount(of, _column(counted, x), size).astype(np.int64) for x in ("n", "missed")]
+    return ids, np.bincount(texts, logs, size).astype(float), n, missed
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """Sums by document: of a block over all partitions, or of the pairs that fell back to words of one partition."""
-    sums = table.filter(pa.compute.equal(table["kind"], SUMS))
-    if len(sums):
-        flat = pa.table({name: pa.compute.list_flatten(sums[of]) for name, of in
-                         {"doc_id": "ids", "logs": "logs", "n": "n", "missed": "missed"}.items()})
+    """Sums of a block over all partitions, or of the pairs that fell back to words of one partition, still packed."""
+    key = table["key"][0].as_py()
+    if key < 0:
+        rows = _looked_up(table)
     else:
-        of_words = table.filter(pa.compute.equal(table["kind"], WORDS))
-        words, counts = _hashes(of_words, "words"), _column(of_words, "times")
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
-        lost = table.filter(pa.compute.equal(table["kind"], MISSED))
-        ids = lost["ids"].combine_chunks()
-        offsets = np.append(0, np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))).astype(np.int64)
-        second = _hashes(lost, "words")
-        text = _column(lost, "texts") + np.repeat(offsets[:-1], [len(x) // 8 for x in lost["words"].to_pylist()])
-        others = np.append(counts, 0)[_lookup(words, second)] - _column(lost, "own")
-        logs = np.bincount(text, _column(lost, "times") * np.log(np.maximum(others, 0.5)), int(offsets[-1])).astype(float)
-        none = np.zeros(len(logs), np.int64)
-        flat = pa.table({"doc_id": pa.compute.list_flatten(lost["ids"]), "logs": logs, "n": none, "missed": none})
-    rows = flat.group_by("doc_id").aggregate([("logs", "sum"), ("n", "sum"), ("missed", "sum")])
-    return rows.select(["doc_id", "logs_sum", "n_sum", "missed_sum"]).rename_columns(["doc_id", "logs", "n", "missed"])
+        ids, logs, n, missed = _added(table)
+        rows = [{"block": key, "ids": ids, "texts": _small(np.arange(len(logs))), "logs": logs, "n": _small(n), "missed": _small(missed)}]
+    packed = pa.binary()
+    return _rows(rows, {
+        "block": pa.int64(), "ids": table.schema.field("ids").type, "texts": packed, "logs": pa.list_(pa.float64()), "n": packed, "missed": packed,
+    })
+
+
+def _named(table: pa.Table) -> pa.Table:
+    """The sums of one block by document id."""
+    ids, logs, n, missed = _added(table)
+    kind = table.schema.field("ids").type.value_type
+    rows = pa.table({"doc_id": pa.array(ids, kind), "logs": logs, "n": n, "missed": missed})
+    return rows.filter(pa.compute.greater(rows["n"], 0))
 
 
 def scores(
@@ -320,9 +378,10 @@ def scores(
     def score(table: pa.Table) -> pa.Table:
         return _scored(table, *shared.value, parts)
 
-    # sums stay packed until all partitions of a block are added up: one row per document goes on
     found = rows.groupBy("part").applyInArrow(score, _FOUND.format(id=kind))
-    sums = found.groupBy("key").applyInArrow(_summed, f"doc_id {kind}, logs double, n bigint, missed bigint")
+    # sums stay packed until all of a block are added up: one row per document goes on
+    sums = found.groupBy("key").applyInArrow(_summed, _SUMS.format(id=kind))
+    sums = sums.groupBy("block").applyInArrow(_named, f"doc_id {kind}, logs double, n bigint, missed bigint")
     sums = sums.groupBy("doc_id").agg(*[F.sum(name).alias(name) for name in ("n", "missed", "logs")])
     sums = sums.withColumnRenamed("doc_id", "of")
     n, missed = [F.coalesce(name, F.lit(0)).cast("long") for name in ("n", "missed")]
