@@ -270,6 +270,37 @@ def rollup_incremental(spark, sf_dir):
     return tidy(tiers.read_coarse(spark, root, 600, HOUR))
 
 
+@catalog.query(
+    """select name, seconds, epoch - epoch % seconds as slot, count(*) as n, true as within
+       from (select event_type as name, cast(floor(epoch(ts)) as bigint) as epoch from events where value is not null),
+            (select unnest([3600, 86400, 2419200]) as seconds)
+       group by 1, 2, 3"""
+)
+def p90_sketch_tiers(spark, sf_dir):
+    """Sketches of ten minutes, stored batch by batch and merged into hours, days and four weeks; each
+    merged percentile is held against the exact ranks of all values of its slot."""
+    landing, root = scratch(spark, "points"), scratch(spark, "tiers")
+    points = tables.events(spark, sf_dir).select(
+        F.col("event_type").alias("name"), tables.epoch_of("ts").alias("epoch"), "value"
+    )
+    points.repartition(6).write.parquet(landing)
+    stream = messages.message_files(spark, landing, "name string, epoch bigint, value double", 2)
+    runner.drain(stream, tiers.store_sketches(root, 600), scratch(spark, "progress"))
+    checked = []
+    for seconds in (HOUR, DAY, tiers.LAYOUT):
+        known = tiers.read_percentile(spark, root, seconds, 0.9)
+        slots = points.withColumn("slot", timeparts.bucket_start(F.col("epoch"), seconds))
+        within = percentiles.rank_within(
+            slots, known.withColumnRenamed("value", "p90"), "value", "p90", 0.9, ["name", "slot"]
+        )
+        same = within.withColumnRenamed("n", "_n").join(known.drop("value"), ["name", "slot"], "full")
+        checked.append(same.select(
+            "name", F.lit(seconds).cast("long").alias("seconds"), "slot", "n",
+            (F.col("within") & (F.col("n") == F.col("_n"))).alias("within"),
+        ))
+    return checked[0].unionAll(checked[1]).unionAll(checked[2])
+
+
 @catalog.query(
     """select 'fine' as tier, name, epoch, round(value, 6) as value from metrics
        where epoch >= (select cast(floor(max(epoch(ts))) as bigint) - 86400 from events)

@@ -109,3 +109,50 @@ def percentile_sketch(
     """Approximate percentile in one pass; the rank is off by at most ``1 / accuracy``."""
     sketch = F.percentile_approx(value, fraction, accuracy)
     return df.groupBy(*keys).agg(sketch.alias(name or value))
+
+
+#: Size of a mergeable sketch, and how far the rank of its percentile may be off: two standard 99 % bounds
+#: of 0.55 % for this size, whatever the number of values and of merges. Up to its size a sketch is exact.
+SKETCH_SIZE = 800
+RANK_ERROR = 0.011
+
+
+def sketches(df: DataFrame, value: str, keys: list[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """(keys, n, sketch): a quantile sketch of a few kilobytes per group. Nulls and NaN do not count;
+    a group without other values has no row."""
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), size)
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), sketch.alias("sketch"))
+
+
+def merged_sketches(df: DataFrame, keys: list[str | Column], size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones; partial merges come before the shuffle."""
+    return df.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("sketch")
+    )
+
+
+def sketched_percentile(df: DataFrame, fraction: float, name: str) -> DataFrame:
+    """Replace the sketch of every row by its percentile, a value that occurred."""
+    value = F.kll_sketch_get_quantile_double("sketch", F.lit(float(fraction)))
+    return df.withColumn(name, value).drop("sketch")
+
+
+def rank_within(
+    values: DataFrame, estimates: DataFrame, value: str, estimate: str, fraction: float,
+    keys: list[str], error: float = RANK_ERROR,
+) -> DataFrame:
+    """(keys, n, within): whether each estimate stands at the wanted share of all values, give or take ``error``.
+
+    ``estimates`` has one row per group and is joined after the values are counted, so a group with
+    most of the values meets it as one row per distinct value. Groups with a null key have no row.
+    """
+    counted = values.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(
+        F.count("*").alias("_times")
+    )
+    both = counted.join(estimates.select(*keys, F.col(estimate).alias("_estimate")), keys)
+    n = F.sum("_times")
+    below = F.sum(F.when(F.col(value) < F.col("_estimate"), F.col("_times")).otherwise(0)) / n
+    upto = F.sum(F.when(F.col(value) <= F.col("_estimate"), F.col("_times")).otherwise(0)) / n
+    within = (below - error <= fraction) & (F.lit(fraction) <= upto + error)
+    return both.groupBy(*keys).agg(n.alias("n"), within.alias("within"))

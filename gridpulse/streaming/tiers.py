@@ -4,6 +4,9 @@ A batch leaves the last point of every fine slot it touches, with the order that
 fine slots of several batches merge by taking the greatest. Then the coarse slots above them are formed
 anew from the merged fine slots, whatever batch those came from; a late point thus reopens its slot. Both
 tiers are laid out by periods of four weeks, and a batch reads only the periods that it touches.
+
+Percentiles do not merge, their sketches do: a batch leaves one of every fine slot that it touches, and
+any wider slot merges those of all batches in it.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import DAY, bucket_start
-from ..operators import buckets
+from ..operators import buckets, percentiles
 from ..sinks import tables
 
 
@@ -92,3 +95,34 @@ def retained(spark: SparkSession, root: str, now: Column, **widths: int) -> Data
     coarse = read_coarse(spark, root, **widths).select("name", F.col("slot").alias("bucket"), "value")
     tiers = {"fine": (read_fine(spark, root), buckets.FINE_TIER[1]), "coarse": (coarse, buckets.COARSE_TIER[1])}
     return buckets.retain(tiers, "bucket", now)
+
+
+def store_sketches(root: str, fine_seconds: int = buckets.FINE_TIER[0]) -> Callable[[DataFrame, int], None]:
+    """Handler for batches of ``(name, epoch, value)`` points: a quantile sketch per name and fine slot.
+
+    A batch that is repeated replaces its own sketches, so no point counts twice.
+    """
+    if LAYOUT % fine_seconds:
+        raise ValueError("a period must hold a whole number of fine slots")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        slots = batch.withColumn("bucket", bucket_start(F.col("epoch"), fine_seconds))
+        rows = percentiles.sketches(slots, "value", ["name", "bucket"])
+        tables.write_batch(rows.withColumn("period", _period("bucket")), f"{root}/sketches", batch_id, ("period",))
+
+    return on_batch
+
+
+def read_percentile(
+    spark: SparkSession, root: str, seconds: int, fraction: float, where: Column | None = None
+) -> DataFrame:
+    """(name, slot, n, value): a percentile per slot of ``seconds``, a multiple of the fine slots' width.
+
+    Its rank is off by at most ``percentiles.RANK_ERROR``. ``where`` may select names, buckets and, to
+    prune files, periods.
+    """
+    rows = tables.read_batches(spark, f"{root}/sketches")
+    if where is not None:
+        rows = rows.filter(where)
+    slot = bucket_start(F.col("bucket"), seconds).alias("slot")
+    return percentiles.sketched_percentile(percentiles.merged_sketches(rows, ["name", slot]), fraction, "value")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpulse import session
-from gridpulse.operators import buckets
+from gridpulse.operators import buckets, percentiles
 from gridpulse.sources import messages
 from gridpulse.streaming import runner, tiers
 
@@ -60,3 +60,42 @@ def test_slots_have_to_fit(spark):
         tiers.store_tiers("x", 7, 60)
     with pytest.raises(ValueError, match="whole number of coarse"):
         tiers.store_tiers("x", 10, 50_000)
+
+
+@pytest.mark.parametrize("per_batch", [1, None])
+def test_sketched_percentiles_keep_their_rank(spark, rows, per_batch):
+    landed, root = session.scratch(spark, "points"), session.scratch(spark, "sketches")
+    i = F.col("id")
+    points = spark.range(40_000).select(
+        F.when(i % 3 == 0, "rare").otherwise("hot").alias("name"),
+        (START + i * 7919 % 86_400).alias("epoch"),
+        (i * 104_729 % 30_011).cast("double").alias("value"),
+    )
+    points.repartition(4).write.parquet(landed)
+    stream = messages.message_files(spark, landed, SCHEMA, per_batch)
+    runner.drain(stream, tiers.store_sketches(root, 600), session.scratch(spark, "progress"))
+    for seconds, slots in ((600, 288), (86_400, 2)):
+        found = tiers.read_percentile(spark, root, seconds, 0.9)
+        here = points.withColumn("slot", F.col("epoch") - F.col("epoch") % seconds)
+        checked = percentiles.rank_within(here, found, "value", "value", 0.9, ["name", "slot"]).collect()
+        assert len(checked) == slots and all(r.within for r in checked)
+        assert sum(r.n for r in checked) == found.agg(F.sum("n")).first()[0] == 40_000
+    wrong = found.withColumn("value", F.col("value") * 0.95)
+    assert not any(r.within for r in percentiles.rank_within(here, wrong, "value", "value", 0.9, ["name", "slot"]).collect())
+    some = tiers.read_percentile(spark, root, 86_400, 0.5, (F.col("name") == "rare") & (F.col("period") <= START))
+    assert [r.name for r in some.collect()] == ["rare"]
+
+
+def test_sketches_of_a_repeated_batch_and_of_unknown_values(spark, rows):
+    root = session.scratch(spark, "sketches")
+    store = tiers.store_sketches(root, 10)
+    values = [("a", START, None), ("b", START, float("nan")), ("b", START + 3, 4.0), ("b", START + 60, 8.0)]
+    for _ in range(2):
+        store(spark.createDataFrame(values, SCHEMA), 0)
+    store(spark.createDataFrame([("b", START + 5, 2.0)], SCHEMA), 1)
+    assert rows(tiers.read_percentile(spark, root, 10, 1.0)) == [("b", START, 2, 4.0), ("b", START + 60, 1, 8.0)]
+    assert rows(tiers.read_percentile(spark, root, 3600, 0.5)) == [("b", START - START % 3600, 3, 4.0)]
+    store(spark.createDataFrame([], SCHEMA), 2)
+    assert tiers.read_percentile(spark, root, 10, 0.5).count() == 2
+    with pytest.raises(ValueError, match="whole number of fine"):
+        tiers.store_sketches("x", 7000)
