@@ -8,8 +8,10 @@ crowded one only a long shared prefix does. Each order is range-partitioned on t
 no region has to fit one task; rows at the partition edges are compared in a second, small pass.
 
 Neighbours whose signatures agree on enough slots are candidates, and candidates are confirmed on
-the texts. The threshold on slots lies four standard deviations below what a pair at the very edge
-of the wanted similarity shows. In a group of many copies almost all neighbours are candidates, and most of them
+the texts. The threshold on slots lies five standard deviations below what a pair at the very edge
+of the wanted similarity shows. Pairs that share many slots and yet cannot be links go without a look
+at their texts: every class carries the parities of its set by bin, and the bins in which two classes
+differ are at most as many as the shingles that only one of them has. In a group of many copies almost all neighbours are candidates, and most of them
 say nothing new. So a first round takes the few nearest of each class; the classes that had more are
 searched again with a larger number, now only for candidates outside their component, until none is
 left over. Candidates thus grow with the classes, not with the square of a group.
@@ -38,8 +40,10 @@ SLOTS = ORDERS * STRIDE
 #: Slots of 16 bits that an order sorts by.
 DEPTH = 8
 REACH = 64
-#: Of a pair at exactly 80 percent, one link in 18,000 shows fewer equal slots.
-AGREE = 61
+#: Of pairs at exactly 80 percent, fewer than one in a million shows fewer equal slots.
+AGREE = 56
+#: Bins of the parities, eight a byte.
+BINS = 512
 #: Candidates that each class takes in an order, by round; in the last round none is left over.
 ROUNDS = (4, REACH)
 
@@ -69,6 +73,12 @@ def signature(members: np.ndarray) -> np.ndarray:
     return (tokens.mix(least) >> np.uint64(48)).astype(">u2")
 
 
+def parities(members: np.ndarray) -> np.ndarray:
+    """A bit per bin, set where an odd number of members falls into it."""
+    bins = tokens.mix(members) >> np.uint64(64 - BINS.bit_length() + 1)
+    return np.packbits(np.bincount(bins.astype(np.int64), minlength=BINS) & 1)
+
+
 def digest(members: np.ndarray) -> bytes:
     """128 bits that identify a set."""
     low, high = tokens.mix(members).sum(dtype=np.uint64), tokens.mix(members ^ _FLIP[0]).sum(dtype=np.uint64)
@@ -85,7 +95,7 @@ def sketches(documents: DataFrame, size: int = SHINGLE, with_text: bool = False)
                 n.append(len(members))
                 nodes.append(digest(members) if len(members) else None)
                 if not with_text:
-                    extra.append(signature(members).tobytes() if len(members) else None)
+                    extra.append(signature(members).tobytes() + parities(members).tobytes() if len(members) else None)
             last = batch.column("text") if with_text else pa.array(extra, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), last],
@@ -107,8 +117,10 @@ def orders(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = _matrix(batch.column("slots"), 2 * SLOTS).reshape(-1, SLOTS, 2)
-            marks = pa.array([row.tobytes() for row in np.ascontiguousarray(slots[:, :, 1])], pa.binary())
+            sketch = _matrix(batch.column("slots"), 2 * SLOTS + BINS // 8)
+            slots = sketch[:, : 2 * SLOTS].reshape(-1, SLOTS, 2)
+            marks = np.concatenate([slots[:, :, 1], sketch[:, 2 * SLOTS :]], axis=1)
+            marks = pa.array([row.tobytes() for row in marks], pa.binary())
             for k in range(ORDERS):
                 path = slots[:, (np.arange(DEPTH) + k * STRIDE) % SLOTS].reshape(len(slots), 2 * DEPTH)
                 yield pa.RecordBatch.from_arrays(
@@ -135,7 +147,9 @@ def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.nda
     compared with those of other parts."""
     place, root, n = (table[c].to_numpy() for c in ("place", "root", "n"))
     path = _matrix(table["path"].combine_chunks(), 2 * DEPTH)
-    marks = _matrix(table["marks"].combine_chunks(), SLOTS)
+    marks = _matrix(table["marks"].combine_chunks(), SLOTS + BINS // 8)
+    odd = np.ascontiguousarray(marks[:, SLOTS:]).view(np.uint64)
+    marks = marks[:, :SLOTS]
     part = table["part"].to_numpy() if "part" in table.column_names else None
     taken = np.zeros(len(n), np.int64)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
@@ -147,6 +161,10 @@ def _pairs(table: pa.Table, fresh: int, percent: int, most: int) -> tuple[np.nda
         if part is not None:
             near &= part[first] != part[second]
         first, second = first[near], second[near]
+        # a link has at most so many shingles on one side only
+        apart = np.bitwise_count(odd[first] ^ odd[second]).sum(axis=1, dtype=np.int64)
+        near = (100 + percent) * apart <= (100 - percent) * (n[first] + n[second])
+        first, second = first[near], second[near]
         near = (marks[first] == marks[second]).sum(axis=1) >= AGREE
         first, second = first[near], second[near]
         out.append((first, second, taken[second] >= most))

@@ -142,6 +142,19 @@ def test_links_at_the_edge_are_tried(spark):
     assert len(texts) == 4 and {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in texts}
 
 
+def test_parities_never_rule_out_a_link():
+    random = np.random.default_rng(5)
+    for size in (1, 9, 150, 700, 5000):
+        for apart in (0, size // 18, size // 9, size // 2):
+            members = random.integers(0, 1 << 63, size + apart, dtype=np.uint64)
+            one, two = np.unique(members[:size]), np.unique(members[apart:])
+            shown = np.bitwise_count(forest.parities(one) ^ forest.parities(two)).sum()
+            assert shown <= len(np.setxor1d(one, two))
+    # sets of ordinary length that share too little do show it
+    one, two = members[:150], members[50:200]
+    assert np.bitwise_count(forest.parities(one) ^ forest.parities(two)).sum() * 180 > 20 * 300
+
+
 def contamination_by_force(texts, items, size=13):
     def words(text):
         return "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
