@@ -9,7 +9,7 @@ from ..functions.timeparts import HOUR_SECONDS
 from ..session import scratch
 from ..sinks import reports
 from ..sinks import tables as stored
-from ..sources import messages, metrics, tables
+from ..sources import framed, messages, metrics, tables
 from ..streaming import jobs, runner, state
 from .base import READINGS, TEMPERATURES, TIME_PARTS, Catalog, tidy
 
@@ -56,6 +56,44 @@ def stream_unkeyed_source(spark, sf_dir):
     return tidy(spark.read.parquet(path).drop(stored.BATCH))
 
 
+@catalog.query(
+    """select subject, epoch, round(cast(cast(voltage as float) as double), 6) as value from readings""",
+    READINGS,
+)
+def stream_framed_source(spark, sf_dir):
+    """Messages published to framed logs, then read from them as a stream of its own offsets."""
+    logs, path = scratch(spark, "logs"), scratch(spark, "keyed")
+    sent = tables.as_messages(_events(spark, sf_dir))
+    framed.publish_framed(sent, logs, scratch(spark, "progress")).awaitTermination()
+    decoded = messages.keyed(framed.framed_stream(spark, logs), "raw.voltage.data.>")
+    _drain(spark, decoded, jobs.store_updates(path))
+    return tidy(spark.read.parquet(path).drop(stored.BATCH))
+
+
+@catalog.query(
+    """select 'report.voltage.max.' || subject as subject, cast(cast(max(voltage) as float) as varchar) as message
+       from readings group by subject""",
+    READINGS,
+)
+def stream_published(spark, sf_dir):
+    """Maxima of every subject published to framed logs as they change, every batch twice; the largest counts."""
+    logs, landing = scratch(spark, "logs"), scratch(spark, "landing")
+    readings = tables.readings(spark, sf_dir).select("subject", "epoch", F.col("voltage").alias("value"))
+    readings.repartition(LANDED_FILES).write.parquet(landing)
+    stream = messages.message_files(spark, landing, "subject string, epoch bigint, value double", 2)
+
+    def publish(batch, batch_id):
+        subject = F.concat(F.lit("report.voltage.max."), "subject")
+        sent = reports.text_report(batch.withColumn("value", F.col("value").cast("float")), "value", subject)
+        sent = sent.select("subject", F.encode("message", "UTF-8").alias("payload"))
+        for _ in range(2):
+            framed.publish_framed_batch(sent, logs, batch_id)
+
+    _drain(spark, state.subject_states(stream), publish, "update")
+    text = F.decode("payload", "UTF-8")
+    return framed.framed_table(spark, logs).groupBy("subject").agg(F.max_by(text, text.cast("float")).alias("message"))
+
+
 @catalog.query(
     """select subject, max(epoch) as epoch, max(voltage) as voltage from readings group by subject""",
     READINGS,
