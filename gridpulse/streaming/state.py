@@ -4,6 +4,9 @@ The state of a subject is one row: its latest epoch, its largest value, and the
 epoch of its off-limit readings. Every batch puts out the subjects that it changed. The last row of
 a subject is therefore the same however its readings were cut into batches, and two off-limit
 readings raise an alert in whichever batches they arrive.
+
+Subjects that are kept for good are aggregated by Spark itself. Only a time to live needs a function of
+each subject's own, whose cost is a call into Python per subject and batch.
 """
 
 from __future__ import annotations
@@ -39,7 +42,19 @@ def merged(one: tuple, two: tuple) -> tuple:
     return _most(one[0], two[0]), _most(one[1], two[1]), one[2] + two[2], _least(one[3], two[3])
 
 
-def _update(ttl_seconds: int | None):
+def _aggregated(readings: DataFrame, limit: float) -> DataFrame:
+    """The same states as a streaming aggregate; as there, a value that is no number counts as null."""
+    value = F.when(~F.isnan("value"), F.col("value"))
+    beyond = F.coalesce(value > limit, F.lit(False))
+    return readings.groupBy("subject").agg(
+        F.max("epoch").alias("epoch"),
+        F.max(value).alias("value"),
+        F.count_if(beyond).alias("n"),
+        F.min(F.when(beyond, F.col("epoch"))).alias("first_epoch"),
+    )
+
+
+def _update(ttl_seconds: int):
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -51,8 +66,7 @@ def _update(ttl_seconds: int | None):
         # whole numbers come as floats where a column has nulls
         known = tuple(None if x is None else kind(x) for kind, x in zip((int, float, int, int), known))
         state.update(known)
-        if ttl_seconds is not None:
-            state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutDuration(ttl_seconds * 1000)
         found = pd.DataFrame([(key[0], *known)], columns=["subject", *COLUMNS])
         yield found.astype({"epoch": "Int64", "n": "Int64", "first_epoch": "Int64", "value": "float64"})
 
@@ -92,11 +106,9 @@ def subject_states(
     subject is a subject too.
     """
     slim = stream.select("subject", F.col("epoch").cast("bigint").alias("epoch"), F.col(value).cast("double").alias("value"))
+    if ttl_seconds is None:
+        return _aggregated(slim, limit)
     partial = slim.mapInArrow(_partial(limit), f"subject string, {KNOWN}")
     return partial.groupBy("subject").applyInPandasWithState(
-        _update(ttl_seconds),
-        f"subject string, {KNOWN}",
-        KNOWN,
-        "update",
-        GroupStateTimeout.NoTimeout if ttl_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
+        _update(ttl_seconds), f"subject string, {KNOWN}", KNOWN, "update", GroupStateTimeout.ProcessingTimeTimeout
     )

@@ -235,6 +235,22 @@ def test_silent_subjects_are_forgotten():
     assert again["n"].tolist() == [1]
 
 
+def test_lasting_states_are_one_aggregate_with_the_same_values(spark, rows):
+    schema = "subject string, epoch bigint, value double"
+    parts = [("a", 5, 130.0), ("a", 3, 121.0), ("a", 1, float("nan")), ("b", 2, 120.0), ("b", None, 300.0),
+             (None, 1, 150.0), (None, 2, None), ("c", None, None), ("d", 4, float("nan")), ("e", 7, float("inf"))]
+    df = spark.createDataFrame(parts, schema).coalesce(1)
+    by_key = {}
+    for subject, *part in df.mapInArrow(state._partial(120.0), f"subject string, {state.KNOWN}").collect():
+        part = [None if pd.isna(x) else x for x in part]
+        by_key[subject] = state.merged(by_key.get(subject, (None, None, 0, None)), part)
+    kept = state.subject_states(df, limit=120.0)
+    assert rows(kept) == sorted(((k, *v) for k, v in by_key.items()), key=repr)
+    assert dict(kept.dtypes) == {"subject": "string", "epoch": "bigint", "value": "double", "n": "bigint", "first_epoch": "bigint"}
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert "InPandasWithState" not in plan and "MapInArrow" not in plan
+
+
 @pytest.mark.parametrize("per_batch", [1, 2, None])
 def test_means_do_not_depend_on_the_batches(spark, rows, per_batch):
     landed, root = session.scratch(spark, "landed"), session.scratch(spark, "means")
