@@ -86,8 +86,12 @@ def stream_published(spark, sf_dir):
         subject = F.concat(F.lit("report.voltage.max."), "subject")
         sent = reports.text_report(batch.withColumn("value", F.col("value").cast("float")), "value", subject)
         sent = sent.select("subject", F.encode("message", "UTF-8").alias("payload"))
-        for _ in range(2):
-            framed.publish_framed_batch(sent, logs, batch_id)
+        sent = sent.persist()  # repeating the batch does not repeat its states
+        try:
+            for _ in range(2):
+                framed.publish_framed_batch(sent, logs, batch_id)
+        finally:
+            sent.unpersist()
 
     _drain(spark, state.subject_states(stream), publish, "update")
     text = F.decode("payload", "UTF-8")

@@ -1,10 +1,12 @@
 """Framed logs: frames, offsets, and what failed and repeated batches leave behind."""
 
+import datetime as dt
 import os
 
 import pyarrow as pa
 import pytest
 
+from gridpulse.catalog import streams
 from gridpulse.session import scratch
 from gridpulse.sources import framed
 from gridpulse.streaming import jobs, runner
@@ -129,3 +131,15 @@ def test_repeated_batch_of_a_handler_adds_nothing(spark):
         framed.publish_framed_batch(rows, path, number)
     got = sorted(r.subject for r in framed.framed_table(spark, path).collect())
     assert got == ["a", "a", "b", "b"] and os.listdir(f"{path}/_pending") == []
+
+
+def test_the_maxima_of_a_batch_are_made_once_for_both_tries(spark, tmp_path, monkeypatch):
+    """The second try of a batch reads what the first had, instead of running the state again."""
+    rows = [(i, dt.datetime(2024, 1, 1), i % 5, "click", float(i), "") for i in range(50)]
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    kept, publish = [], framed.publish_framed_batch
+    monkeypatch.setattr(framed, "publish_framed_batch", lambda sent, *a: (kept.append(sent.is_cached), publish(sent, *a)))
+    got = streams.stream_published(spark, str(tmp_path))
+    assert sorted(float(m) for _, m in got.collect()) == [45.0, 46.0, 47.0, 48.0, 49.0]
+    assert kept and all(kept)
