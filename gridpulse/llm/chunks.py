@@ -82,7 +82,7 @@ def _run_hashes(words: tokens.Words, first: np.ndarray, last: np.ndarray) -> np.
 
 
 def chunks(column: pa.Array) -> Iterator[Chunks]:
-    for first, data, offsets in tokens.blocks(column):
+    for first, data, offsets in tokens.blocks(column, tokens.SMALL_BYTES):
         words = tokens.split(first, data, offsets, tokens.VISIBLE)
         n = len(words.starts)
         ends_text = np.zeros(n, bool)
@@ -326,20 +326,20 @@ def cleaned(documents: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, later = pa.compute.struct_field(batch.column("row"), [text]), batch.column("later")
-            texts = column.to_pylist()
-            lines, removed = [], []
+            # block by block, so that no second copy of all texts of a batch is held
             for found in chunks(column):
-                for i in range(found.words.n):
-                    lines.append(found.clauses(i))
-                    removed.append(0)
-                    repeats = later[found.words.first + i].as_py()
+                first, n = found.words.first, found.words.n
+                texts = column.slice(first, n).to_pylist()
+                lines, removed = [found.clauses(i) for i in range(n)], [0] * n
+                for i in range(n):
+                    repeats = later[first + i].as_py()
                     passages = _removed(found, i, repeats) if repeats else []
                     if passages:
-                        texts[found.words.first + i], removed[-1] = _without(found, i, passages)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
-                names=["row", *[f.name for f in _CLEANED]],
-            )
+                        texts[i], removed[i] = _without(found, i, passages)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(first, n), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
+                    names=["row", *[f.name for f in _CLEANED]],
+                )
 
     return joined.mapInArrow(run, T.StructType([joined.schema["row"], *_CLEANED]))
 

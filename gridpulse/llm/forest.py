@@ -54,7 +54,7 @@ _FACTOR = _random.integers(0, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The set of each text, in order, as sorted distinct hashes."""
-    for found in tokens.words(column, tokens.VISIBLE):
+    for found in tokens.words(column, tokens.VISIBLE, tokens.SMALL_BYTES):
         pairs = tokens.windows(found.hashes, size)
         for i in range(found.n):
             low, high = int(found.bounds[i]), int(found.bounds[i + 1])

@@ -56,7 +56,7 @@ def declared_in_markup(html: Column) -> Column:
 def trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, texts, text of each trigram, its bucket); trigrams of blanks only are left out."""
     fold = np.frombuffer(tokens.LETTERS.fold, np.uint8)
-    for first, data, offsets in tokens.blocks(column):
+    for first, data, offsets in tokens.blocks(column, tokens.SMALL_BYTES):
         n = len(offsets) - 1
         folded = fold[data].astype(np.uint64)
         if len(folded) < 3:

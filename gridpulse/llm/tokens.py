@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+#: Blocks where a worker holds much else beside them, since words take many times their text meanwhile.
+SMALL_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -24,7 +26,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
     known = _powers.get(int(base))
     if known is None or len(known) < n:
-        row = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+        row = np.full(max(n, SMALL_BYTES + 1), base, np.uint64)
         row[0] = 1
         known = np.multiply.accumulate(row)
         if n <= 2 * BLOCK_BYTES + 1:

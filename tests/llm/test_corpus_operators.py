@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -320,6 +321,21 @@ def test_chunks_do_not_depend_on_neighbours():
     assert alone == together
 
 
+def test_memory_of_words_and_chunks_is_a_fraction_of_a_batch():
+    column = pa.array([prose(i, 400) for i in range(2500)])
+    assert column.nbytes > 4 << 20
+    for read in (forest.shingle_sets, chunks.chunks):
+        for found in read(column.slice(0, 10)):  # tables of powers are made once
+            pass
+        tracemalloc.start()
+        try:
+            for found in read(column):
+                pass
+            assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        finally:
+            tracemalloc.stop()
+
+
 def test_repeated_passages_go_and_clean_text_stays(spark):
     passage = ". ".join(prose(900 + k, 6) for k in range(12)) + "."
     texts = [(i, f"{prose(i, 25)}. {passage} {prose(i + 50, 25)}.") for i in range(6)] + [(10, prose(10, 200)), (11, "Es. No."), (12, "Es. No.")]
