@@ -20,6 +20,7 @@ left over. Candidates thus grow with the classes, not with the square of a group
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -258,12 +259,13 @@ def confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, percen
 
 def rooted(documents: DataFrame, classes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(node, root) of the classes that some link joins."""
-    open_classes, links, roots = classes.withColumn("root", F.xxhash64("node")), None, None
+    open_classes, roots = classes.withColumn("root", F.xxhash64("node")), None
     for most in ROUNDS:
         found = cut(candidates(open_classes, percent, most))
-        new = cut(confirmed(found.filter("b is not null"), documents, classes, percent, size))
-        links = new if links is None else links.unionAll(new)
-        roots = cut(components(links))
+        links = cut(confirmed(found.filter("b is not null"), documents, classes, percent, size))
+        # what earlier rounds linked hangs on their roots, with a link per class
+        known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        roots = cut(components(reduce(DataFrame.unionAll, known, links)))
         rest = found.filter("b is null").select(F.col("a").alias("node"))
         if rest.isEmpty():
             break

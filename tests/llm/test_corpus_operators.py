@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridpulse.llm import (
-    archives, backoff, chunks, decontamination, exact, features, forest, language, mixture, quality, tokens, toxicity,
+    archives, backoff, chunks, components, decontamination, exact, features, forest, language, mixture, quality, tokens, toxicity, work,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +124,35 @@ def test_large_group_keeps_its_links(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_components_equal_union_find_and_leave_stars_alone(spark, monkeypatch):
+    draw, root = random.Random(5), list(range(120))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    links = [(i, i + 1) for i in range(30)] + [(a, b) for a in range(40, 60) for b in range(40, 60)]
+    links += [(draw.randrange(60, 120), draw.randrange(60, 120)) for _ in range(50)]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    rounds = []
+    monkeypatch.setattr(components, "cut", lambda frame: rounds.append(frame) or work.cut(frame))
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    touched = {x for a, b in links if a != b for x in (a, b)}
+    assert sorted(map(tuple, got.collect())) == [(x, find(x)) for x in sorted(touched)]
+    rounds.clear()
+    stars = [(7, i) for i in range(8, 30)] + [(40, 41)]
+    assert components.components(spark.createDataFrame(stars, "a long, b long")).count() == 25 and len(rounds) == 1
+
+
+def test_the_second_round_takes_a_link_per_class_from_the_first(spark, monkeypatch):
+    base, sizes = prose(3, 200).split(), []
+    texts = [(i, " ".join([*base[:i % 190], f"new{i}", *base[i % 190 + 1 :]])) for i in range(100)]
+    monkeypatch.setattr(forest, "components", lambda links: sizes.append(links.count()) or components.components(links))
+    got = forest.near_duplicates(documents(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0} and sizes[0] > 300 and sizes[1:] == [100]
+
+
 def test_links_at_the_edge_are_tried(spark):
     least = sum(math.comb(forest.SLOTS, k) * 0.8**k * 0.2 ** (forest.SLOTS - k) for k in range(forest.AGREE))
     assert least < 1e-4
