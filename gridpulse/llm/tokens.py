@@ -121,20 +121,28 @@ def words(column: pa.Array, alphabet: Alphabet, size: int = BLOCK_BYTES) -> Iter
 
 
 def split(first: int, data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet) -> Words:
-    return runs(first, data, offsets, alphabet.inside[data], alphabet.value)
+    return runs(first, data, offsets, alphabet.inside.take(data), alphabet.value)
 
 
-def runs(first: int, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, value: np.ndarray) -> Words:
-    """Maximal runs of bytes marked as ``inside``, hashed by the ``value`` of each byte."""
+def borders(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where maximal runs of bytes marked as ``inside`` start and end."""
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     opens, closes = inside.copy(), inside.copy()
     if len(data):
         opens[1:] &= ~inside[:-1] | edge[1:-1]
         closes[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * powers(BASE, len(data)), out=sums[1:])
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+def runs(first: int, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, value: np.ndarray) -> Words:
+    """Maximal runs of bytes marked as ``inside``, hashed by the ``value`` of each byte."""
+    starts, ends = borders(data, offsets, inside)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.take(value, data, out=sums[1:], mode="clip")
+    sums[1:] *= powers(BASE, len(data))
+    np.cumsum(sums[1:], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * powers(INVERSE, len(data) + 1)[starts]
     hashes = mix(hashes ^ (ends - starts).astype(np.uint64))
     return Words(first, len(offsets) - 1, data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets))

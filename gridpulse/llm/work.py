@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local master without one gets its own."""
@@ -22,6 +25,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python end at ``BATCH_BYTES`` too, unless the session has a limit of its own.
+
+    By rows alone a batch is 10,000 texts of any length, which the JVM and the worker hold several times.
+    """
+    if BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame as a reliable checkpoint: computed once, and safe when executors are lost."""
     checkpoint_dir(frame.sparkSession)
