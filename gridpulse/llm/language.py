@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.llm import tokens
-from gridpulse.llm.work import cut, packed
+from gridpulse.llm.work import bounded_batches, cut, packed
 
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
@@ -224,6 +224,7 @@ def only_accepted(
     languages: tuple[str, ...] = LANGUAGES,
 ) -> DataFrame:
     """The accepted rows with all their columns."""
+    bounded_batches(documents.sparkSession)
     rows = packed(documents, text=text, declared=declared, host=host).withColumns(
         {"declared": declared_language(F.col("declared")), "host": F.lower("host")}
     )

@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridpulse.llm import chunks, work
+from gridpulse.llm import chunks, language, work
 
 
 def prose(seed, n):
@@ -67,3 +68,40 @@ def test_shared_words_are_found_as_by_comparing_each_byte():
         own, other = (b" " + bytes(draw.choice(b"aab \n") for _ in range(draw.randint(0, 20))) for _ in range(2))
         tail = bytes(draw.choice(b"ab ") for _ in range(draw.randint(0, 12)))
         assert chunks._shared_before(own + tail, other + tail) == by_bytes(own + tail, other + tail)
+
+
+def test_a_worker_holds_few_words_at_once():
+    column = pa.array([prose(i, 400) for i in range(1000)])
+    list(chunks.chunks(column.slice(0, 10)))  # tables of powers are made once
+    tracemalloc.start()
+    try:
+        for _ in chunks.chunks(column):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    frame = documents(spark, [(1, "x")]).withColumn("text", F.lit("ab " * 1500)).select(F.explode(F.sequence(F.lit(1), F.lit(4000))), "text")
+    known = spark.conf.getAll.get(work.BATCH_LIMIT)
+    for use in (
+        lambda docs: chunks.cleaned(docs),
+        lambda docs: language.only_accepted(docs.withColumns({"lang": F.lit("en"), "source": F.lit("s")})),
+    ):
+        try:
+            spark.conf.unset(work.BATCH_LIMIT)
+            use(documents(spark, [(1, "x y")]))
+            sizes = [r.n for r in frame.mapInArrow(run, "n long").collect()]
+            assert sum(sizes) > 16 << 20 and max(sizes) < 6 << 20
+            spark.conf.set(work.BATCH_LIMIT, 1 << 20)
+            use(documents(spark, [(1, "x y")]))
+            assert int(spark.conf.get(work.BATCH_LIMIT)) == 1 << 20
+        finally:
+            spark.conf.unset(work.BATCH_LIMIT)
+            if known is not None:
+                spark.conf.set(work.BATCH_LIMIT, known)
